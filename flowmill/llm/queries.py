@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import packing, tokenfile
+from flowmill.llm import neardup, oracles, packing, tokenfile
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -28,5 +28,9 @@ def op5_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op5_packing": op5_packing}
-ORACLES: dict[str, str] = {}
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {"op7_near_duplicates": op7_near_duplicates, "op1_token_ids": op1_token_ids, "op5_packing": op5_packing}
+ORACLES: dict[str, str] = {"op7_near_duplicates": oracles.OP7}
