@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import neardup, oracles, packing, tokenfile
+from flowmill.llm import decontaminate, neardup, oracles, packing, quality, tokenfile
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -32,5 +32,28 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op7_near_duplicates": op7_near_duplicates, "op1_token_ids": op1_token_ids, "op5_packing": op5_packing}
-ORACLES: dict[str, str] = {"op7_near_duplicates": oracles.OP7}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.passage_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return hits.select(
+        "doc_id",
+        "n_words",
+        F.size("hits").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {
+    "op1_token_ids": op1_token_ids,
+    "op2_decontamination": op2_decontamination,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
+    "op7_near_duplicates": op7_near_duplicates,
+}
+ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op4_quality_rules": oracles.OP4, "op7_near_duplicates": oracles.OP7}
