@@ -54,3 +54,16 @@ i AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ite
 SELECT d.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON h.id = d.id LEFT JOIN i ON i.id = d.id"""
+
+OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT *, min(page_id) OVER (PARTITION BY b) AS head FROM p),
+x AS (SELECT *, concat(CAST(('0x' || sha1(b)) AS VARCHAR)) AS sha FROM h),
+c AS (SELECT *, substr(sha, 3) AS hex FROM x),
+n AS (SELECT *, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', substr(hex, CAST(i AS INT), 1)) - 1) AS v FROM c)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((((v[5 * g + 1] << 16) | (v[5 * g + 2] << 12) | (v[5 * g + 3] << 8) | (v[5 * g + 4] << 4) | v[5 * g + 5]) >> (15 - 5 * k)) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to FROM n"""

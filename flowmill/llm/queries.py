@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import decontaminate, neardup, oracles, packing, quality, tokenfile
+from flowmill.llm import decontaminate, neardup, oracles, packing, quality, secrets, tokenfile, warczip
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -49,11 +49,32 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warczip.round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def _of_kind(kind: str) -> Column:
+    return F.filter("spans", lambda x: x["kind"] == kind)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "novel")
+    return found.select("doc_id", *(F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_decontamination": op2_decontamination,
+    "op3_warc_zip": op3_warc_zip,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_secrets": op8_secrets,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op4_quality_rules": oracles.OP4, "op7_near_duplicates": oracles.OP7}
+ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op3_warc_zip": oracles.OP3, "op4_quality_rules": oracles.OP4, "op7_near_duplicates": oracles.OP7}
