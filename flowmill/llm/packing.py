@@ -12,8 +12,6 @@ table gives no piece; other columns are ignored.  Equal lengths go by the order
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,37 +43,17 @@ def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
     rest.sort(key=lambda x: (-x[0], x[1]))
     total = sum(x[0] for x in rest)
     n_seq = -(-total // capacity)
-    used = [0] * n_seq
-    # sequences by cost; one that a piece does not fit is set aside for shorter pieces only if it has room at all
-    cheap = [(0.0, s) for s in range(n_seq)]
+    spent, room = np.zeros(n_seq), np.full(n_seq, capacity)
     left: list[tuple[int, int, int]] = []
-    room_at_most = capacity
     for n, d, at in rest:
-        if n > room_at_most:
-            left.append((n, d, at))
-            continue
-        aside, place = [], None
-        while cheap:
-            c, s = heapq.heappop(cheap)
-            if capacity - used[s] >= n:
-                place = (c, s)
-                break
-            if capacity > used[s]:
-                aside.append((c, s))
-            if len(aside) >= 64 and max(capacity - used[x[1]] for x in aside) < n:
-                room_at_most = max([capacity - u for u in used])
-                if room_at_most < n:
-                    break
-        for x in aside:
-            heapq.heappush(cheap, x)
-        if place is None:
-            room_at_most = max([capacity - u for u in used], default=0)
+        s = int(np.where(room >= n, spent, np.inf).argmin()) if n_seq else 0
+        if room[s] < n:
             left.append((n, d, at))
             continue
-        c, s = place
-        out.append((d, at, n, full + s, used[s]))
-        used[s] += n
-        heapq.heappush(cheap, (c + cost(n, linear, quadratic), s))
+        out.append((d, at, n, full + s, capacity - int(room[s])))
+        spent[s] += cost(n, linear, quadratic)
+        room[s] -= n
+    used = (capacity - room).tolist()
     open_ = sorted((s for s in range(n_seq) if used[s] < capacity), key=lambda s: used[s])
     k = 0
     for n, d, at in left:
@@ -88,7 +66,7 @@ def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096, block_tokens: int = 4 << 20, linear: float = 1.0, quadratic: float = 1 / 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096, block_tokens: int = 2 << 20, linear: float = 1.0, quadratic: float = 1 / 1024) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) with their ids as little-endian unsigned 32-bit numbers.
 
     ``sequence_id`` is the partition in the upper 31 bits and a number within the partition in the lower 32."""
