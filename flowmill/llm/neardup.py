@@ -48,9 +48,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     buf = textbuf.padded(_LOWER[raw])
     starts, ends = textbuf.runs(~_SPACE[buf[: len(raw)]], offsets)
     lens = ends - starts
-    h = textbuf.key_hash(*textbuf.keys(buf, starts, np.minimum(lens, textbuf.KEY_BYTES)), lens)
-    for j in np.flatnonzero(lens > textbuf.KEY_BYTES).tolist():
-        h[j] = int.from_bytes(hashlib.blake2b(buf[starts[j] : ends[j]].tobytes(), digest_size=8).digest(), "little")
+    h = textbuf.hashes(buf, starts, lens)
     return h, np.searchsorted(offsets, starts, side="right") - 1
 
 

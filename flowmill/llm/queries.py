@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import decontaminate, neardup, oracles, packing, quality, secrets, tokenfile, warczip
+from flowmill.llm import decontaminate, langid, neardup, oracles, packing, quality, secrets, tokenfile, toxicity, warczip
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -68,13 +68,29 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    found = langid.predict(docs, langid.train(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_decontamination": op2_decontamination,
     "op3_warc_zip": op3_warc_zip,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_secrets": op8_secrets,
+    "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op3_warc_zip": oracles.OP3, "op4_quality_rules": oracles.OP4, "op7_near_duplicates": oracles.OP7}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -98,6 +99,14 @@ def key_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray, lens: np.ndarray) -> n
     return h
 
 
+def hashes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of padded ``buf``."""
+    h = key_hash(*keys(buf, starts, np.minimum(lens, KEY_BYTES)), lens)
+    for j in np.flatnonzero(lens > KEY_BYTES).tolist():
+        h[j] = int.from_bytes(hashlib.blake2b(buf[starts[j] : starts[j] + lens[j]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class WordMemo:
     """Byte slice -> dense index, exact, for millions of slices a second.
 
