@@ -68,6 +68,10 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(stop) + 1
 
 
+def low_bytes(n: int) -> np.uint64:
+    return _MASK[n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finalizer of splitmix64, in place on a copy."""
     x = x ^ (x >> _U(30))

@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its words, hashed to 2**BITS buckets.  Buckets whose presence goes with the label by at least
-``Z_LEAST`` standard errors are kept; over them the machine learns a weight each and a factor vector each, whose inner
-products score pairs such as an insult with a group.  The fit runs on the driver over a bounded sample of labelled
+The terms of a text are its words and their first PREFIXES bytes, hashed to 2**BITS buckets, each present once, twice
+or four times and more.  Terms whose presence goes with the label by at least ``Z_LEAST`` standard errors are kept;
+over them the machine learns a weight each and a factor vector each, whose inner products score pairs such as an
+insult with a group.  The fit runs on the driver over a bounded sample of labelled
 rows; its size is a parameter, rare classes are sampled less and rows weigh by the inverse of their rate.
 
 Rows: null and empty texts are scored by the intercept; repeated rows alike; rows without a doc_id are never learned
@@ -21,20 +22,49 @@ from flowmill.llm import letters, textbuf
 
 BITS = 20
 Z_LEAST = 4.0
+PREFIXES = (4, 5, 6, 7, 8, 9, 10)
+COUNTS = (1, 2, 4)
 TERM_SCHEMA = "label double, weight double, terms array<int>"
 SCORE_SCHEMA = "doc_id long, score double"
 
 
 def _terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words and prefixes, and their texts."""
     buf, starts, lens, doc = letters.words(raw, offsets)
-    return (textbuf.hashes(buf, starts, lens) >> np.uint64(64 - BITS)).astype(np.int64), doc
+    shift = np.uint64(64 - BITS)
+    terms, docs = [(textbuf.hashes(buf, starts, lens) >> shift).astype(np.int64)], [doc]
+    a, b, c = textbuf.keys(buf, starts, np.minimum(lens, max(PREFIXES)))
+    for n in PREFIXES:
+        some = np.flatnonzero(lens > n)
+        x, y = (a[some] & textbuf.low_bytes(min(n, 8))), (b[some] & textbuf.low_bytes(max(0, n - 8)))
+        h = textbuf.key_hash(x, y, c[some], np.full(len(some), n)) + np.uint64(0x5851F42D4C957F2D)
+        terms.append((textbuf.mix(h) >> shift).astype(np.int64))
+        docs.append(doc[some])
+    return np.concatenate(terms), np.concatenate(docs)
+
+
+def _counted(terms: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, term) pairs: term = bin << BITS | bucket for every bin that the count of the bucket reaches."""
+    pair, count = np.unique(doc << BITS | terms, return_counts=True)
+    rows, out = [], []
+    for k, least in enumerate(COUNTS):
+        some = pair[count >= least]
+        rows.append(some >> BITS)
+        out.append(some & ((1 << BITS) - 1) | k << BITS)
+    return np.concatenate(rows), np.concatenate(out)
 
 
 class FactorizationMachine:
-    """score = sigmoid(bias + sum w + half of (|sum v|^2 - sum |v|^2)) over the kept buckets present in a text."""
+    """score = sigmoid(bias + sum w + half of (|sum v|^2 - sum |v|^2)) over the kept terms present in a text."""
 
-    def __init__(self, slot: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
-        self.slot, self.bias, self.w, self.v = slot, bias, w, v
+    def __init__(self, kept: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
+        self.kept, self.bias, self.w, self.v = kept, bias, w, v
+        self.slot = np.full(len(COUNTS) << BITS, -1, np.int32)
+        self.slot[kept] = np.arange(len(kept))
+        self.watched = (self.slot.reshape(len(COUNTS), -1) >= 0).any(0)
+
+    def __reduce__(self):
+        return type(self), (self.kept, self.bias, self.w, self.v)
 
     def raw(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """row, term: distinct pairs of text and kept bucket."""
@@ -45,48 +75,47 @@ class FactorizationMachine:
         return out
 
     def score(self, terms: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        kept = self.slot[terms]
-        some = kept >= 0
-        d = max(1, len(self.w))
-        pair = np.unique(doc[some] * d + kept[some])
-        return 1 / (1 + np.exp(-np.clip(self.raw(pair // d, pair % d, n), -40, 40)))
+        some = self.watched[terms]
+        row, term = _counted(terms[some], doc[some])
+        term = self.slot[term]
+        row, term = row[term >= 0], term[term >= 0]
+        return 1 / (1 + np.exp(-np.clip(self.raw(row, term, n), -40, 40)))
 
     @classmethod
-    def fit(cls, texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, factors: int = 8, steps: int = 300, decay: float = 1e-3, seed: int = 5) -> FactorizationMachine:
-        """texts: distinct buckets of each text."""
-        slot, n = np.full(1 << BITS, -1, np.int32), len(texts)
+    def fit(cls, texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, factors: int = 8, steps: int = 200, decay: float = 1e-2, seed: int = 5) -> FactorizationMachine:
+        """texts: the terms of each text."""
+        n, size = len(texts), len(COUNTS) << BITS
         rate = float((label * weight).sum() / weight.sum()) if n else 0.0
         if not 0 < rate < 1:
-            return cls(slot, 40.0 if rate else -40.0, np.zeros(0), np.zeros((0, factors)))
+            return cls(np.zeros(0, np.int64), 40.0 if rate else -40.0, np.zeros(0), np.zeros((0, factors)))
         row = np.repeat(np.arange(n), [len(x) for x in texts])
         flat = np.concatenate(texts)
-        seen = np.bincount(flat, weight[row], 1 << BITS)
-        toxic = np.bincount(flat, (label * weight)[row], 1 << BITS)
-        count = np.bincount(flat, minlength=1 << BITS)
-        spread = np.sqrt(np.maximum(seen, 1e-9) * rate * (1 - rate))
+        seen = np.bincount(flat, weight[row], size)
+        toxic = np.bincount(flat, (label * weight)[row], size)
+        count = np.bincount(flat, minlength=size)
+        spread = np.sqrt(np.maximum(seen, 1e-9) * rate * (1 - rate) * weight.mean())
         kept = np.flatnonzero((np.abs(toxic - seen * rate) >= Z_LEAST * spread) & (count >= 3))
-        slot[kept] = np.arange(len(kept))
-        term = slot[flat]
-        row, term = row[term >= 0], term[term >= 0]
         rng, d = np.random.default_rng(seed), len(kept)
-        out = cls(slot, float(np.log(rate / (1 - rate))), np.zeros(d), rng.normal(0, 0.05, (d, factors)))
+        out = cls(kept, float(np.log(rate / (1 - rate))), np.zeros(d), rng.normal(0, 0.05, (d, factors)))
+        term = out.slot[flat]
+        row, term = row[term >= 0], term[term >= 0]
         params = [np.array([out.bias]), out.w, out.v]
         first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
         scale = weight / weight.sum()
         for t in range(1, steps + 1):
             out.bias = float(params[0][0])
             g = (1 / (1 + np.exp(-np.clip(out.raw(row, term, n), -40, 40))) - label) * scale
-            gw = np.bincount(term, g[row], d) + decay * out.w / max(1, n) ** 0.5
+            gw = np.bincount(term, g[row], d) + decay * out.w / n**0.5
             gv = np.empty_like(out.v)
             for f in range(factors):
                 x = out.v[term, f]
                 s = np.bincount(row, x, n)
                 gv[:, f] = np.bincount(term, g[row] * (s[row] - x), d)
-            gv += 10 * decay * out.v / max(1, n) ** 0.5
+            gv += 10 * decay * out.v / n**0.5
             for p, grad, a, b in zip(params, [np.array([g.sum()]), gw, gv], first, second, strict=True):
                 a += 0.1 * (grad - a)
                 b += 0.01 * (grad * grad - b)
-                p -= 0.1 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-9)
+                p -= 0.05 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-9)
         out.bias = float(params[0][0])
         return out
 
@@ -95,7 +124,7 @@ def _fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = 6000) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = 4000) -> FactorizationMachine:
     """Fit on about ``sample`` rows at most of each class of ``labels`` (doc_id, toxic) whose doc_id passes ``learn``."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     known = (known.filter(learn) if learn is not None else known).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -111,9 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
         for batch in batches:
             for first, last, raw, offsets in textbuf.groups(batch.column(2)):
                 terms, doc = _terms(raw, offsets)
-                pair = np.unique(doc << BITS | terms)
-                cut = np.searchsorted(pair >> BITS, np.arange(last - first + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((pair & ((1 << BITS) - 1)).astype(np.int32)))
+                row, term = _counted(terms, doc)
+                order = np.lexsort((term, row))
+                cut = np.searchsorted(row[order], np.arange(last - first + 1))
+                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(term[order].astype(np.int32)))
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["label", "weight", "terms"])
 
