@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import decontaminate, langid, neardup, oracles, packing, quality, secrets, tokenfile, toxicity, warczip
+from flowmill.llm import decontaminate, editcount, langid, neardup, oracles, packing, quality, secrets, tokenfile, toxicity, warczip
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -82,6 +82,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
+def op10_edit_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path(BYTE_VOCABULARY)
+    docs = table(spark, sf_dir, "documents")
+    return editcount.count_edits(docs, editcount.sample_edits(F.col("doc_id"), F.col("text")), path)
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_decontamination": op2_decontamination,
@@ -92,5 +98,6 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_secrets": op8_secrets,
     "op9_language": op9_language,
+    "op10_edit_counts": op10_edit_counts,
 }
 ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op3_warc_zip": oracles.OP3, "op4_quality_rules": oracles.OP4, "op7_near_duplicates": oracles.OP7}
