@@ -39,7 +39,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(7)
 _WEIGHTS = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, class binary, sketch array<long>"
+SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, class binary, sketch array<long>"
 SET_SCHEMA = "class binary, shingles array<long>"
 
 
@@ -103,11 +103,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 width = keys.shape[1]
                 cut = np.concatenate([[0], np.cumsum((size > 0) * width)])
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column(0).slice(first, last - first), "n_shingles": size, "class": pa.array(names, pa.binary()), "sketch": _lists(keys.ravel(), cut)}
+                    {"doc_id": batch.column(0).slice(first, last - first), "text_key": batch.column(2).slice(first, last - first), "n_shingles": size, "class": pa.array(names, pa.binary()), "sketch": _lists(keys.ravel(), cut)}
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SKETCH_SCHEMA)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(run, SKETCH_SCHEMA)
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -205,8 +205,8 @@ def _across(members: DataFrame, percent: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), n_links (with
-    other classes, as found), kept.  Linked: ``100 * shared >= percent * union`` of the sets of distinct shingles."""
+    """One row a document: doc_id, text_key, n_shingles, group (of the component; null without words), component_id (the
+    smallest doc_id reachable over links), n_links (with other classes, as found), kept.  Linked: ``100 * shared >= percent * union`` of the sets of distinct shingles."""
     each = storage.materialize(sketches(docs, words), "sketches")
     classes = each.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = storage.materialize(classes, "classes")
@@ -236,10 +236,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80) -> Dat
     ends = links.select(F.col("a").alias("class")).unionAll(links.select("b")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     named = found.join(classes.select(F.col("class").alias("node"), "rep"), "node")
     heads = named.groupBy("component").agg(F.min("rep").alias("head"))
-    moved = found.join(heads, "component").select(F.col("node").alias("class"), "head")
+    moved = found.join(heads, "component").select(F.col("node").alias("class"), "component", "head")
     home = classes.select("class", "rep").join(moved, "class", "left").join(ends, "class", "left")
-    home = home.select("class", F.coalesce("head", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = each.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    classed = each.filter("class IS NOT NULL").select("doc_id", "n_shingles", "class").join(home, "class").drop("class")
+    home = home.select("class", F.coalesce("component", "class").alias("group"), F.coalesce("head", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = each.filter("class IS NULL").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("binary").alias("group"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    classed = each.filter("class IS NOT NULL").select("doc_id", "text_key", "n_shingles", "class").join(home, "class").drop("class")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return classed.unionByName(alone).withColumn("kept", kept)
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: float = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each group: the one of the smallest doc_id (a null one
+    last), then of the smallest text hash; of rows that agree in both, any.  Rows without words all stay."""
+    found = storage.materialize(near_duplicates(docs, words, percent).filter("group IS NOT NULL").select("doc_id", "text_key", "group"), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    each = found.groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = found.groupBy("group").agg(F.min(place).alias("first"))
+    marked = storage.materialize(each.join(first, "group").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n", (place == F.col("first")).alias("stays")), "marked")
+
+    def at(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+        return rows.join(marks.select("_id", "_key"), rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(rows["text"].cast("string")) == F.col("_key")), how)
+
+    out = at(docs, marked.filter("NOT stays"), "left_anti")
+    again = marked.filter("stays AND n > 1")
+    if again.isEmpty():
+        return out
+    key = F.xxhash64(F.col("text").cast("string"))
+    one = at(out, again, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return at(out, again, "left_anti").unionByName(one)
