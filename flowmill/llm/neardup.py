@@ -2,9 +2,9 @@
 
 Texts of one shingle set are one class.  A class meets, in each bucket of a band, only the bucket's leader; links are
 confirmed on the full sets and joined into components.  Members that still stand in different components of a bucket
-are then compared with each other, block by block and in memory; only pairs whose estimated similarity may reach the
-threshold are emitted.  So a group of copies costs a number of pairs in proportion to its size, and no link between
-texts that share a bucket is lost.  A pair at the threshold shares no bucket with a probability below 4e-6 at 0.8
+are then compared with each other, block by block and in memory: first by likelihood, then, for members that may still
+have a partner, on full sets; only links that join two components are emitted.  So a group of copies makes a number of
+rows in proportion to its size, and no two texts of one bucket that are linked end in different components.  A pair at the threshold shares no bucket with a probability below 4e-6 at 0.8
 and 2e-8 at 0.85.
 
 Rows: null, empty and blank texts have no shingles, are linked with nothing and kept; texts of fewer words than a
@@ -148,60 +148,106 @@ def _likely(pairs: DataFrame, percent: float) -> DataFrame:
     return pairs.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
 
 
+def _full_sets(need: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(class, shingles) of the classes in ``need`` (class), from the text of one row each."""
+    named = classes.select("class", "rep").join(need, "class", "left_semi")
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    sets = _sets(named.join(text, "rep").select("class", "text"), words)
+    return storage.materialize(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: float) -> DataFrame:
     """The pairs (a, b) of classes that reach ``percent`` on their full sets."""
     pairs = storage.materialize(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    named = classes.select("class", "rep").join(need, "class", "left_semi")
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    sets = _sets(named.join(text, "rep").select("class", "text"), words).groupBy("class").agg(F.first("shingles").alias("s"))
-    sets = storage.materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("y")), "b")
+    sets = _full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), classes, docs, words)
+    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _across(members: DataFrame, percent: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components that may reach the threshold.
-
-    members: (band, key, class, leader, n, component, sketch, n_shingles).  A bucket of n members is dealt as blocks of
-    at most about BLOCK by BLOCK members."""
+class _Block:
+    """The members of one block of a bucket; ``rivals`` lists those of row x that may be linked to it."""
+
+    def __init__(self, band: int, i: int, j: int, rows: pd.DataFrame, least: float):
+        self.band, self.least, self.within = band, least, i == j
+        self.reg = setsketch.registers(np.array(rows["sketch"].tolist(), np.int64).reshape(len(rows), -1))
+        self.keys = self.reg.view(np.int64)
+        self.size = rows["n_shingles"].to_numpy()
+        self.names = rows["class"].map(bytes).tolist()
+        self.lead = np.array([bytes(x) == y for x, y in zip(rows["leader"], self.names, strict=True)])
+        self.component = pd.factorize(rows["component"].map(bytes))[0]
+        side = rows["own"].to_numpy()
+        self.starts = np.flatnonzero(~self.lead & (self.within | (side == i)))
+        self.others = ~self.lead & (self.within | (side == j))
+
+    def rivals(self, x: int) -> np.ndarray:
+        """Rows in another component, not the leader, first met in this band, of an estimate that may be enough."""
+        y = np.flatnonzero(self.others & (self.component != self.component[x]))
+        if self.within:
+            y = y[y > x]
+        y = y[(self.reg[y] == self.reg[x]).sum(1) >= (self.least - 0.1) * self.reg.shape[1]]
+        y = y[~(self.keys[y, : self.band] == self.keys[x, : self.band]).any(1)]
+        if not len(y):
+            return y
+        same = np.broadcast_to(self.reg[x], self.reg[y].shape)
+        return y[setsketch.similarity(same, self.reg[y], np.full(len(y), self.size[x]), self.size[y]) >= self.least]
+
+    def join(self, x: int, y: int) -> None:
+        self.component[self.component == self.component[y]] = self.component[x]
+
+
+def _open_members(members: DataFrame, percent: float) -> DataFrame:
+    """The rows of ``members``, dealt as blocks (i, j) of at most about BLOCK by BLOCK members of a bucket, that have a
+    rival there.  members: (band, key, class, leader, n, component, sketch, n_shingles)."""
     least = _floor(percent)
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
     dealt = (
         members.withColumn("chunks", chunks)
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "leader", "component", "sketch", "n_shingles")
     )
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        band, _, i, j = key
-        reg = setsketch.registers(np.array(rows["sketch"].tolist(), np.int64).reshape(len(rows), -1))
-        size = rows["n_shingles"].to_numpy()
-        comp = pd.factorize(rows["component"].map(bytes))[0]
-        side, name = rows["own"].to_numpy(), rows["class"].map(bytes).to_numpy()
-        lead = (rows["leader"].map(bytes) == rows["class"].map(bytes)).to_numpy()
-        at = np.arange(len(rows))
-        out_a, out_b = [], []
-        bands_ = reg.view(np.int64)
-        for x in range(len(rows)):
-            if lead[x] or i != j and side[x] != i:
-                continue
-            with_ = (comp != comp[x]) & ~lead & ((at > x) if i == j else side == j)
-            y = np.flatnonzero(with_)
+    def mark(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(key[0], key[2], key[3], rows, least)
+        has = np.zeros(len(rows), bool)
+        for x in block.starts.tolist():
+            y = block.rivals(x)
+            has[y] = True
+            has[x] |= len(y) > 0
+        return rows[has]
+
+    return dealt.groupBy("band", "key", "i", "j").applyInPandas(mark, dealt.schema)
+
+
+def _joined(members: DataFrame, percent: float) -> DataFrame:
+    """Links (a, b) found on the full sets of marked members (with shingles) that join components within a block."""
+    least = _floor(percent)
+
+    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(key[0], key[2], key[3], rows, least)
+        sets = [np.asarray(x, np.int64) for x in rows["shingles"]]
+        flat, size = np.unique(np.concatenate(sets), return_inverse=True)[1], np.array([len(x) for x in sets])
+        first = np.concatenate([[0], np.cumsum(size)])
+        mine = np.zeros(int(flat.max()) + 1, bool)
+        a, b = [], []
+        for x in block.starts.tolist():
+            y = block.rivals(x)
             if not len(y):
                 continue
-            y = y[(reg[y] == reg[x]).sum(1) >= (least - 0.1) * reg.shape[1]]
-            y = y[~(bands_[y, :band] == bands_[x, :band]).any(1)]  # met in an earlier band
-            if len(y):
-                y = y[setsketch.similarity(np.broadcast_to(reg[x], reg[y].shape), reg[y], np.full(len(y), size[x]), size[y]) >= least]
-                out_a += [name[x]] * len(y)
-                out_b += name[y].tolist()
-        return pd.DataFrame({"a": out_a, "b": out_b}, dtype=object)
+            own = flat[first[x] : first[x + 1]]
+            mine[own] = True
+            for k in y.tolist():
+                if block.component[k] != block.component[x]:
+                    shared = int(mine[flat[first[k] : first[k + 1]]].sum())
+                    if 100 * shared >= percent * (size[x] + size[k] - shared):
+                        a.append(block.names[x])
+                        b.append(block.names[k])
+                        block.join(x, k)
+            mine[own] = False
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return members.groupBy("band", "key", "i", "j").applyInPandas(link, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80) -> DataFrame:
@@ -226,9 +272,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80) -> Dat
     placed = several.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "key")
     open_ = placed.join(split, ["band", "key"]).join(classes.select("class", "sketch", "n_shingles"), "class")
-    more = storage.materialize(_across(open_, percent).distinct(), "across")
-    if not more.isEmpty():
-        extra = storage.materialize(_verified(more, classes, docs, words, percent), "links")
+    marked = storage.materialize(_open_members(open_, percent), "marked")
+    if not marked.isEmpty():
+        sets = _full_sets(marked.select("class").distinct(), classes, docs, words)
+        extra = storage.materialize(_joined(marked.join(sets, "class"), percent).distinct(), "links")
         if not extra.isEmpty():
             links = links.unionByName(extra)
             found = storage.materialize(components(links), "components")
