@@ -85,7 +85,7 @@ class ZipDirectory:
         self.f = f
         tail_at = max(0, size - 65557)
         tail = self._read(tail_at, size - tail_at)
-        k = tail.rfind(b"PK\x05\x06")
+        k = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
         while k >= 0 and k + 22 + struct.unpack("<H", tail[k + 20 : k + 22])[0] != len(tail):
             k = tail.rfind(b"PK\x05\x06", 0, k)
         if k < 0:
