@@ -372,3 +372,85 @@ def persistence(rows: DataFrame, keys: list[str], most: int = 6) -> DataFrame:
     r = rows.withColumn("_g", F.coalesce(new, F.lit(0)))
     r = r.withColumn("_g", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return r.withColumn("in_a_row", F.row_number().over(Window.partitionBy(*keys, "_g").orderBy("bucket"))).drop("_g")
+
+
+# --- encrypted sessions
+
+
+def fingerprint_reference(hellos: DataFrame, ja4: str = "ja4", host: str = "src_ip", family: str = "family", order: str = "ts_us") -> DataFrame:
+    """(ja4, family, hosts, agreeing, confidence): the commonest family by fingerprint, each host counted once by its
+    first hello."""
+    first = hellos.groupBy(ja4, host).agg(F.min_by(family, order).alias("family"))
+    n = first.groupBy(ja4, "family").agg(F.count(F.lit(1)).alias("agreeing"))
+    total = n.groupBy(ja4).agg(F.sum("agreeing").alias("hosts"), F.max_by(F.struct("family", "agreeing"), F.struct("agreeing", "family")).alias("_b"))
+    return total.select(ja4, F.col("_b.family").alias("family"), "hosts", F.col("_b.agreeing").alias("agreeing"), (F.col("_b.agreeing") / F.col("hosts")).alias("confidence"))
+
+
+def encrypted_rule(packets: DataFrame, reference: DataFrame, order: list[str], least: int = 20, share: float = 0.15) -> DataFrame:
+    """Client hellos whose fingerprint disagrees with the host's TCP stack, or whose pairing is rare.
+
+    packets: ts_us, src_ip, flow (any key), tcp_print (empty but for SYNs), ja4 (null but for hellos).  A hello takes the
+    latest TCP fingerprint of its flow, else of its host; without one it is left out.  reference: ja4, expected (array
+    of families); it is small by its nature and broadcast."""
+    from flowmill.operators.joins import last_known
+
+    p = packets.withColumn("_fp", F.when(F.col("tcp_print") != "", F.col("tcp_print")))
+    h = last_known(p, ["flow"], ["src_ip"], order, "_fp").filter(F.col("ja4").isNotNull() & F.col("known").isNotNull())
+    h = h.withColumn("family", scalar.fingerprint_family(F.col("known")))
+    h = pair_outliers(h, "ja4", "family", order, least, share).join(F.broadcast(reference.select("ja4", "expected")), "ja4", "left")
+    h = h.withColumn("consistency", consistency(F.col("family"), F.col("expected"), F.col("expected").isNotNull()))
+    subtype = F.when(F.col("consistency") == 0, "ja4-tcp-fingerprint-disagreement").when((F.col("consistency") == 0.5) & F.col("outlier"), "ja4-tcp-pairing-outlier")
+    return h.withColumn("subtype", subtype).filter("subtype IS NOT NULL").drop("_fp", "known", "expected")
+
+
+# --- exports and decisions
+
+
+def flow_export(packets: DataFrame, keys: list[str], idle_us: int = 60 * SECOND, active_us: int = 120 * SECOND) -> DataFrame:
+    """Records as an exporter cuts them: a record ends after ``idle_us`` without a packet, or ``active_us`` after its start.
+
+    The idle cut is a window; within an idle run the active cut depends on the cuts before, so the run's distinct
+    seconds are folded in order."""
+    runs = windows.sessions(packets, keys, "ts_us", idle_us, F.array_sort(F.collect_set(F.floor(F.col("ts_us") / SECOND).cast("long"))).alias("_s"))
+    starts = runs.select(*keys, "session", F.explode(folds.cooldown(F.col("_s"), active_us // SECOND)).alias("start"))
+    w = Window.partitionBy(*keys).orderBy("ts_us")
+    p = packets.withColumn("session", (F.col("ts_us") - F.lag("ts_us").over(w) >= idle_us).cast("int")).withColumn("session", F.sum(F.coalesce("session", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    both = p.select(*keys, "session", F.floor(F.col("ts_us") / SECOND).cast("long").alias("second"), "ts_us", "packets", "length", "tcp_flags", F.lit(None).cast("long").alias("start"))
+    marks = starts.select(*keys, "session", F.col("start").alias("second"), F.lit(None).cast("long").alias("ts_us"), F.lit(0).alias("packets"), F.lit(0).cast("long").alias("length"), F.lit(0).alias("tcp_flags"), "start")
+    at = Window.partitionBy(*keys, "session").orderBy("second", F.col("start").isNull(), "ts_us").rowsBetween(Window.unboundedPreceding, 0)
+    r = both.unionByName(marks).withColumn("start", F.last("start", ignorenulls=True).over(at)).filter("ts_us IS NOT NULL")
+    return r.groupBy(*keys, "session", "start").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.sum("packets").alias("packets"), F.sum("length").alias("bytes"), F.bit_or("tcp_flags").alias("tcp_flags")).drop("session", "start")
+
+
+def supported(cls: Column, features: dict[str, Column]) -> Column:
+    """Whether an observation carries the evidence that its class needs."""
+    f = {k: F.coalesce(v, F.lit(0.0)) for k, v in features.items()}
+    z = F.lit(0.0)
+    get = lambda k: f.get(k, z)
+    return (
+        F.when(cls == "volumetric-ddos", (get("pps_to_dst") >= 25) | (get("half_open_60s") >= 120))
+        .when(cls == "c2-beaconing", get("beacon_sample_count") >= 12)
+        .when(cls == "dga-dns-tunnelling", (get("distinct_regdom_300s") >= 20) | (get("subdomain_cardinality") >= 50))
+        .when(cls == "encrypted-malware", get("ja4_observation_count") >= 1)
+        .when(cls == "recon-scanning", get("scan_probe_count_60s") >= 20)
+        .when(cls == "data-exfiltration", get("outbound_bytes_total") >= 100_000)
+        .otherwise(False)
+    )
+
+
+def model_alerts(scored: DataFrame, subject: str, ts: str, least: float = 0.99, rarity: float = 0.5, gap: int = 600 * SECOND, window: int = 600 * SECOND, most: int = 3) -> DataFrame:
+    """Alerts of the model alone.  scored: subject, ts, label, p, rarity, ruled (a rule fired on it), supported.
+
+    The gates on one row come first, then the cooldown of a subject, then the quota of a class; both fold over ordered
+    times of the few rows that are left."""
+    ok = scored.filter((~F.col("ruled")) & (F.col("label") != "benign") & (F.col("p") >= least) & F.col("supported") & (F.col("rarity") >= rarity))
+    cool = cooled(ok, [subject, "label"], ts, gap)
+    q = cool.groupBy("label").agg(F.array_sort(F.collect_set(F.col(ts))).alias("_t")).select("label", F.explode(folds.quota(F.col("_t"), window, most)).alias(ts))
+    return ok.join(cool.join(q, ["label", ts]), [subject, "label", ts])
+
+
+def enriched(detections: DataFrame, least: float = 0.5) -> DataFrame:
+    """Rule detections (confidence, severity, threat_class) with the model's confidence where label and p agree."""
+    agree = (F.col("label") == F.col("threat_class")) & (F.col("p") >= least) & ~F.coalesce("extended", F.lit(False))
+    conf = F.when(agree, F.greatest("confidence", "p")).otherwise(F.col("confidence"))
+    return detections.withColumns({"confidence": conf, "severity": F.when(agree, scalar.severity(conf)).otherwise(F.col("severity")), "source": F.when(agree, "ensemble").otherwise(F.col("source"))})

@@ -177,3 +177,58 @@ def test_isolation_forest_ranks_an_outlier_first():
     x = np.vstack([rng.normal(0, 1, (400, 3)), [[9, 9, 9]]])
     s = scoring.IsolationForest.fit(x).score(x)
     assert s.argmax() == 400 and 0 < s.min() and s.max() < 1
+
+
+def hello(ciphers, extensions):
+    """A ClientHello record; extensions: (kind, body)."""
+    ext = b"".join(struct.pack(">HH", k, len(b)) + b for k, b in extensions)
+    body = b"\x03\x03" + bytes(32) + b"\x00" + struct.pack(">H", 2 * len(ciphers)) + struct.pack(f">{len(ciphers)}H", *ciphers) + b"\x01\x00" + struct.pack(">H", len(ext)) + ext
+    return b"\x16\x03\x01" + struct.pack(">H", len(body) + 4) + b"\x01" + struct.pack(">I", len(body))[1:] + body
+
+
+def test_client_hello_to_ja4(spark, tmp_path):
+    import hashlib
+
+    sigs, ver, alpn = struct.pack(">HHH", 4, 0x0403, 0x0804), b"\x06\x0a\x0a\x03\x04\x03\x03", b"\x00\x03\x02h2"
+    raw = hello([0x0A0A, 0x1302, 0x1301], [(0xFAFA, b""), (0, b"x"), (43, ver), (16, alpn), (13, sigs)])
+    tcp = struct.pack(">HHIIBBHHH", 50_000, 443, 0, 0, 5 << 4, 24, 1000, 0, 0)
+    captures.write_pcap(str(tmp_path / "t.pcap"), [(1_000_000_000, captures.ipv4(6, "10.0.0.1", "10.0.0.2", tcp + raw)), (1_000_000_001, captures.ipv4(6, "10.0.0.1", "10.0.0.2", tcp + raw[:60]))])
+    rows = captures.with_fingerprints(captures.packets(spark, str(tmp_path))).orderBy("pos").collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()[:12]
+    assert rows[0]["ja4"] == f"t13d0204h2_{sha('1301,1302')}_{sha('000d,002b_0403,0804')}"
+    assert rows[1]["tls_client"] is True
+
+
+def test_encrypted_rule(spark):
+    linux, windows_ = "64:65535:1460:mss,sok,ts,nop,ws", "128:65535:1460:mss,nop,ws,nop,nop,sok"
+    rows = [(1, 1, 7, "f1", windows_, None), (2, 2, 7, "f1", "", "chrome"), (3, 3, 8, "f2", linux, None), (4, 4, 8, "f2", "", "chrome"), (5, 5, 8, "f3", "", "chrome"), (6, 6, 9, "f4", "", "chrome")]
+    p = spark.createDataFrame(rows, "event_id long, ts_us long, src_ip long, flow string, tcp_print string, ja4 string")
+    ref = spark.createDataFrame([("chrome", ["windows"])], "ja4 string, expected array<string>")
+    hits = detectors.encrypted_rule(p, ref, ["ts_us", "event_id"]).orderBy("ts_us").collect()
+    assert [(r["event_id"], r["subtype"]) for r in hits] == [(4, "ja4-tcp-fingerprint-disagreement"), (5, "ja4-tcp-fingerprint-disagreement")]
+    built = detectors.fingerprint_reference(p.filter("ja4 IS NOT NULL").withColumn("family", F.when(F.col("src_ip") == 7, "windows").otherwise("linux"))).collect()[0]
+    assert (built["family"], built["hosts"], built["agreeing"]) == ("linux", 3, 2)
+
+
+def test_flow_export_cuts_idle_and_active_runs(spark):
+    ts = [0, 50, 100, 150, 200, 250, 400, 401]
+    p = spark.createDataFrame([(1, t * 1_000_000, 1, 10, 2) for t in ts], "src_ip long, ts_us long, packets int, length long, tcp_flags int")
+    got = sorted((r["first_us"] // 1_000_000, r["last_us"] // 1_000_000, r["packets"]) for r in detectors.flow_export(p, ["src_ip"]).collect())
+    assert got == [(0, 100, 3), (150, 250, 3), (400, 401, 2)]
+
+
+def test_model_alerts_pass_all_gates(spark):
+    rows = [(1, t, "recon-scanning", 0.995, 0.9, False, True) for t in (0, 100, 700, 1500)] + [(2, 5, "recon-scanning", 0.995, 0.9, True, True), (3, 5, "recon-scanning", 0.9, 0.9, False, True), (4, 6, "benign", 0.999, 0.9, False, True), (5, 7, "recon-scanning", 0.995, 0.1, False, True), (6, 8, "recon-scanning", 0.995, 0.9, False, False)]
+    s = spark.createDataFrame(rows, "subject long, ts long, label string, p double, rarity double, ruled boolean, supported boolean")
+    got = sorted((r["subject"], r["ts"]) for r in detectors.model_alerts(s, "subject", "ts", gap=600, window=600, most=3).collect())
+    assert got == [(1, 0), (1, 700), (1, 1500)]
+
+
+def test_streamed_windows_equal_batch(spark):
+    from flowmill.plans import registry
+
+    q = registry.queries()
+    sf = "/root/testdata/sf0.001"
+    batch = q["tumbling_counts"](spark, sf).select(F.col("src_ip").alias("user_id"), "n")
+    stream = q["stream_tumbling"](spark, sf).select("user_id", "n")
+    assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
