@@ -227,3 +227,51 @@ SELECT src_ip, bucket, round(window_duration_s, 9) AS window_duration_s, packets
 def novelty_windows(t):
     p = _p(t).withColumn("forward", F.col("tcp_flags").isin(2, 16))
     return rounded(detectors.novelty_windows(p, ["src_ip"], DAY), 9).select("src_ip", "bucket", "window_duration_s", "packets", "packet_rate", "mean_packet_size", "reverse_packet_share")
+
+
+@query()
+def feature_groups(t):
+    """Every group's features by their registry names, one row a feature: how many rows carry it."""
+    from flowmill.operators import features
+
+    p = _p(t)
+    groups = [features.flow_features(p, 3 * DAY), features.ddos(p, DAY, 7 * DAY), features.scan(p, (DAY, 7 * DAY, 28 * DAY)), features.exfil(p, DAY), features.beacons(p, ["src_ip"], "ts_us", "event_id")]
+    out = None
+    for g in groups:
+        one = g.agg(*[F.count(c).alias(c) for c in g.columns]).unpivot([], g.columns, "name", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT 'not_a_feature' AS name")
+def registry_drift(t):
+    from flowmill.functions import features
+
+    names = t.spark.createDataFrame([("duration",), ("splt_len",), ("not_a_feature",)], "name string")
+    return features.unregistered(names)
+
+
+@query("SELECT 104 AS features, 97 AS model_inputs")
+def registry_counts(t):
+    from flowmill.functions import features
+
+    return features.registry(t.spark).agg(F.count(F.lit(1)).cast("int").alias("features"), F.count_if("model_input").cast("int").alias("model_inputs"))
+
+
+@query()
+def flow_export(t):
+    return detectors.flow_export(_p(t), ["src_ip"], 12 * HOUR, 2 * DAY)
+
+
+@query(f"""WITH {P}, f AS (SELECT dst_ip, src_ip, arg_min(tcp_flags, ts_us) AS family FROM p GROUP BY ALL), n AS (SELECT dst_ip, family, count(*) AS agreeing FROM f GROUP BY ALL)
+SELECT dst_ip AS ja4, arg_max(family, agreeing * 100 + family) AS family, CAST(sum(agreeing) AS BIGINT) AS hosts, max(agreeing) AS agreeing, round(max(agreeing) / sum(agreeing), 6) AS confidence FROM n GROUP BY 1""")
+def fingerprint_reference(t):
+    p = _p(t).withColumnRenamed("dst_ip", "ja4")
+    return rounded(detectors.fingerprint_reference(p, "ja4", "src_ip", "tcp_flags", "ts_us"), 6)
+
+
+@query(f"""WITH {P} SELECT event_id, len(list_distinct(list(dst_port) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW))) AS n FROM p""")
+def distinct_in_range(t):
+    from flowmill.operators import features
+
+    return _p(t).select("event_id", features.distinct_per(["src_ip"], "dst_port", "ts_us", DAY).cast("long").alias("n"))
