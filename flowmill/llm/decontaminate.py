@@ -118,7 +118,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """The rows of ``docs``, all columns, that no window of an item occurs in."""
     hit = passage_hits(docs, benchmark, window).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     key = F.xxhash64(docs["text"].cast("string"))
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_id"]) & (key == hit["_key"]), "left_anti")
 
 
 def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFrame:

@@ -142,8 +142,7 @@ def _likely(pairs: DataFrame, percent: float) -> DataFrame:
                 continue
             n = batch.num_rows
             x, y = (setsketch.registers(np.asarray(batch.column(c).flatten()).reshape(n, -1)) for c in (2, 3))
-            j = setsketch.similarity(x, y, np.asarray(batch.column(4)), np.asarray(batch.column(5)))
-            yield batch.select([0, 1]).filter(pa.array(j >= least))
+            yield batch.select([0, 1]).filter(pa.array(setsketch.may_reach(x, y, np.asarray(batch.column(4)), np.asarray(batch.column(5)), least)))
 
     return pairs.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
 
@@ -185,12 +184,11 @@ class _Block:
         y = np.flatnonzero(self.others & (self.component != self.component[x]))
         if self.within:
             y = y[y > x]
-        y = y[(self.reg[y] == self.reg[x]).sum(1) >= (self.least - 0.1) * self.reg.shape[1]]
         y = y[~(self.keys[y, : self.band] == self.keys[x, : self.band]).any(1)]
+        y = y[(self.reg[y] == self.reg[x]).sum(1) >= (self.least - 0.1) * self.reg.shape[1]]
         if not len(y):
             return y
-        same = np.broadcast_to(self.reg[x], self.reg[y].shape)
-        return y[setsketch.similarity(same, self.reg[y], np.full(len(y), self.size[x]), self.size[y]) >= self.least]
+        return y[setsketch.may_reach(self.reg[x][None, :], self.reg[y], np.full(len(y), self.size[x]), self.size[y], self.least)]
 
     def join(self, x: int, y: int) -> None:
         self.component[self.component == self.component[y]] = self.component[x]
@@ -237,14 +235,14 @@ def _joined(members: DataFrame, percent: float) -> DataFrame:
                 continue
             own = flat[first[x] : first[x + 1]]
             mine[own] = True
-            for k in y.tolist():
-                if block.component[k] != block.component[x]:
-                    shared = int(mine[flat[first[k] : first[k + 1]]].sum())
-                    if 100 * shared >= percent * (size[x] + size[k] - shared):
-                        a.append(block.names[x])
-                        b.append(block.names[k])
-                        block.join(x, k)
+            hit = mine[np.concatenate([flat[first[k] : first[k + 1]] for k in y.tolist()])]
+            shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[y]) - size[y])
             mine[own] = False
+            for k in y[100 * shared >= percent * (size[x] + size[y] - shared)].tolist():
+                if block.component[k] != block.component[x]:
+                    a.append(block.names[x])
+                    b.append(block.names[k])
+                    block.join(x, k)
         return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
     return members.groupBy("band", "key", "i", "j").applyInPandas(link, "a binary, b binary")
@@ -302,12 +300,13 @@ def keep_one(docs: DataFrame, words: int = 5, percent: float = 80) -> DataFrame:
     marked = storage.materialize(each.join(first, "group").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n", (place == F.col("first")).alias("stays")), "marked")
 
     def at(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-        return rows.join(marks.select("_id", "_key"), rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(rows["text"].cast("string")) == F.col("_key")), how)
+        m = marks.select("_id", "_key")
+        return rows.join(m, rows["doc_id"].cast("long").eqNullSafe(m["_id"]) & (F.xxhash64(rows["text"].cast("string")) == m["_key"]), how)
 
     out = at(docs, marked.filter("NOT stays"), "left_anti")
     again = marked.filter("stays AND n > 1")
     if again.isEmpty():
         return out
     key = F.xxhash64(F.col("text").cast("string"))
-    one = at(out, again, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return at(out, again, "left_anti").unionByName(one)
+    same = at(out, again, "left_semi").groupBy("doc_id", key).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return at(out, again, "left_anti").unionByName(same)

@@ -54,3 +54,22 @@ def similarity(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -
     up, down = p(u - v * j), p(v - u * j)
     ll = more * np.log(up) + less * np.log(down) + same * np.log(np.clip(1 - up - down, 1e-12, 1))
     return j[np.arange(len(j)), ll.argmax(1)]
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, least: float) -> np.ndarray:
+    """Whether the similarity of greatest joint likelihood is at least ``least``, by the slope of the likelihood there: it
+    is concave, so a slope of zero or more puts its top at or beyond that point."""
+    more, less = (x > y).sum(1), (x < y).sum(1)
+    same = x.shape[1] - more - less
+    total = (n_x + n_y).astype(np.float64)
+    u, v = n_x / total, n_y / total
+    fits = least <= np.minimum(u / v, v / u)
+    c = (B - 1) / B
+
+    def p(t):
+        t = np.maximum(t, 1e-9)
+        return -np.log1p(-t * c) / np.log(B), c / np.log(B) / (1 - t * c)
+
+    (up, d_up), (down, d_down) = p(u - v * least), p(v - u * least)
+    slope = -more * v * d_up / up - less * u * d_down / down + same * (v * d_up + u * d_down) / np.maximum(1 - up - down, 1e-9)
+    return fits & (slope >= 0)

@@ -117,3 +117,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert clean[1]["text"] == good and "[SECRET]" in clean[4]["text"] and clean[4]["n_chars"] == len(clean[4]["text"])
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == {1, 4}
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(80))
+    names = "doc_id long, text string, lang string, source string, n_chars long, bits string, kept string, _id long, _key long, n_words string"
+    docs = spark.createDataFrame([(1, text, "en", "s", 5, "b", "k", 7, 8, "w"), (2, text + " end", "en", "s", 5, "b", "k", 7, 8, "w"), (2, text + " end", "en", "s", 5, "b", "k", 7, 8, "w"), (None, text[::-1], None, None, None, None, None, None, None, None), (None, text[::-1], None, None, None, None, None, None, None, None)], names)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [x.split()[0] for x in names.split(", ")], name
+    got = sorted(docs.collect(), key=lambda r: r["doc_id"] or 0)
+    assert [(r["doc_id"], r["bits"], r["_id"], r["n_words"]) for r in got] == [(None, None, None, None), (1, "b", 7, "w")]
