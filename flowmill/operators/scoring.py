@@ -174,3 +174,33 @@ def isotonic(rows: DataFrame, p: str, truth: str, weight: str | None = None) ->
     fit = IsotonicRegression(featuresCol="_x", labelCol=truth)
     model = (fit.setWeightCol(weight) if weight else fit).fit(v)
     return list(map(float, model.boundaries.toArray())), list(map(float, model.predictions.toArray()))
+
+
+def ablation_arms(rows: DataFrame, rule: str, model: str, rarity: str, benign: str = "benign", least: float = 0.5) -> DataFrame:
+    """rows with the prediction of each arm: rules alone, model alone, both (rule first, then a rare enough model call)."""
+    both = F.when(F.col(rule) != benign, F.col(rule)).when((F.col(model) != benign) & (F.col(rarity) >= least), F.col(model)).otherwise(F.lit(benign))
+    return rows.withColumns({"rules_only": F.col(rule), "model_only": F.col(model), "both": both})
+
+
+def bootstrap(rows: DataFrame, id_: str, value: Column, draws: int = 400, seed: int = 0) -> DataFrame:
+    """(draw, mean): Poisson bootstrap; a row's weight in a draw comes from the hash of its id, so it is the same anywhere."""
+    u = F.pmod(F.xxhash64(F.col(id_), F.col("draw"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    cut = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cut), F.lit(0))
+    drawn = rows.select(id_, value.alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    return drawn.withColumn("_w", weight).groupBy("draw").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("mean"))
+
+
+def quality_gates(report: DataFrame, precision: float = 0.95, recall: float = 0.90, least_rows: int = 100) -> DataFrame:
+    """Classes of a report (cls, support, precision, recall) that miss a gate, and which."""
+    why = F.when(F.col("support") < least_rows, "rows").when(F.col("precision") < precision, "precision").when(F.col("recall") < recall, "recall")
+    return report.withColumn("gate", why).filter("gate IS NOT NULL")
+
+
+def episodes(windows: DataFrame, rows: DataFrame, label: str, fired: str, at: str, cell: int) -> DataFrame:
+    """Per labelled window (id, start, end, label): rows in it, rows that fired its label, the first of them."""
+    from flowmill.operators.joins import interval_join
+
+    hit = interval_join(rows, windows.withColumnRenamed(label, "_label"), at, "start", "end", cell)
+    n = hit.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(fired) == F.col("_label")).alias("fired"), F.min(F.when(F.col(fired) == F.col("_label"), F.col(at))).alias("first"))
+    return windows.join(n, "id", "left").na.fill(0, ["rows", "fired"])

@@ -97,3 +97,13 @@ def false_alerts_per_hour(t):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     g = t.events.groupBy("user_id").agg(F.count_if(F.col("value") > 95).alias("n"), ((F.max(us) - F.min(us)) / 1e6).alias("s"))
     return g.agg(F.round(F.sum("n") / (F.sum("s") / 3600.0), 6).alias("per_hour"))
+
+
+@query("SELECT event_id, 'Seen: ' || printf('%.1f', value) || ' bytes leaving for every byte arriving, something else ' || printf('%.2f', value) || '.' || CASE WHEN event_id % 4 = 0 THEN ' Raised while shedding at tier drop-metrics, so evidence depth is reduced.' ELSE '' END AS text FROM events WHERE round(value, 0) = value OR event_id < 0")
+def explain_text(t):
+    from flowmill.operators import explain
+
+    e = t.events.filter(F.round("value", 0) == F.col("value"))
+    ev = F.array(F.struct(F.lit("out_in_byte_ratio").alias("feature"), F.col("value").alias("value")), F.struct(F.lit("something_else").alias("feature"), F.col("value").alias("value")))
+    tier = explain.shedding_tier(F.when(F.col("event_id") % 4 == 0, 60).otherwise(0), 50, 100)
+    return e.select("event_id", explain.summary(ev, F.lit("Seen"), tier).alias("text"))

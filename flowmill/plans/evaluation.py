@@ -123,3 +123,24 @@ def forest_classifier(t):
 def isotonic_calibration(t):
     x, y = scoring.isotonic(scored(t), "p", "y")
     return t.spark.createDataFrame(list(zip(x, y, strict=True)), "x double, y double")
+
+
+@query(f"WITH {SCORED} SELECT CASE WHEN yhat = 1 THEN 'long' WHEN lang <> 'en' AND p >= 0.1 THEN lang ELSE 'benign' END AS both, count(*) AS n FROM s GROUP BY 1")
+def ablation_arms(t):
+    s = scored(t).withColumns({"rule": F.when(F.col("yhat") == 1, "long").otherwise("benign"), "model": F.when(F.col("lang") != "en", F.col("lang")).otherwise("benign")})
+    return scoring.ablation_arms(s, "rule", "model", "p", least=0.1).groupBy("both").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 100 AS draws, true AS near")
+def bootstrap_draws(t):
+    s = scored(t)
+    d = scoring.bootstrap(s, "doc_id", F.col("y"), 100)
+    mean = s.agg(F.avg("y").alias("m"))
+    return d.crossJoin(F.broadcast(mean)).agg(F.count(F.lit(1)).cast("int").alias("draws"), (F.abs(F.avg("mean") - F.first("m")) < 0.05).alias("near"))
+
+
+@query(f"""WITH {SCORED}, w(id, a, b, label) AS (VALUES (1, 0, 200, 1), (2, 100, 600, 0), (3, 100000000, 100000001, 1))
+SELECT id, count(doc_id) AS rows, count(*) FILTER (yhat = label) AS fired, min(doc_id) FILTER (yhat = label) AS first FROM w LEFT JOIN s ON doc_id BETWEEN a AND b GROUP BY id""")
+def episode_table(t):
+    w = t.spark.createDataFrame([(1, 0, 200, 1), (2, 100, 600, 0), (3, 100_000_000, 100_000_001, 1)], "id int, start long, end long, label int")
+    return scoring.episodes(w, scored(t).select("doc_id", "yhat"), "label", "yhat", "doc_id", 100).select("id", "rows", "fired", "first")

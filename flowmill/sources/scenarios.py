@@ -75,3 +75,29 @@ def names(spark: SparkSession, seed: int, n: int = 550, start: int = 120, second
     q = spark.range(n).select("id", _at(seed, start, seconds).alias("ts_us"), F.concat(label, F.lit(".net")).alias("qname"))
     both = q.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_response"))
     return both.select(F.lit((10 << 24) | (20 << 16) | (1 << 8) | 12).alias("src_ip"), (F.col("ts_us") + F.when(F.col("is_response"), 2000).otherwise(0)).alias("ts_us"), "is_response", F.when(_unit(seed, 3) < 0.97, 3).otherwise(0).alias("rcode"), F.lit(0).alias("answers"), F.lit(1).alias("qtype"), "qname")
+
+
+def udp_reflection(spark: SparkSession, seed: int, start: int = 60, seconds: int = 45, requests: int = 1575) -> DataFrame:
+    """Requests in the victim's name to 48 reflectors, two large replies each."""
+    reflector = F.lit((198 << 24) | (51 << 16)) + _pick(seed, 2, 48)
+    victim = F.lit((10 << 24) | (20 << 16) | (4 << 8) | 25)
+    out = F.col("id") % 15 == 14  # most requests never pass here: they were sent from elsewhere
+    service = F.when(_unit(seed, 3) < 0.5, 53).otherwise(123)
+    return _packets(spark, requests * 2, proto=17, ts_us=_at(seed, start, seconds), src_ip=F.when(out, victim).otherwise(reflector), dst_ip=F.when(out, reflector).otherwise(victim), src_port=F.when(out, 40_000).otherwise(service), dst_port=F.when(out, service).otherwise(40_000), length=F.when(out, 60).otherwise(420 + _pick(seed, 5, 120)), tcp_flags=0, scenario="udp_reflection")
+
+
+def slowloris(spark: SparkSession, seed: int, start: int = 90, connections: int = 400, sources: int = 14) -> DataFrame:
+    """Half-open connections from few sources, small drips, no teardown."""
+    src = F.lit((172 << 24) | (16 << 16)) + F.col("id") % sources
+    port = (1024 + F.floor(F.col("id") / 8) * 37 % 60_000).cast("int")
+    n = connections * 8
+    first = F.col("id") % 8 == 0
+    at = (F.lit(BASE_US + start * SECOND) + F.floor((F.col("id") % 8) * 8.0 * SECOND + F.floor(F.col("id") / 8) * 100_000)).cast("long")
+    return _packets(spark, n, ts_us=at, src_ip=src, dst_ip=F.lit((10 << 24) | (20 << 16) | (4 << 8) | 26), src_port=port, dst_port=80, tcp_flags=F.when(first, 2).otherwise(24), length=F.when(first, 44).otherwise(90), scenario="slowloris")
+
+
+def tunnel(spark: SparkSession, seed: int, n: int = 2200, start: int = 60, seconds: int = 480, zone: str = "relay-example.net") -> DataFrame:
+    """DNS queries of one host with long random labels below one zone, mostly TXT; columns as of ``names`` and domain."""
+    label = F.concat_ws("", *[F.substr(F.lit("abcdefghijklmnopqrstuvwxyz234567"), (_pick(seed, 30 + k, 32) + 1).cast("int"), F.lit(1)) for k in range(44)])
+    q = spark.range(n).select(F.lit((10 << 24) | (20 << 16) | (1 << 8) | 14).alias("src_ip"), _at(seed, start, seconds).alias("ts_us"), F.lit(False).alias("is_response"), F.lit(0).alias("rcode"), F.lit(0).alias("answers"), F.when(_unit(seed, 3) < 0.7, 16).otherwise(10).alias("qtype"), F.concat(label, F.lit(f".{zone}")).alias("qname"))
+    return q.withColumn("domain", F.lit(zone))

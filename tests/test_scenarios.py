@@ -232,3 +232,25 @@ def test_streamed_windows_equal_batch(spark):
     batch = q["tumbling_counts"](spark, sf).select(F.col("src_ip").alias("user_id"), "n")
     stream = q["stream_tumbling"](spark, sf).select("user_id", "n")
     assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
+
+
+def test_reflection(spark, background):
+    hits = {r["subtype"] for r in ddos(both(background, scenarios.udp_reflection(spark, SEED))).collect()}
+    assert hits == {"udp-reflection-amplification"}
+
+
+def test_slow_connections(spark, background):
+    hits = {r["subtype"] for r in ddos(both(background, scenarios.slowloris(spark, SEED))).collect()}
+    assert hits == {"connection-exhaustion"}
+
+
+def test_tunnel(spark):
+    hits = detectors.tunnel_rule(detectors.dns_zones(scenarios.tunnel(spark, SEED))).collect()
+    assert hits and {r["domain"] for r in hits} == {"relay-example.net"}
+
+
+def test_drifting_features_are_named(spark):
+    from flowmill.functions import features
+
+    assert len(features.model_inputs()) == 97
+    assert [r["name"] for r in features.unregistered(spark.createDataFrame([("duration",), ("odd",)], "name string")).collect()] == ["odd"]
