@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from flowmill.plans.registry import query
 from flowmill.streaming import jobs
 
-FALLBACK = "/tmp/checkpoints/flowmill-streams"
+LOCAL_FALLBACK = "/tmp/checkpoints/flowmill-streams"
 
 
 def checkpoint(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK
+    """A new folder in the cluster's shared one; only a local session without one uses this machine's."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = LOCAL_FALLBACK if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
 
 
