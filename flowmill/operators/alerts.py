@@ -132,3 +132,20 @@ def latest(alerts: DataFrame, n: int, seq: str = "seq") -> DataFrame:
 def dedupe(alerts: DataFrame) -> DataFrame:
     """One row an id: the first stored."""
     return alerts.groupBy("id").agg(F.min_by(F.struct(*[c for c in alerts.columns if c != "id"]), "seq").alias("_r")).select("id", "_r.*")
+
+
+def ledger_head(ledger: DataFrame, order: str = "pos") -> DataFrame:
+    """(records, head): the number of lines and the last hash."""
+    return ledger.agg(F.count(F.lit(1)).alias("records"), F.max_by("hash", order).alias("head"))
+
+
+def anchors(ledger: DataFrame, every: int = 100, order: str = "pos") -> DataFrame:
+    """(count, chain_head) after every ``every`` lines; unsigned."""
+    return ledger.filter((F.col(order) + 1) % every == 0).select((F.col(order) + 1).alias("count"), F.col("hash").alias("chain_head"))
+
+
+def check_anchors(anchors_: DataFrame, ledger: DataFrame, order: str = "pos") -> DataFrame:
+    """Anchors that the ledger does not bear out: (count, state)."""
+    at = ledger.select((F.col(order) + 1).alias("count"), F.col("hash").alias("_h"))
+    state = F.when(F.col("_h").isNull(), "beyond the ledger").when(F.col("_h") != F.col("chain_head"), "differs")
+    return anchors_.join(at, "count", "left").withColumn("state", state).filter("state IS NOT NULL").select("count", "state")

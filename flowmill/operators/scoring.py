@@ -204,3 +204,32 @@ def episodes(windows: DataFrame, rows: DataFrame, label: str, fired: str, at: st
     hit = interval_join(rows, windows.withColumnRenamed(label, "_label"), at, "start", "end", cell)
     n = hit.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(fired) == F.col("_label")).alias("fired"), F.min(F.when(F.col(fired) == F.col("_label"), F.col(at))).alias("first"))
     return windows.join(n, "id", "left").na.fill(0, ["rows", "fired"])
+
+
+def auroc(rows: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
+    """Area under the ROC curve by key: the share of (positive, negative) pairs in order, ties half.  From counts by
+    distinct score, never from pairs of rows."""
+    c = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(truth) > 0, 1).otherwise(0)).alias("_p"), F.sum(F.when(F.col(truth) > 0, 0).otherwise(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    g = c.groupBy(*keys).agg(F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)).alias("_s"), F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
+    return g.select(*keys, F.when((F.col("_tp") > 0) & (F.col("_tn") > 0), F.col("_s") / (F.col("_tp") * F.col("_tn"))).alias("auroc"))
+
+
+def family_recall(rows: DataFrame, family: str, truth: str, hit: Column) -> DataFrame:
+    """(family, positives, recall): share of each family's positives that were called."""
+    g = rows.filter(F.col(truth) > 0).groupBy(family).agg(F.count(F.lit(1)).alias("positives"), F.count_if(hit).alias("_h"))
+    return g.select(family, "positives", (F.col("_h") / F.col("positives")).alias("recall"))
+
+
+def spaced(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, evenly spaced in order; a sampling operator."""
+    w = Window.orderBy(*order)
+    r = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    step = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
+    return r.filter(F.col("_i") % step == 0).drop("_i", "_n")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(missing, extra): rows of a that b lacks, counted with repeats, and the other way."""
+    return a.exceptAll(b).agg(F.count(F.lit(1)).alias("missing")).crossJoin(b.exceptAll(a).agg(F.count(F.lit(1)).alias("extra")))

@@ -107,3 +107,23 @@ def explain_text(t):
     ev = F.array(F.struct(F.lit("out_in_byte_ratio").alias("feature"), F.col("value").alias("value")), F.struct(F.lit("something_else").alias("feature"), F.col("value").alias("value")))
     tier = explain.shedding_tier(F.when(F.col("event_id") % 4 == 0, 60).otherwise(0), 50, 100)
     return e.select("event_id", explain.summary(ev, F.lit("Seen"), tier).alias("text"))
+
+
+CHAIN = """l AS (SELECT o_orderkey - 1 AS pos, 'sha256:' || sha256(o_orderstatus || '|' || o_orderkey) AS hash FROM orders WHERE o_orderkey BETWEEN 1 AND 500)"""
+
+
+def chain(t):
+    o = t.orders.filter("o_orderkey BETWEEN 1 AND 500")
+    return o.select((F.col("o_orderkey") - 1).alias("pos"), F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", "o_orderstatus", F.col("o_orderkey").cast("string")), 256)).alias("hash"))
+
+
+@query(f"WITH {CHAIN} SELECT count(*) AS records, arg_max(hash, pos) AS head FROM l")
+def ledger_head(t):
+    return alerts.ledger_head(chain(t))
+
+
+@query(f"WITH {CHAIN} SELECT pos + 1 AS count, 'differs' AS state FROM l WHERE pos + 1 = 200 UNION ALL SELECT pos + 1, 'beyond the ledger' FROM l WHERE (pos + 1) % 100 = 0 AND pos >= 450")
+def ledger_anchors(t):
+    l = chain(t)
+    a = alerts.anchors(l).withColumn("chain_head", F.when(F.col("count") == 200, "x").otherwise(F.col("chain_head")))
+    return alerts.check_anchors(a, l.filter("pos < 450"))

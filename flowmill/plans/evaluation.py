@@ -144,3 +144,30 @@ SELECT id, count(doc_id) AS rows, count(*) FILTER (yhat = label) AS fired, min(d
 def episode_table(t):
     w = t.spark.createDataFrame([(1, 0, 200, 1), (2, 100, 600, 0), (3, 100_000_000, 100_000_001, 1)], "id int, start long, end long, label int")
     return scoring.episodes(w, scored(t).select("doc_id", "yhat"), "label", "yhat", "doc_id", 100).select("id", "rows", "fired", "first")
+
+
+@query(f"WITH {SCORED}, a AS (SELECT lang, p FROM s WHERE y > 0), b AS (SELECT lang, p FROM s WHERE y = 0) SELECT lang, round(avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END), 6) AS auroc FROM a JOIN b USING (lang) GROUP BY lang")
+def auroc_by_language(t):
+    return scoring.auroc(scored(t), ["lang"], "y", "p").withColumn("auroc", F.round("auroc", 6))
+
+
+@query(f"WITH {SCORED} SELECT lang, count(*) AS positives, round(count(*) FILTER (yhat = 1) / count(*), 6) AS recall FROM s WHERE y > 0 GROUP BY 1")
+def family_recall(t):
+    return scoring.family_recall(scored(t), "lang", "y", F.col("yhat") == 1).withColumn("recall", F.round("recall", 6))
+
+
+@query("SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i % greatest(1, CAST(ceil(n / 64) AS BIGINT)) = 0")
+def spaced_sample(t):
+    return scoring.spaced(t.events, ["value", "event_id"], 64).select("event_id", "value")
+
+
+@query("SELECT (SELECT count(*) FROM customer WHERE c_custkey % 9 = 0 AND c_custkey % 8 <> 0) AS missing, (SELECT count(*) FROM customer WHERE c_custkey % 8 = 0 AND c_custkey % 9 <> 0) AS extra")
+def frame_equality(t):
+    c = t.customer.select("c_custkey")
+    return scoring.same_rows(c, c.filter("c_custkey % 9 <> 0").unionByName(c.filter("c_custkey % 8 = 0")))
+
+
+@query(f"WITH {SCORED}, f AS (SELECT lang, yhat, round(avg(y), 6) AS rate, count(*) AS n FROM s GROUP BY ALL) SELECT lang, arg_max(yhat, rate * 1000000 + yhat) AS best, max(rate) AS rate FROM f GROUP BY lang")
+def best_candidate(t):
+    f = scored(t).groupBy("lang", "yhat").agg(F.round(F.avg("y"), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
+    return f.groupBy("lang").agg(F.max_by("yhat", F.struct("rate", "yhat")).alias("best"), F.max("rate").alias("rate"))

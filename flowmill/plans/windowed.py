@@ -155,3 +155,23 @@ def persistence_count(t):
 def monotonic_clamp(t):
     w = Window.partitionBy("src_ip").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     return _p(t).select("event_id", F.max("ts_us").over(w).alias("clamped"))
+
+
+@query(f"WITH {P} SELECT event_id, count(*) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS rate FROM p")
+def sliding_rate(t):
+    w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-DAY, 0)
+    return _p(t).select("event_id", F.count(one).over(w).alias("rate"))
+
+
+@query(f"WITH {P}, c AS (SELECT dst_ip, ts_us // {DAY} AS bucket, src_ip, count(*) AS n FROM p GROUP BY ALL) SELECT dst_ip, bucket, round(max(n) / sum(n), 6) AS share, count(*) AS sources FROM c GROUP BY ALL")
+def top_source_share(t):
+    c = windows.tumbling(_p(t), ["dst_ip", "src_ip"], "ts_us", DAY, F.count(one).alias("n"))
+    return c.groupBy("dst_ip", "bucket").agg(F.round(F.max("n") / F.sum("n"), 6).alias("share"), F.count(one).alias("sources"))
+
+
+@query(f"WITH {P}, b AS (SELECT src_ip, w, ts_us // (w * {DAY}) AS bucket, count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS hosts FROM p, (VALUES (1), (7), (28)) v(w) GROUP BY ALL) SELECT src_ip, w, max(ports) AS ports, max(hosts) AS hosts FROM b GROUP BY ALL")
+def distinct_multi_scale(t):
+    scales = F.explode(F.array(*map(F.lit, (1, 7, 28)))).alias("w")
+    p = _p(t).select("src_ip", "ts_us", "dst_port", "dst_ip", scales)
+    b = p.groupBy("src_ip", "w", F.floor(F.col("ts_us") / (F.col("w") * DAY)).alias("bucket")).agg(F.count_distinct("dst_port").alias("ports"), F.count_distinct("dst_ip").alias("hosts"))
+    return b.groupBy("src_ip", "w").agg(F.max("ports").alias("ports"), F.max("hosts").alias("hosts"))

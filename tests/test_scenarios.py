@@ -254,3 +254,14 @@ def test_drifting_features_are_named(spark):
 
     assert len(features.model_inputs()) == 97
     assert [r["name"] for r in features.unregistered(spark.createDataFrame([("duration",), ("odd",)], "name string")).collect()] == ["odd"]
+
+
+def test_framed_stream(spark, tmp_path):
+    frame = captures.ipv4(6, "10.0.0.1", "10.0.0.2", struct.pack(">HHIIBBHHH", 1, 2, 0, 0, 5 << 4, 2, 0, 0, 0))
+    one = lambda ns: struct.pack(">QI", ns, len(frame)) + frame
+    head = captures.FRAMED + struct.pack(">I", captures.RAW)
+    (tmp_path / "a.frames").write_bytes(head + one(5) + one(9))
+    assert [r["ts_ns"] for r in captures.packets(spark, str(tmp_path)).orderBy("pos").collect()] == [5, 9]
+    for bad in (head[:6], head + one(9) + one(5), head + one(5)[:-1], head + struct.pack(">QI", 1, captures.MOST_FRAME + 1)):
+        with pytest.raises(ValueError):
+            list(captures.records(bad))
