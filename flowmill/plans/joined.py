@@ -8,7 +8,6 @@ from flowmill.sources.packets import EVENTS_AS_PACKETS_SQL, events_as_packets
 
 P = f"p AS ({EVENTS_AS_PACKETS_SQL})"
 DAY = 86_400_000_000
-one = F.lit(1)
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
@@ -48,7 +47,7 @@ def join_cross_small(t):
 
 @query("SELECT n_name, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def join_broadcast_ref(t):
-    per = t.lineitem.groupBy("l_suppkey").agg(F.count(one).alias("n"), F.sum("l_extendedprice").alias("total"))
+    per = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total"))
     r = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     return per.join(r, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("n_name").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
@@ -56,7 +55,7 @@ def join_broadcast_ref(t):
 @query(f"""WITH {P}, i AS (SELECT dst_ip AS host, ts_us // {DAY} AS day, count(*) AS n_in FROM p GROUP BY ALL), o AS (SELECT src_ip AS host, ts_us // {DAY} AS day, count(*) AS n_out FROM p GROUP BY ALL)
 SELECT host, day, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM i FULL JOIN o USING (host, day)""")
 def join_self_egress(t):
-    side = F.explode(F.array(F.struct(F.col("dst_ip").alias("host"), one.alias("i")), F.struct(F.col("src_ip").alias("host"), F.lit(0).alias("i")))).alias("e")
+    side = F.explode(F.array(F.struct(F.col("dst_ip").alias("host"), F.lit(1).alias("i")), F.struct(F.col("src_ip").alias("host"), F.lit(0).alias("i")))).alias("e")
     p = events_as_packets(t.events).select(F.floor(F.col("ts_us") / DAY).alias("day"), side)
     return p.groupBy("e.host", "day").agg(F.sum("e.i").cast("long").alias("n_in"), F.sum(1 - F.col("e.i")).cast("long").alias("n_out"))
 
@@ -114,7 +113,7 @@ def strict_split_anti(t):
 @query("SELECT count(*) AS shared FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 10 < 8 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 10 >= 8)")
 def leakage_overlap(t):
     o = t.orders.select("o_orderkey", "o_custkey")
-    return o.filter("o_orderkey % 10 < 8").select("o_custkey").intersect(o.filter("o_orderkey % 10 >= 8").select("o_custkey")).agg(F.count(one).alias("shared"))
+    return o.filter("o_orderkey % 10 < 8").select("o_custkey").intersect(o.filter("o_orderkey % 10 >= 8").select("o_custkey")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query("""WITH a AS (SELECT c_custkey AS id, c_mktsegment AS doc FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'x' ELSE c_mktsegment END AS doc FROM customer WHERE c_custkey % 5 <> 0)

@@ -10,7 +10,6 @@ from flowmill.sources.packets import EVENTS_AS_PACKETS_SQL, events_as_packets
 
 P = f"p AS ({EVENTS_AS_PACKETS_SQL})"
 HOUR, DAY = 3_600_000_000, 86_400_000_000
-one = F.lit(1)
 
 
 def _p(t):
@@ -19,26 +18,26 @@ def _p(t):
 
 @query(f"WITH {P} SELECT src_ip, ts_us // {DAY} AS bucket, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes, sum(CASE WHEN tcp_flags = 2 THEN 1 ELSE 0 END) AS syn FROM p GROUP BY 1, 2")
 def tumbling_counts(t):
-    return windows.tumbling(_p(t), ["src_ip"], "ts_us", DAY, F.count(one).alias("n"), F.sum("length").alias("bytes"), F.sum((F.col("tcp_flags") == 2).cast("int")).alias("syn"))
+    return windows.tumbling(_p(t), ["src_ip"], "ts_us", DAY, F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.sum((F.col("tcp_flags") == 2).cast("int")).alias("syn"))
 
 
 @query(f"WITH {P} SELECT dst_ip, ts_us // {6 * HOUR} - k AS start, count(*) AS n FROM p, range(4) r(k) GROUP BY ALL")
 def sliding_counts(t):
-    return windows.sliding(_p(t), ["dst_ip"], "ts_us", DAY, 6 * HOUR, F.count(one).alias("n"))
+    return windows.sliding(_p(t), ["dst_ip"], "ts_us", DAY, 6 * HOUR, F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {P}, g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w >= {2 * HOUR} THEN 1 ELSE 0 END AS o FROM p WINDOW w AS (PARTITION BY src_ip ORDER BY ts_us)),
 s AS (SELECT *, sum(o) OVER (PARTITION BY src_ip ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT src_ip, CAST(session AS BIGINT) AS session, count(*) AS n, max(ts_us) - min(ts_us) AS span FROM s GROUP BY ALL""")
 def session_idle(t):
-    return windows.sessions(_p(t), ["src_ip"], "ts_us", 2 * HOUR, F.count(one).alias("n"), (F.max("ts_us") - F.min("ts_us")).alias("span"))
+    return windows.sessions(_p(t), ["src_ip"], "ts_us", 2 * HOUR, F.count(F.lit(1)).alias("n"), (F.max("ts_us") - F.min("ts_us")).alias("span"))
 
 
 @query(f"""WITH {P} SELECT count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM (SELECT src_ip, s, count(*) AS n FROM (SELECT src_ip, sum(o) OVER (PARTITION BY src_ip ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
 (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY src_ip ORDER BY ts_us, event_id) >= {2 * HOUR} THEN 1 ELSE 0 END AS o FROM p)) GROUP BY ALL)""")
 def session_window_builtin(t):
-    s = t.events.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "2 hours").alias("w")).agg(F.count(one).alias("n"))
-    return s.agg(F.count(one).alias("sessions"), F.sum("n").alias("events"))
+    s = t.events.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return s.agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
 
 
 @query(f"""WITH {P}, c AS (SELECT src_ip, ts_us // {DAY} AS bucket, count(DISTINCT dst_port) AS n FROM p GROUP BY ALL)
@@ -61,7 +60,7 @@ def interarrival_moments(t):
 def rolling_ring_64(t):
     p = _p(t)
     w = windows.ring(p, ["src_ip"], ["ts_us", "event_id"], 64)
-    return p.select("event_id", F.round(F.avg("length").over(w), 4).alias("mean64"), F.count(one).over(w).alias("n"))
+    return p.select("event_id", F.round(F.avg("length").over(w), 4).alias("mean64"), F.count(F.lit(1)).over(w).alias("n"))
 
 
 @query(f"WITH {P} SELECT event_id, CAST(sum(length) OVER w AS BIGINT) AS total, max(length) OVER w AS peak FROM p WINDOW w AS (PARTITION BY src_ip ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)")
@@ -104,7 +103,7 @@ DAYS = f"d AS (SELECT src_ip, ts_us // {DAY} AS bucket, CAST(count(*) AS DOUBLE)
 
 
 def _days(t):
-    return windows.tumbling(_p(t), ["src_ip"], "ts_us", DAY, F.count(one).alias("n"))
+    return windows.tumbling(_p(t), ["src_ip"], "ts_us", DAY, F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH RECURSIVE {P}, {DAYS}, r AS (
@@ -160,13 +159,13 @@ def monotonic_clamp(t):
 @query(f"WITH {P} SELECT event_id, count(*) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS rate FROM p")
 def sliding_rate(t):
     w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-DAY, 0)
-    return _p(t).select("event_id", F.count(one).over(w).alias("rate"))
+    return _p(t).select("event_id", F.count(F.lit(1)).over(w).alias("rate"))
 
 
 @query(f"WITH {P}, c AS (SELECT dst_ip, ts_us // {DAY} AS bucket, src_ip, count(*) AS n FROM p GROUP BY ALL) SELECT dst_ip, bucket, round(max(n) / sum(n), 6) AS share, count(*) AS sources FROM c GROUP BY ALL")
 def top_source_share(t):
-    c = windows.tumbling(_p(t), ["dst_ip", "src_ip"], "ts_us", DAY, F.count(one).alias("n"))
-    return c.groupBy("dst_ip", "bucket").agg(F.round(F.max("n") / F.sum("n"), 6).alias("share"), F.count(one).alias("sources"))
+    c = windows.tumbling(_p(t), ["dst_ip", "src_ip"], "ts_us", DAY, F.count(F.lit(1)).alias("n"))
+    return c.groupBy("dst_ip", "bucket").agg(F.round(F.max("n") / F.sum("n"), 6).alias("share"), F.count(F.lit(1)).alias("sources"))
 
 
 @query(f"WITH {P}, b AS (SELECT src_ip, w, ts_us // (w * {DAY}) AS bucket, count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS hosts FROM p, (VALUES (1), (7), (28)) v(w) GROUP BY ALL) SELECT src_ip, w, max(ports) AS ports, max(hosts) AS hosts FROM b GROUP BY ALL")

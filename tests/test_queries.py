@@ -60,3 +60,12 @@ def test_nothing_else_imports_the_training_data_operators():
             if f.endswith(".py"):
                 with open(os.path.join(folder, f)) as x:
                     assert "flowmill.llm" not in x.read(), f
+
+
+def test_names_are_known_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
