@@ -123,9 +123,10 @@ class Crf:
                     of.append(names.index(lang))
         if not pieces or k < 1:
             return out
-        rows = [features(w) for w in vocabulary]
+        rows = [np.array(features(w), np.int32) for w in vocabulary]
         cut = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
-        flat = np.concatenate([np.array(x) for x in rows])
+        flat = np.concatenate(rows)
+        del rows
         words_, of_ = np.array(pieces), np.array(of)
         rng = np.random.default_rng(seed)
         share = 1 / np.bincount(of_, minlength=k).clip(1)[of_]
@@ -173,7 +174,7 @@ class Crf:
         return out
 
 
-def train(docs: DataFrame, learn: Column | None = None, sample: int = 500, max_words: int = 2000) -> Crf:
+def train(docs: DataFrame, learn: Column | None = None, sample: int = 400, max_words: int = 1000) -> Crf:
     """Fit on about ``sample`` texts at most of each lang that pass ``learn``; of longer ones, evenly spread runs of
     words, ``max_words`` in all."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
