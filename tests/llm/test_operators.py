@@ -1,5 +1,6 @@
 """Each operator against brute force, a round trip or held-out accuracy, and its documented odd rows."""
 
+import base64
 import hashlib
 import io
 import random
@@ -363,6 +364,20 @@ def test_novelty_takes_random_strings_and_leaves_names():
     assert all(k != "novel" for k, *_ in secrets.spans(again))  # the text around foresees it
 
 
+def test_long_and_dashed_secrets_are_novel():
+    rng = random.Random(3)
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    jwt = ".".join([part(b'{"alg":"RS256","typ":"JWT"}'), part(b'{"sub":"7312","name":"J. Doe","iat":1516239022,"scope":"read"}'), part(rng.randbytes(256))])
+    slashed = base64.b64encode(rng.randbytes(600)).decode()
+    groups = "-".join("".join(rng.choices("BCDFGHJKMPQRTVWXY2346789", k=5)) for _ in range(6))
+    assert len(jwt) >= 300 and min(len(re.findall("[./-]", x)) for x in (jwt, slashed, groups)) > 4
+    for key in (jwt, slashed, groups):
+        text = f"Authorization: Bearer {key} was sent by mistake."
+        assert secrets.spans(text) == [("novel", text.index(key), text.index(key) + len(key))]
+    for name in ("docs/v1/api/users/123/keys/456/list", "usr/lib/python3.11/site-packages/foo-1.2.3.dist-info", "2024-01-02T03-04-05-06-07"):
+        assert secrets.spans(f"Authorization: Bearer {name} was sent by mistake.") == []
+
+
 # --- queries
 
 
