@@ -378,6 +378,21 @@ def test_long_and_dashed_secrets_are_novel():
         assert secrets.spans(f"Authorization: Bearer {name} was sent by mistake.") == []
 
 
+@pytest.mark.parametrize("name", ["export client_key", "aws_secret_access_key", "auth_key", "access_key", "signing_key", "private_key", "the private key", "url?a=b&config.access_key"])
+def test_values_after_a_sensitive_name_are_novel(name):
+    for value in ("Zk39qLpW2mVx7RtB8sYh4Nc6", "wJa1rXUtnFEM9/K7MDENG3bPxRfi+CYzQ2Hd5Lw=="):
+        text = f"set {name}={value} here"
+        assert secrets.spans(text) == [("novel", text.index(value), text.index(value) + len(value))]
+        assert secrets.redacted(text) == f"set {name}=[SECRET] here"
+    assert secrets.spans(f"set {name}=configuration_settings_2024 here") == []
+
+
+def test_padding_inside_a_candidate_does_not_cut_it():
+    value = "Zk39qLpW2m=Vx7RtB8sYh4Nc6=Tq5"
+    for text in (f"the bearer {value} here", f"client_key={value} here"):
+        assert secrets.spans(text) == [("novel", text.index(value), text.index(value) + len(value))]
+
+
 # --- queries
 
 
