@@ -149,9 +149,13 @@ def _likely(pairs: DataFrame, percent: float) -> DataFrame:
 
 def _full_sets(need: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(class, shingles) of the classes in ``need`` (class), from the text of one row each."""
-    named = classes.select("class", "rep").join(need, "class", "left_semi")
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    sets = _sets(named.join(text, "rep").select("class", "text"), words)
+    named = classes.select("class", "rep", "text_key").join(need, "class", "left_semi")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    # rows without an id are told apart by their text alone: copies fold before the join
+    bare = texts.filter("rep IS NULL").groupBy("text_key").agg(F.first("text").alias("text"))
+    found = named.join(texts, ["rep", "text_key"]).select("class", "text").unionByName(named.filter("rep IS NULL").join(bare, "text_key").select("class", "text"))
+    sets = _sets(found, words)
     return storage.materialize(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
 
 
@@ -252,9 +256,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80) -> Dat
     """One row a document: doc_id, text_key, n_shingles, group (of the component; null without words), component_id (the
     smallest doc_id reachable over links), n_links (with other classes, as found), kept.  Linked: ``100 * shared >= percent * union`` of the sets of distinct shingles."""
     each = storage.materialize(sketches(docs, words), "sketches")
-    classes = each.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = storage.materialize(classes, "classes")
-    banded = classes.filter("rep IS NOT NULL").select("class", F.posexplode("sketch").alias("band", "key"))
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("place")
+    classes = each.filter("class IS NOT NULL").groupBy("class").agg(place, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = storage.materialize(classes.select("class", F.col("place.doc_id").alias("rep"), F.col("place.text_key").alias("text_key"), "n_shingles", "sketch"), "classes")
+    banded = classes.select("class", F.posexplode("sketch").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = storage.materialize(banded.join(buckets, ["band", "key"]), "members")
 

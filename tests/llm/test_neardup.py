@@ -60,6 +60,20 @@ def test_components_equal_brute_force(spark, words, percent):
     assert len([1 for _, t in left if sets_of(t, words)]) == len({x["group"] for x in got if x["group"] is not None})
 
 
+def test_near_copies_without_an_id_are_linked(spark):
+    rng = random.Random(6)
+    rows = [(None if rng.random() < 0.4 else d, t) for d, t in corpus(rng, 8)]
+    base = [f"w{i}" for i in range(90)]
+    rows += [(None, " ".join([*base, f"end{i}"])) for i in (0, 1, 2, 2)]  # a group without any id
+    rows += [(900, " ".join(base[::-1])), (None, " ".join([*base[::-1], "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(df, 3, 85).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got) == brute(rows, 3, 85)
+    left = [(r["doc_id"], r["text"]) for r in neardup.keep_one(df, 3, 85).collect()]
+    assert len([1 for _, t in left if (t or "").startswith("w0 ")]) == 1
+    assert [d for d, t in left if (t or "").startswith("w89 ")] == [900]
+
+
 def test_members_of_a_bucket_that_the_leader_misses_are_still_linked(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 7)
     rng, rows = random.Random(5), []
