@@ -4,8 +4,8 @@ Texts of one shingle set are one class.  A class meets, in each bucket of a band
 confirmed on the full sets and joined into components.  Members that still stand in different components of a bucket
 are then compared with each other, block by block and in memory: first by likelihood, then, for members that may still
 have a partner, on full sets; only links that join two components are emitted.  So a group of copies makes a number of
-rows in proportion to its size, and no two texts of one bucket that are linked end in different components.  A pair at the threshold shares no bucket with a probability below 4e-6 at 0.8
-and 2e-8 at 0.85.
+rows in proportion to its size, and no two texts of one bucket that are linked and pass the floor end in different components.  A pair at the threshold shares no bucket with a probability below 4e-6 at 0.8
+and about 2e-8 at 0.85; its estimate falls below the floor of the full check (MARGIN) with about 1e-6 and 2e-6.
 
 Rows: null, empty and blank texts have no shingles, are linked with nothing and kept; texts of fewer words than a
 shingle are one shingle; a null doc_id never names a component (its row is kept only if no row of its component has
