@@ -34,7 +34,7 @@ def features(word: str) -> list[int]:
     found = [f"w{word}"]
     for k in (1, 2, 3):
         found += [f"p{word[:k]}", f"s{word[-k:]}"]
-    found += [f"b{marked[i : i + 2]}" for i in range(min(len(marked) - 1, 24))] + [f"t{marked[i : i + 3]}" for i in range(min(len(marked) - 2, 24))]
+    found += [f"b{marked[i : i + 2]}" for i in range(len(marked) - 1)] + [f"t{marked[i : i + 3]}" for i in range(len(marked) - 2)]
     return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in found]
 
 

@@ -331,6 +331,17 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(both[:5], want / total)
 
 
+def test_language_of_long_words_is_read_to_the_end(spark):
+    rng = random.Random(12)
+    some = lambda first, n: "".join(chr(first + rng.randrange(40)) for _ in range(n))
+    rows = [(i, some(0x4E00, 40) + some(0x5000 + 64 * (i % 2), 30) + some(0x4E00, 10), "xy"[i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.held_out(F.col("doc_id"))
+    got = langid.predict(docs, langid.train(docs, ~out)).filter(out).collect()
+    assert sum(r["lang"] == "xy"[r["doc_id"] % 2] for r in got) >= 0.9 * len(got) > 0
+    assert set(langid.features("a" * 40 + "bcd" + "e" * 9)) >= {zlib.crc32(x) & ((1 << langid.BITS) - 1) for x in (b"tbcd", b"bbc")}
+
+
 # --- secrets
 
 
