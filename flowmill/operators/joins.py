@@ -25,7 +25,9 @@ def interval_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end
 
 
 def first_label(points: DataFrame, ranges: DataFrame, id_: str, at: str, start: str, end: str, label: str, rank: str, cell: int, default: str = "benign") -> DataFrame:
-    """points with the label of the first range (by ``rank``) that holds them, else ``default``."""
+    """points with the label of the first range (by ``rank``) that holds them, else ``default``.  Of equal ranges only the
+    first can win, so they fold before the join."""
+    ranges = ranges.groupBy(start, end).agg(F.min_by(label, rank).alias(label), F.min(rank).alias(rank))
     hits = interval_join(points.select(id_, at), ranges, at, start, end, cell).groupBy(id_).agg(F.min_by(label, rank).alias("label"))
     return points.join(hits, id_, "left").withColumn("label", F.coalesce("label", F.lit(default)))
 

@@ -62,14 +62,14 @@ def severity_counts(t):
     return t.events.groupBy(scalar.severity(F.col("value") / 100).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-LEDGER = """l AS (SELECT o_orderkey - 1 AS pos, o_orderstatus || '|' || o_orderkey AS record, CASE WHEN o_orderkey = 1 THEN 'sha256:' || repeat('0', 64) ELSE 'sha256:' || sha256((o_orderkey - 1) || '') END AS prev_hash FROM orders WHERE o_orderkey BETWEEN 1 AND 500)"""
+LEDGER = """l AS (SELECT o_orderkey AS pos, o_orderstatus || '|' || o_orderkey AS record, CASE WHEN o_orderkey = 0 THEN 'sha256:' || repeat('0', 64) ELSE 'sha256:' || sha256((o_orderkey - 1) || '') END AS prev_hash FROM orders)"""
 
 
 @query(f"WITH {LEDGER} SELECT count(*) AS records, CAST(1 AS BIGINT) AS broken_at, 'link' AS reason FROM l")
 def ledger_verify(t):
-    o = t.orders.filter("o_orderkey BETWEEN 1 AND 500")
-    prev = F.when(F.col("o_orderkey") == 1, alerts.GENESIS).otherwise(F.concat(F.lit("sha256:"), F.sha2((F.col("o_orderkey") - 1).cast("string"), 256)))
-    l = o.select((F.col("o_orderkey") - 1).alias("pos"), F.concat_ws("|", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("record"), prev.alias("prev_hash"))
+    o = t.orders
+    prev = F.when(F.col("o_orderkey") == 0, alerts.GENESIS).otherwise(F.concat(F.lit("sha256:"), F.sha2((F.col("o_orderkey") - 1).cast("string"), 256)))
+    l = o.select(F.col("o_orderkey").alias("pos"), F.concat_ws("|", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("record"), prev.alias("prev_hash"))
     return alerts.verify_chain(l.withColumn("hash", scalar.chain_hash(F.col("record"), F.col("prev_hash"))))
 
 
@@ -99,22 +99,24 @@ def false_alerts_per_hour(t):
     return g.agg(F.round(F.sum("n") / (F.sum("s") / 3600.0), 6).alias("per_hour"))
 
 
-@query("SELECT event_id, 'Seen: ' || printf('%.1f', value) || ' bytes leaving for every byte arriving, something else ' || printf('%.2f', value) || '.' || CASE WHEN event_id % 4 = 0 THEN ' Raised while shedding at tier drop-metrics, so evidence depth is reduced.' ELSE '' END AS text FROM events WHERE round(value, 0) = value OR event_id < 0")
+# a third of a whole number of cents is no tie of one or two decimals, where printers differ
+@query("""SELECT event_id, 'Seen (bytes sent for each received: ' || printf('%.1f', round(value, 2) / 3 + 0.001) || '; something else: ' || printf('%.2f', round(value, 2) / 3 + 0.001) || '; probes refused: ' || printf('%.0f', (event_id % 7) / 8 * 100 + 0.1) || ' %).' ||
+CASE WHEN event_id % 4 = 0 THEN ' Load shedding (drop-metrics) left some evidence out.' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN ' Numbers are scaled up from 25 of 100 packets.' ELSE '' END AS text FROM events""")
 def explain_text(t):
     from flowmill.operators import explain
 
-    e = t.events.filter(F.round("value", 0) == F.col("value"))
-    ev = F.array(F.struct(F.lit("out_in_byte_ratio").alias("feature"), F.col("value").alias("value")), F.struct(F.lit("something_else").alias("feature"), F.col("value").alias("value")))
+    third = F.round("value", 2) / 3 + 0.001
+    ev = F.array(*[F.struct(F.lit(name).alias("feature"), v.alias("value")) for name, v in (("out_in_byte_ratio", third), ("something_else", third), ("rst_response_ratio", F.col("event_id") % 7 / 8 + 0.001))])
     tier = explain.shedding_tier(F.when(F.col("event_id") % 4 == 0, 60).otherwise(0), 50, 100)
-    return e.select("event_id", explain.summary(ev, F.lit("Seen"), tier).alias("text"))
+    ratio = F.when(F.col("event_id") % 5 == 0, 0.25).otherwise(1.0)
+    return t.events.select("event_id", explain.summary(ev, F.lit("Seen"), tier, ratio).alias("text"))
 
 
-CHAIN = """l AS (SELECT o_orderkey - 1 AS pos, 'sha256:' || sha256(o_orderstatus || '|' || o_orderkey) AS hash FROM orders WHERE o_orderkey BETWEEN 1 AND 500)"""
+CHAIN = """l AS (SELECT o_orderkey AS pos, 'sha256:' || sha256(o_orderstatus || '|' || o_orderkey) AS hash FROM orders)"""
 
 
 def chain(t):
-    o = t.orders.filter("o_orderkey BETWEEN 1 AND 500")
-    return o.select((F.col("o_orderkey") - 1).alias("pos"), F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", "o_orderstatus", F.col("o_orderkey").cast("string")), 256)).alias("hash"))
+    return t.orders.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", "o_orderstatus", F.col("o_orderkey").cast("string")), 256)).alias("hash"))
 
 
 @query(f"WITH {CHAIN} SELECT count(*) AS records, arg_max(hash, pos) AS head FROM l")
@@ -122,8 +124,8 @@ def ledger_head(t):
     return alerts.ledger_head(chain(t))
 
 
-@query(f"WITH {CHAIN} SELECT pos + 1 AS count, 'differs' AS state FROM l WHERE pos + 1 = 200 UNION ALL SELECT pos + 1, 'beyond the ledger' FROM l WHERE (pos + 1) % 100 = 0 AND pos >= 450")
+@query(f"WITH {CHAIN} SELECT pos + 1 AS count, 'differs' AS state FROM l WHERE pos + 1 = 200 UNION ALL SELECT pos + 1, 'beyond the ledger' FROM l WHERE (pos + 1) % 100 = 0 AND pos >= 950")
 def ledger_anchors(t):
     l = chain(t)
     a = alerts.anchors(l).withColumn("chain_head", F.when(F.col("count") == 200, "x").otherwise(F.col("chain_head")))
-    return alerts.check_anchors(a, l.filter("pos < 450"))
+    return alerts.check_anchors(a, l.filter("pos < 950"))

@@ -60,13 +60,13 @@ def join_self_egress(t):
     return p.groupBy("e.host", "day").agg(F.sum("e.i").cast("long").alias("n_in"), F.sum(1 - F.col("e.i")).cast("long").alias("n_out"))
 
 
-RANGES = f"""r AS (SELECT o_orderkey AS rank, 'window-' || (o_orderkey % 5) AS label, 1704067200000000 + (o_orderkey % 60) * {DAY // 2} AS a, 1704067200000000 + (o_orderkey % 60) * {DAY // 2} + {DAY // 6} AS b FROM orders WHERE o_orderkey <= 40)"""
+RANGES = f"""r AS (SELECT o_orderkey AS rank, 'window-' || (o_orderkey % 5) AS label, 1704067200000000 + (o_orderkey % 60) * {DAY // 2} AS a, 1704067200000000 + (o_orderkey % 60) * {DAY // 2} + {DAY // 6} AS b FROM orders)"""
 
 
 @query(f"WITH {P}, {RANGES} SELECT event_id, coalesce((SELECT arg_min(label, rank) FROM r WHERE a <= ts_us AND ts_us <= b), 'benign') AS label FROM p")
 def join_interval_label(t):
     a = F.lit(1704067200000000) + (F.col("o_orderkey") % 60) * (DAY // 2)
-    r = t.orders.filter("o_orderkey <= 40").select(F.col("o_orderkey").alias("rank"), F.concat(F.lit("window-"), (F.col("o_orderkey") % 5).cast("string")).alias("label"), a.alias("a"), (a + DAY // 6).alias("b"))
+    r = t.orders.select(F.col("o_orderkey").alias("rank"), F.concat(F.lit("window-"), (F.col("o_orderkey") % 5).cast("string")).alias("label"), a.alias("a"), (a + DAY // 6).alias("b"))
     return joins.first_label(events_as_packets(t.events).select("event_id", "ts_us"), r, "event_id", "ts_us", "a", "b", "label", "rank", DAY).select("event_id", "label")
 
 
