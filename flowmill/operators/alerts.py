@@ -52,7 +52,7 @@ def build(detections: DataFrame) -> DataFrame:
     dst_ip, dst_port, evidence).  Times are cut to milliseconds."""
     c = F.col
     score = scalar.confidence_score(c("confidence"))
-    created = scalar.iso_ms(F.timestamp_micros(F.floor(c("ts_ns") / 1000).cast("long")))
+    created = scalar.iso_ms(F.timestamp_micros(scalar.whole(c("ts_ns"), 1000)))
     return detections.select(
         F.lit("indicator").alias("type"),
         F.lit("2.1").alias("spec_version"),

@@ -208,12 +208,12 @@ def episodes(windows: DataFrame, rows: DataFrame, label: str, fired: str, at: st
 
 def auroc(rows: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by key: the share of (positive, negative) pairs in order, ties half.  From counts by
-    distinct score, never from pairs of rows."""
+    distinct score, never from pairs of rows.  A key of one class only has no such pair and no row."""
     c = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(truth) > 0, 1).otherwise(0)).alias("_p"), F.sum(F.when(F.col(truth) > 0, 0).otherwise(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     g = c.groupBy(*keys).agg(F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)).alias("_s"), F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
-    return g.select(*keys, F.when((F.col("_tp") > 0) & (F.col("_tn") > 0), F.col("_s") / (F.col("_tp") * F.col("_tn"))).alias("auroc"))
+    return g.filter((F.col("_tp") > 0) & (F.col("_tn") > 0)).select(*keys, (F.col("_s") / (F.col("_tp") * F.col("_tn"))).alias("auroc"))
 
 
 def family_recall(rows: DataFrame, family: str, truth: str, hit: Column) -> DataFrame:

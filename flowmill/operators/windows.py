@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowmill.functions import scalar
+
 
 def bucket(ts: Column, width: int) -> Column:
     """Index of the grid-aligned window of ``width`` that holds ts."""
-    return F.floor(ts / F.lit(width)).cast("long")
+    return scalar.whole(ts.cast("long"), width)
 
 
 def tumbling(df: DataFrame, keys: list[str], ts: str, width: int, *aggs: Column) -> DataFrame:

@@ -31,12 +31,13 @@ def flag_bits(t):
     return events_as_packets(t.events).select("event_id", has(f, 2).alias("syn"), has(f, 2, 16).alias("syn_only"), has(f, 18).alias("syn_ack"), has(f, 1).alias("fin"), has(f, 4, 2).alias("rst_only"))
 
 
-@query("""SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000000 WHEN 1 THEN epoch_us(ts) // 1000 * 1000000 WHEN 2 THEN epoch_us(ts) * 1000 ELSE epoch_us(ts) // 1000000 * 1000000000 END AS BIGINT) // 1000000000 AS s FROM events""")
+@query("""SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000000 WHEN 1 THEN epoch_us(ts) // 1000 * 1000000 WHEN 2 THEN epoch_us(ts) * 1000 WHEN 3 THEN epoch_us(ts) * 1000 + event_id % 1000 ELSE epoch_us(ts) * 1000 END AS BIGINT) AS ns FROM events""")
 def unit_sniff_ts(t):
+    """Seconds, milli-, micro- and nanoseconds as whole numbers, and seconds with a fraction, each to the nanosecond."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, F.floor(us / 1_000_000)).when(k == 1, F.floor(us / 1000)).when(k == 2, us).otherwise(F.floor(us / 1_000_000) * 1_000_000_000)
-    return t.events.select("event_id", F.floor(scalar.timestamp_ns(raw) / 1_000_000_000).cast("long").alias("s"))
+    k = F.col("event_id") % 5
+    whole = F.when(k == 0, scalar.whole(us, 1_000_000)).when(k == 1, scalar.whole(us, 1000)).when(k == 2, us).when(k == 3, us * 1000 + F.col("event_id") % 1000).cast("string")
+    return t.events.select("event_id", scalar.timestamp_ns(F.coalesce(whole, (us / 1e6).cast("string"))).alias("ns"))
 
 
 @query("SELECT CAST(json_extract_string(props, '$.k') AS INT) AS port, count(*) AS n FROM events GROUP BY 1")

@@ -29,13 +29,13 @@ def _flow_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _flow_rows(text: DataFrame) -> DataFrame:
-    start, end = (scalar.timestamp_ns(F.col(c).try_cast("double")) for c in ("ts_start", "ts_end"))
+    start, end = (scalar.timestamp_ns(F.col(c)) for c in ("ts_start", "ts_end"))
     ts = F.when(end > start, end).otherwise(F.coalesce(start, end))
     ip = r"^(\d{1,3}\.){3}\d{1,3}$"
     number = lambda c, d: F.coalesce(F.col(c).try_cast("long"), F.lit(d))
     rows = text.select(
         ts.alias("ts_ns"),
-        F.floor(ts / 1000).cast("long").alias("ts_us"),
+        scalar.whole(ts, 1000).alias("ts_us"),
         scalar.proto_number(F.col("proto")).alias("proto"),
         F.when(F.col("src_ip").rlike(ip), scalar.ip_to_int(F.col("src_ip"))).alias("src_ip"),
         F.when(F.col("dst_ip").rlike(ip), scalar.ip_to_int(F.col("dst_ip"))).alias("dst_ip"),

@@ -265,3 +265,20 @@ def test_framed_stream(spark, tmp_path):
     for bad in (head[:6], head + one(9) + one(5), head + one(5)[:-1], head + struct.pack(">QI", 1, captures.MOST_FRAME + 1)):
         with pytest.raises(ValueError):
             list(captures.records(bad))
+
+
+def test_tcp_options_end_where_they_break():
+    assert captures._options(b"\x02\x04\x05\xb4\x01\x00\x03") == (1460, [2, 1, 0])
+    assert captures._options(b"\x01\x03\x09\x01") == (0, [1])
+    assert captures._options(b"\x01\x03") == (0, [1]) and captures._options(b"\x08\x01") == (0, [])
+
+
+def test_times_keep_every_digit(spark):
+    rows = [("1788775217.475325", 1788775217475325000), ("1788775217475", 1788775217475000000), ("1788775217475325", 1788775217475325000), ("1788775217475325123", 1788775217475325123), ("x", None), ("0", 0)]
+    got = spark.createDataFrame(rows, "t string, ns long").select(scalar.timestamp_ns(F.col("t")).alias("a"), "ns", scalar.whole(F.col("ns"), 1000).alias("us")).collect()
+    assert all(r["a"] == r["ns"] for r in got) and got[3]["us"] == 1788775217475325
+
+
+def test_alpn_codes(spark):
+    rows = [("h2", "h2"), ("http/1.1", "h1"), ("", "00"), (None, "00"), ("x", "xx"), ("é", "39")]
+    assert all(r["a"] == r["b"] for r in spark.createDataFrame(rows, "alpn string, b string").select(scalar.alpn_code(F.col("alpn")).alias("a"), "b").collect())
