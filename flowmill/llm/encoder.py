@@ -3,7 +3,8 @@
 Both vocabularies cut a text into pre-tokens before any merge, and no merge crosses a cut, so the ids of a text are
 those of its pre-tokens in turn.  The cuts are found for a whole batch at once with numpy; each distinct pre-token goes
 through the library's model once and is then remembered.  Texts with characters beyond Latin Extended-A (or with
-white space that is not ASCII) go to the library whole, so the result always equals ``Tokenizer.encode``.
+white space that is not ASCII), or with the string of an added token, go to the library whole, so the result always
+equals ``Tokenizer.encode(text, add_special_tokens=False)`` of the file as it is.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.joined = self.tok.normalizer is None
         self.model = self.tok.model
         marks = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -132,8 +133,9 @@ class Encoder:
         for x in range(256):
             names.setdefault(x, chr(256 + len(names) - len(marks)))
         self.names = names
+        self.kind = np.uint16 if max(self.tok.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         self.memo = textbuf.WordMemo(self._one, limit)
-        self._seen, self._first, self._count, self._pool, self._used = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint16), 0
+        self._seen, self._first, self._count, self._pool, self._used = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind), 0
         self._generation = 0
 
     def _one(self, word: bytes) -> list[int]:
@@ -146,7 +148,7 @@ class Encoder:
         if not new:
             return
         count = np.fromiter(map(len, new), np.int32, len(new))
-        flat = np.fromiter((x for v in new for x in v), np.uint16, int(count.sum()))
+        flat = np.fromiter((x for v in new for x in v), self.kind, int(count.sum()))
         k = self._seen + len(new)
         while len(self._first) < k:
             self._first, self._count = np.resize(self._first, 2 * len(self._first)), np.resize(self._count, 2 * len(self._count))
@@ -158,6 +160,17 @@ class Encoder:
         self.memo.values[self._seen : k] = [None] * len(new)
         self._seen, self._used = k, self._used + len(flat)
 
+    def vectorised(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts need not go to the library whole."""
+        ok = plain(raw, offsets, not self.joined)
+        low = raw.tobytes().lower()
+        for token in self.added:
+            at = low.find(token)
+            while at >= 0:  # a find over a text's end only sends one text more to the library
+                ok[np.searchsorted(offsets, at, side="right") - 1] = False
+                at = low.find(token, at + 1)
+        return ok
+
     def counts(self, buf: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Memo index and number of ids of each pre-token of padded ``buf``."""
         index = self.memo.index(buf, begin, lens)
@@ -168,19 +181,16 @@ class Encoder:
         """(index of the first text, ids of some texts one after the other, number of ids of each)."""
         for first, last, raw, offsets in textbuf.groups(column):
             self.memo.room()
-            ok = plain(raw, offsets, not self.joined)
-            if ok.all():
-                ids, per = self._ids(raw, offsets)
-                yield first, ids, per
-                continue
-            for k in range(last - first):  # rare: one text at a time
-                part = raw[offsets[k] : offsets[k + 1]]
-                if ok[k]:
-                    ids, per = self._ids(part, np.array([0, len(part)]))
-                else:
-                    ids = np.array(self.tok.encode(part.tobytes().decode(), add_special_tokens=False).ids, np.uint16)
-                    per = np.array([len(ids)])
-                yield first + k, ids, per
+            ok = self.vectorised(raw, offsets)
+            turns = [0, *(np.flatnonzero(ok[1:] != ok[:-1]) + 1).tolist(), last - first]
+            for a, b in zip(turns[:-1], turns[1:], strict=True):
+                if ok[a]:
+                    ids, per = self._ids(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    yield first + a, ids, per
+                    continue
+                for k in range(a, b):
+                    ids = np.array(self.tok.encode(raw[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids, self.kind)
+                    yield first + k, ids, np.array([len(ids)])
 
     def _ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         buf = textbuf.padded(raw)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import json
 import random
 import re
 import struct
@@ -16,10 +17,11 @@ import pyarrow as pa
 import pytest
 from flowmill.llm import decontaminate, encoder, langid, oracles, packing, quality, queries, secrets, textbuf, tokenfile, toxicity, warczip
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-ODD = [(None, "a row without an id"), (1, None), (2, ""), (3, "  \n \t"), (4, "éÉ ß 漢字 it's ' 'twas 12  34\n\n x"), (5, "word " * 30_000), (5, "again"), (5, "again"), (-7, "ÀÉ" * 40), (9, "İstanbul ſecret \x85 \xa0 end")]
+ODD = [(None, "a row without an id"), (1, None), (2, ""), (3, "  \n \t"), (4, "éÉ ß 漢字 it's ' 'twas 12  34\n\n x"), (5, "word " * 30_000), (5, "again"), (5, "again"), (-7, "ÀÉ" * 40), (9, "İstanbul ſecret \x85 \xa0 end"), (10, "a <|endoftext|> b<|startoftext|>")]
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +51,21 @@ def test_encoder_equals_the_library(path):
     for first, ids, per in e.batches(pa.array(texts)):
         cut = np.concatenate([[0], np.cumsum(per)])
         got |= {first + k: ids[cut[k] : cut[k + 1]].tolist() for k in range(len(per))}
-    assert [got[k] for k in range(len(texts))] == [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    library = Tokenizer.from_file(path)
+    assert [got[k] for k in range(len(texts))] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sum("<|endoftext|>" in (t or "") for t in texts) > 100 and e.kind is np.uint16
+
+
+def test_encoder_keeps_ids_beyond_16_bits(tmp_path):
+    library = json.loads(open(BYTE).read())
+    words = library["model"]["vocab"]
+    library["model"]["vocab"] = {w: k + 70_000 for w, k in words.items()}
+    library["added_tokens"] = []
+    (tmp_path / "wide.json").write_text(json.dumps(library))
+    e = encoder.Encoder(str(tmp_path / "wide.json"))
+    assert e.kind is np.uint32
+    ids = np.concatenate([ids for _, ids, _ in e.batches(pa.array(["two words", "漢"]))])
+    assert ids.tolist() == [x for t in ("two words", "漢") for x in Tokenizer.from_file(str(tmp_path / "wide.json")).encode(t).ids] and ids.min() >= 70_000
 
 
 def test_elias_fano():
@@ -72,10 +88,7 @@ def test_shard_gives_single_documents():
 
 
 def expected_ids(path, text):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
