@@ -1,8 +1,9 @@
 """Token files: the ids of whole documents one after the other, their bounds in Elias-Fano code.
 
 A shard is ``MAGIC | ids | footer | footer length | MAGIC``; ids are little-endian unsigned 16- or 32-bit numbers and
-the footer holds the documents' ids and the Elias-Fano code of the n+1 bounds: about ``2 + log2(ids / documents)`` bits
-a document in place of a 64-bit table, with a select structure for single look-ups.
+the footer holds two Elias-Fano codes: of the n+1 bounds (about ``2 + log2(ids / documents)`` bits a document) and of the
+ascending doc_ids.  Neither is ever a 64-bit table: a stored directory of select samples leads to any entry, and readers
+select the bounds of the range that they read.
 
 Rows: null text is empty text (one id, the end id); a null doc_id sorts first and comes back null; equal doc_ids keep
 one entry each, in the order of their text's hash; an empty table gives no shard; other columns are ignored.
@@ -23,80 +24,97 @@ from pyspark.sql import functions as F
 from flowmill.llm import encoder as enc
 from flowmill.llm import storage
 
-MAGIC = b"FMTOKEN1"
+MAGIC = b"FMTOKEN2"
+#: One select sample every so many entries.
 SELECT_STEP = 256
 READ_IDS = 1 << 20
+_U = np.uint64
 
 
 class EliasFano:
-    """A non-decreasing sequence of n numbers up to ``top``: ``low`` bits verbatim, the rest in unary."""
+    """A non-decreasing sequence of n unsigned 64-bit numbers: ``low`` bits verbatim, the rest in unary; ``samples`` holds
+    the place of every SELECT_STEP-th one among the unary bits."""
 
-    def __init__(self, n: int, top: int, low: int, low_bits: np.ndarray, high_bits: np.ndarray):
-        self.n, self.top, self.low, self.low_bits, self.high_bits = n, top, low, low_bits, high_bits
-        self._ones: np.ndarray | None = None
+    def __init__(self, n: int, low: int, low_bits: np.ndarray, high_bits: np.ndarray, samples: np.ndarray):
+        self.n, self.low, self.low_bits, self.high_bits, self.samples = n, low, low_bits, high_bits, samples
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.int64)
+        values = np.asarray(values).astype(_U)
         n, top = len(values), int(values[-1]) if len(values) else 0
         low = max(0, (top // max(n, 1)).bit_length() - 1)
-        lows = ((values[:, None] >> np.arange(low)) & 1).astype(np.uint8).ravel()
+        lows = ((values[:, None] >> np.arange(low, dtype=_U)) & _U(1)).astype(np.uint8).ravel()
+        places = (values >> _U(low)).astype(np.int64) + np.arange(n)
         high = np.zeros((top >> low) + n + 1, np.uint8)
-        high[(values >> low) + np.arange(n)] = 1
-        return cls(n, top, low, np.packbits(lows, bitorder="little"), np.packbits(high, bitorder="little"))
+        high[places] = 1
+        return cls(n, low, np.packbits(lows, bitorder="little"), np.packbits(high, bitorder="little"), places[::SELECT_STEP].astype("<i8"))
 
     def _low(self, first: int, last: int) -> np.ndarray:
         if not self.low or first >= last:
-            return np.zeros(last - first, np.int64)
+            return np.zeros(last - first, _U)
         a, b = first * self.low, last * self.low
         bits = np.unpackbits(self.low_bits[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a]
-        return bits.reshape(-1, self.low).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
-
-    def decode(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high_bits, bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n) << self.low) | self._low(0, self.n)
-
-    def samples(self) -> np.ndarray:
-        """Number of ones before every SELECT_STEP-th byte of the high bits."""
-        if self._ones is None:
-            count = np.bitwise_count(self.high_bits).astype(np.int64)
-            self._ones = np.concatenate([[0], np.add.reduceat(count, np.arange(0, len(count), SELECT_STEP)).cumsum()]) if len(count) else np.zeros(1, np.int64)
-        return self._ones
+        return (bits.reshape(-1, self.low).astype(_U) << np.arange(self.low, dtype=_U)).sum(1, dtype=_U)
+
+    def slice(self, first: int, last: int) -> np.ndarray:
+        """Numbers first to last (not included), from the unary bits between the samples around them alone."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, _U)
+        block, after = first // SELECT_STEP, -(-last // SELECT_STEP)
+        begin = int(self.samples[block]) // 8
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high_bits)
+        ones = np.flatnonzero(np.unpackbits(self.high_bits[begin:end], bitorder="little")) + 8 * begin
+        # ones of the first byte that come before the sample belong to entries before the block
+        ones = ones[np.searchsorted(ones, self.samples[block]) + first - block * SELECT_STEP :][: last - first]
+        return ((ones - np.arange(first, last)).astype(_U) << _U(self.low)) | self._low(first, last)
 
     def select(self, i: int) -> int:
         """The i-th number (from 0) without decoding the others."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        block = int(np.searchsorted(self.samples(), i, side="right")) - 1
-        bits = np.unpackbits(self.high_bits[block * SELECT_STEP : (block + 1) * SELECT_STEP], bitorder="little")
-        at = block * SELECT_STEP * 8 + int(np.flatnonzero(bits)[i - int(self.samples()[block])])
-        return (at - i << self.low) | int(self._low(i, i + 1)[0])
+        return int(self.slice(i, i + 1)[0])
+
+    def find(self, value: int) -> int:
+        """How many numbers are at most ``value``, by binary search over select."""
+        lo, hi = 0, self.n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self.select(mid) <= value else (lo, mid)
+        return lo
+
+    def decode(self) -> np.ndarray:
+        return self.slice(0, self.n)
 
     def pack(self) -> bytes:
-        return struct.pack("<QQBQQ", self.n, self.top, self.low, len(self.low_bits), len(self.high_bits)) + self.low_bits.tobytes() + self.high_bits.tobytes()
+        head = struct.pack("<QBQQQ", self.n, self.low, len(self.low_bits), len(self.high_bits), len(self.samples))
+        return head + self.low_bits.tobytes() + self.high_bits.tobytes() + self.samples.tobytes()
 
     @classmethod
     def unpack(cls, raw: bytes) -> EliasFano:
-        head = struct.calcsize("<QQBQQ")
-        n, top, low, a, b = struct.unpack("<QQBQQ", raw[:head])
-        return cls(n, top, low, np.frombuffer(raw, np.uint8, a, head), np.frombuffer(raw, np.uint8, b, head + a))
+        at = struct.calcsize("<QBQQQ")
+        n, low, a, b, c = struct.unpack("<QBQQQ", raw[:at])
+        return cls(n, low, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a), np.frombuffer(raw, "<i8", c, at + a + b))
 
 
 def write_shard(out, documents: Iterator[tuple[list[int | None], np.ndarray, np.ndarray]], width: int) -> tuple[int, int]:
-    """documents: (doc_ids, ids, n+1 bounds) a batch.  Returns the numbers of documents and ids."""
-    names, bounds, total = [], [np.zeros(1, np.int64)], 0
+    """documents: (doc_ids, null first then ascending, ids, n+1 bounds) a batch.  The numbers of documents and ids."""
+    names, bounds, total, nulls = [], [np.zeros(1, np.int64)], 0, 0
     out.write(MAGIC)
     for doc_ids, ids, bound in documents:
         out.write(ids.astype(f"<u{width}").tobytes())
-        names += doc_ids
+        named = [x for x in doc_ids if x is not None]
+        nulls += len(doc_ids) - len(named)
+        names.append(np.array(named, np.int64))
         bounds.append(total + np.asarray(bound[1:], np.int64))
         total += int(bound[-1])
-    ef = EliasFano.encode(np.concatenate(bounds)).pack()
-    nulls = sum(x is None for x in names)
-    body = np.array([x for x in names if x is not None], "<i8").tobytes()
-    footer = struct.pack("<BQQQ", width, len(names), nulls, total) + body + ef
+    named = np.concatenate(names) if names else np.zeros(0, np.int64)
+    least = int(named[0]) if len(named) else 0
+    ids = EliasFano.encode(named.view(_U) - np.array([least], np.int64).view(_U)).pack()
+    footer = struct.pack("<BQQqQ", width, nulls, total, least, len(ids)) + ids + EliasFano.encode(np.concatenate(bounds)).pack()
     out.write(footer + struct.pack("<Q", len(footer)) + MAGIC)
-    return len(names), total
+    return nulls + len(named), total
 
 
 class Shard:
@@ -110,26 +128,37 @@ class Shard:
         (n,) = struct.unpack("<Q", tail[:8])
         f.seek(size - 16 - n)
         footer = f.read(n)
+        at = struct.calcsize("<BQQqQ")
         self.f = f
-        self.width, self.n_docs, nulls, self.n_ids = struct.unpack("<BQQQ", footer[:25])
-        end = 25 + 8 * (self.n_docs - nulls)
-        self.doc_ids: list[int | None] = [None] * nulls + np.frombuffer(footer[25:end], "<i8").tolist()
-        self.bounds = EliasFano.unpack(footer[end:])
+        self.width, self.nulls, self.n_ids, self.least, n = struct.unpack("<BQQqQ", footer[:at])
+        self.names, self.bounds = EliasFano.unpack(footer[at : at + n]), EliasFano.unpack(footer[at + n :])
+        self.n_docs = self.nulls + self.names.n
 
     def ids(self, first: int, last: int) -> np.ndarray:
         self.f.seek(len(MAGIC) + first * self.width)
         return np.frombuffer(self.f.read((last - first) * self.width), f"<u{self.width}")
 
     def document(self, k: int) -> np.ndarray:
-        return self.ids(self.bounds.select(k), self.bounds.select(k + 1))
+        a, b = self.bounds.slice(k, k + 2).tolist()
+        return self.ids(a, b)
+
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        some = self.names.slice(max(0, first - self.nulls), max(0, last - self.nulls)) + np.array([self.least], np.int64).view(_U)
+        return [None] * (min(last, self.nulls) - min(first, self.nulls)) + some.view(np.int64).tolist()
+
+    def place(self, doc_id: int) -> int | None:
+        """The last document of that id, by its code alone."""
+        k = self.names.find(doc_id - self.least) - 1 if doc_id >= self.least else -1
+        return self.nulls + k if k >= 0 and self.names.select(k) == doc_id - self.least else None
 
 
 SHARD_SCHEMA = "shard int, path string, n_docs long, n_ids long"
 ENTRY_SCHEMA = "shard int, doc_id long, start long, n_tokens long, ids binary"
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, width: int = 2) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) into shards under ``folder`` in ascending doc_id order; the table of shards.
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, width: int | None = None) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) into shards under ``folder`` in ascending doc_id order; the table of shards.  Ids take
+    2 bytes where the vocabulary allows it, else 4, or ``width``.
 
     Shards are ranges of doc_id, ties spread by the text's hash.  A task that runs again writes a file of its own and
     only the file named in the table of shards counts.
@@ -157,7 +186,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, wid
                 batch = next(batches, None)
 
         with fs.open_output_stream(path) as out:
-            n_docs, n_ids = write_shard(out, documents(), width)
+            n_docs, n_ids = write_shard(out, documents(), width or (2 if encoder.kind is np.uint16 and end_id < 1 << 16 else 4))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [folder[: len(folder) - len(root)] + path if folder.endswith(root) else path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -179,24 +208,23 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 fs, path = storage.filesystem(row["path"])
                 with fs.open_input_file(path) as f:
                     shard = Shard(f, f.size())
-                    bounds = shard.bounds.decode()
-                    k = 0
-                    while k < shard.n_docs:
-                        last = max(k + 1, int(np.searchsorted(bounds, bounds[k] + READ_IDS, side="right")) - 1)
-                        last = min(last, shard.n_docs)
-                        ids = shard.ids(int(bounds[k]), int(bounds[last])).astype("<u4")
-                        cut = (bounds[k : last + 1] - bounds[k]).astype(np.int64)
+                    k, at = 0, 0
+                    while k < shard.n_docs:  # documents of about READ_IDS ids, or one long one
+                        last = min(shard.n_docs, max(k + 1, shard.bounds.find(at + READ_IDS) - 1))
+                        bounds = shard.bounds.slice(k, last + 1).astype(np.int64)
+                        ids = shard.ids(int(bounds[0]), int(bounds[-1])).astype("<u4")
+                        cut = bounds - bounds[0]
                         binary = pa.Array.from_buffers(pa.binary(), last - k, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(ids)])
                         yield pa.RecordBatch.from_pydict(
                             {
                                 "shard": pa.array([row["shard"]] * (last - k), pa.int32()),
-                                "doc_id": pa.array(shard.doc_ids[k:last], pa.int64()),
-                                "start": bounds[k:last] + row["base"],
+                                "doc_id": pa.array(shard.doc_ids(k, last), pa.int64()),
+                                "start": bounds[:-1] + row["base"],
                                 "n_tokens": np.diff(cut),
                                 "ids": binary,
                             }
                         )
-                        k = last
+                        k, at = last, int(bounds[-1])
 
     return listed.repartition(tasks).mapInArrow(read, ENTRY_SCHEMA)
 
