@@ -1,13 +1,15 @@
-"""Cost-balanced packing: documents into sequences of bounded length, with even attention cost and little padding.
+"""Cost-balanced packing: documents into sequences of bounded length, with even attention cost and no padding.
 
 A piece of n ids costs ``linear * n + quadratic * n * n``.  Within a block of about ``block_tokens`` ids, pieces go in
 descending length to the sequence of lowest cost that still has room for the whole piece; a piece that fits nowhere
-whole is cut and fills the sequences with the most room.  A block has just as many sequences as its ids need, so only
-its last sequence is padded.  Blocks are made of consecutive rows of a partition: one pass, no shuffle, and a task
-holds one block at a time.
+whole is cut and fills the sequences of lowest cost that have room.  A block has just as many full sequences as its ids
+fill; what is left over makes one sequence for each power of two in its number of ids, and a sequence of such a length is
+not padded.  Blocks are made of consecutive rows of a partition: one pass, no shuffle, and a task holds one block at a
+time, so neither many partitions nor many blocks cost padding.
 
 Rows: null text is empty text (the end id alone); null doc_ids and repeated doc_ids are packed row by row; an empty
-table gives no piece; other columns are ignored.  Equal lengths go by the order of rows in the block.
+table gives no piece; other columns are ignored.  Equal lengths go by the order of rows in the block, equal costs to the
+first sequence.
 """
 
 from __future__ import annotations
@@ -27,9 +29,14 @@ def cost(n: float, linear: float = 1.0, quadratic: float = 1 / 1024) -> float:
     return linear * n + quadratic * n * n
 
 
+def sizes(total: int, capacity: int) -> list[int]:
+    """Lengths of the sequences for ``total`` ids: full ones, then the powers of two that make up the rest."""
+    full, rest = divmod(total, capacity)
+    return [capacity] * full + [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
+
+
 def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 1024) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of pieces that cover all documents once; sequences number
-    ``ceil(sum / capacity)``."""
+    """(document, start, length, sequence, offset) of pieces that cover all documents once and fill ``sizes`` of them."""
     out: list[tuple[int, int, int, int, int]] = []
     rest: list[tuple[int, int, int]] = []  # length, document, start
     full = 0
@@ -41,28 +48,28 @@ def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
         if n > at:
             rest.append((n - at, d, at))
     rest.sort(key=lambda x: (-x[0], x[1]))
-    total = sum(x[0] for x in rest)
-    n_seq = -(-total // capacity)
-    spent, room = np.zeros(n_seq), np.full(n_seq, capacity)
+    room = np.array(sizes(sum(x[0] for x in rest), capacity), np.int64)
+    size, spent = room.copy(), np.zeros(len(room))
+    short = size < capacity  # they take cuts only, or their low cost would draw whole pieces that leave no even rest
+
+    def put(d: int, at: int, n: int, s: int) -> None:
+        out.append((d, at, n, full + s, int(size[s] - room[s])))
+        spent[s] += cost(n, linear, quadratic)
+        room[s] -= n
+
     left: list[tuple[int, int, int]] = []
     for n, d, at in rest:
-        s = int(np.where(room >= n, spent, np.inf).argmin()) if n_seq else 0
-        if room[s] < n:
+        fits = (room >= n) & ~short
+        if fits.any():
+            put(d, at, n, int(np.where(fits, spent, np.inf).argmin()))
+        else:
             left.append((n, d, at))
-            continue
-        out.append((d, at, n, full + s, capacity - int(room[s])))
-        spent[s] += cost(n, linear, quadratic)
-        room[s] -= n
-    used = (capacity - room).tolist()
-    open_ = sorted((s for s in range(n_seq) if used[s] < capacity), key=lambda s: used[s])
-    k = 0
     for n, d, at in left:
         while n:
-            s = open_[k]
-            take = min(n, capacity - used[s])
-            out.append((d, at, take, full + s, used[s]))
-            used[s], n, at = used[s] + take, n - take, at + take
-            k += used[s] == capacity
+            s = int(np.where(room > 0, spent, np.inf).argmin())
+            take = min(n, int(room[s]))
+            put(d, at, take, s)
+            n, at = n - take, at + take
     return out
 
 

@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or held-out accuracy, and its documented odd rows."""
 
 import base64
+import bisect
 import hashlib
 import io
 import json
@@ -70,21 +71,32 @@ def test_encoder_keeps_ids_beyond_16_bits(tmp_path):
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for values in ([0], [0, 0, 0], [0, 5, 5, 900_000], np.cumsum(rng.integers(0, 3000, 5000)), np.cumsum(rng.integers(0, 2, 3000))):
-        ef = tokenfile.EliasFano.unpack(tokenfile.EliasFano.encode(np.asarray(values)).pack())
-        assert ef.decode().tolist() == list(values)
-        for i in rng.integers(0, len(values), 50):
-            assert ef.select(int(i)) == values[i]
+    for values in ([], [0], [0, 0, 0], [7] * 700, [0, 5, 5, 900_000], [1, 2**63, 2**64 - 1], np.cumsum(rng.integers(0, 3000, 5000)), np.cumsum(rng.integers(0, 2, 3000)), np.cumsum(rng.integers(0, 2, 2000) * 10**6)):
+        values = [int(x) for x in values]
+        ef = tokenfile.EliasFano.unpack(tokenfile.EliasFano.encode(np.array(values, np.uint64)).pack())
+        assert ef.decode().tolist() == values
+        for i in rng.integers(0, max(1, len(values)), 50).tolist() if values else ():
+            assert ef.select(i) == values[i]
+            j = int(rng.integers(i, len(values) + 1))
+            assert ef.slice(i, j).tolist() == values[i:j]
+            assert ef.find(values[i]) == bisect.bisect_right(values, values[i]) and ef.find(values[i] - 1 if values[i] else 0) == bisect.bisect_right(values, values[i] - 1 if values[i] else 0)
     many = np.cumsum(rng.integers(0, 3000, 100_000))
     assert len(tokenfile.EliasFano.encode(many).pack()) * 8 / 100_000 < 2 + np.log2(many[-1] / 100_000) + 1
+    with pytest.raises(IndexError):
+        tokenfile.EliasFano.encode(many).select(100_000)
 
 
 def test_shard_gives_single_documents():
-    ids = np.arange(10, dtype=np.uint32)
+    ids = np.arange(12, dtype=np.uint32)
     out = io.BytesIO()
-    tokenfile.write_shard(out, iter([([None, 4], ids[:6], np.array([0, 2, 6])), ([7], ids[6:], np.array([0, 4]))]), 2)
+    least, most = -(1 << 63), (1 << 63) - 1
+    batches = [([None, None, least], ids[:7], np.array([0, 2, 6, 7])), ([7, 7, most], ids[7:], np.array([0, 3, 3, 5]))]
+    assert tokenfile.write_shard(out, iter(batches), 2) == (6, 12)
     shard = tokenfile.Shard(out, len(out.getvalue()))
-    assert shard.doc_ids == [None, 4, 7] and [shard.document(k).tolist() for k in range(3)] == [[0, 1], [2, 3, 4, 5], [6, 7, 8, 9]]
+    assert shard.doc_ids(0, 6) == [None, None, least, 7, 7, most] and shard.doc_ids(1, 4) == [None, least, 7]
+    assert [shard.document(k).tolist() for k in range(6)] == [[0, 1], [2, 3, 4, 5], [6], [7, 8, 9], [], [10, 11]]
+    assert [shard.place(x) for x in (7, most, least, 8, 0)] == [4, 5, 2, None, None]
+    assert not any(isinstance(v, list) or getattr(v, "nbytes", 0) > 100 for v in vars(shard).values())  # no table of bounds
 
 
 def expected_ids(path, text):
@@ -122,7 +134,53 @@ def test_packing_covers_every_id_once(spark, odd, empty):
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
-def test_packing_balances_cost_and_pads_little():
+def brute_pack(lengths, capacity, quadratic):
+    """The rule word by word: descending pieces to the cheapest full sequence with room, the rest to the cheapest with any."""
+    cost = lambda n: n + quadratic * n * n
+    done, rest = [], []
+    for d, n in enumerate(lengths):
+        done += [(d, k * capacity, capacity, k) for k in range(n // capacity)]
+        if n % capacity:
+            rest.append((d, n // capacity * capacity, n % capacity))
+    total = sum(n for *_, n in rest)
+    bins = [[capacity, 0.0, []] for _ in range(total // capacity)] + [[1 << k, 0.0, []] for k in range(20, -1, -1) if total % capacity >> k & 1]
+    full, later = [b for b in bins if b[0] == capacity], []
+    for d, at, n in sorted(rest, key=lambda x: -x[2]):
+        open_ = [b for b in full if b[0] - sum(x[2] for x in b[2]) >= n]
+        if open_:
+            b = min(open_, key=lambda b: b[1])
+            b[1] += cost(n)
+            b[2].append((d, at, n))
+        else:
+            later.append((d, at, n))
+    for d, at, n in later:
+        while n:
+            b = min((b for b in bins if b[0] > sum(x[2] for x in b[2])), key=lambda b: b[1])
+            take = min(n, b[0] - sum(x[2] for x in b[2]))
+            b[1] += cost(take)
+            b[2].append((d, at, take))
+            n, at = n - take, at + take
+    return sorted([[x[:3]] for x in done] + [b[2] for b in bins])
+
+
+def test_packing_equals_its_rule_and_never_pads():
+    rng = random.Random(5)
+    for capacity in (16, 64):
+        for _ in range(40):
+            lengths = [rng.choice((1, 2, 7, rng.randint(1, 40), rng.randint(1, 200))) for _ in range(rng.randint(1, 60))]
+            pieces = packing.pack(lengths, capacity, 1.0, 1 / 8)
+            seqs = {}
+            for d, at, n, s, off in pieces:
+                assert off == sum(x[2] for x in seqs.get(s, []))
+                seqs.setdefault(s, []).append((d, at, n))
+            assert sorted(seqs.values()) == brute_pack(lengths, capacity, 1 / 8)
+            assert sorted(seqs) == list(range(len(seqs)))
+            for x in seqs.values():
+                used = sum(n for *_, n in x)
+                assert used == capacity or used & (used - 1) == 0
+
+
+def test_packing_balances_cost():
     rng = random.Random(2)
     lengths = [rng.choice((rng.randint(1, 100), rng.randint(1, 1000))) for _ in range(3000)]
     pieces = packing.pack(lengths, 4096)
@@ -130,9 +188,10 @@ def test_packing_balances_cost_and_pads_little():
     for _, _, n, s, _ in pieces:
         used[s] = used.get(s, 0) + n
         spent[s] = spent.get(s, 0) + packing.cost(n)
-    assert len(used) * 4096 - sum(lengths) < 4096 + 1 and max(used.values()) <= 4096
+    assert sum(used.values()) == sum(lengths) and max(used.values()) <= 4096
     cost = sorted(spent[s] for s in spent if used[s] == 4096)
     assert cost[len(cost) * 9 // 10] <= 1.2 * cost[len(cost) // 10]
+    assert len(pieces) < len(lengths) + 2 * len(used)
     assert packing.pack([], 64) == [] and packing.pack([64, 128], 64) == [(0, 0, 64, 0, 0), (1, 0, 64, 1, 0), (1, 64, 64, 2, 0)]
 
 
