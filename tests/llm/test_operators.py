@@ -2,12 +2,15 @@
 
 import base64
 import bisect
+import glob
 import hashlib
 import io
 import json
 import random
 import re
+import string
 import struct
+import sysconfig
 import zipfile
 import zlib
 
@@ -435,19 +438,59 @@ def test_base_spans_equal_brute_force(spark, odd, empty):
     assert secrets.redact(odd).columns == odd.columns
 
 
-def test_novelty_takes_random_strings_and_leaves_names():
-    rng = random.Random(1)
-    key = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", k=40))
-    text = f"Authorization bearer {key} was sent by mistake."
-    assert ("novel", text.index(key), text.index(key) + 40) in secrets.spans(text)
-    assert secrets.redacted(text) == "Authorization bearer [SECRET] was sent by mistake."
-    assert secrets.spans("The credential store is example.com/configuration/settings.json and nothing more.") == []
-    assert secrets.spans(f"no such word near {key}") == []
-    again = f"id {key} {key} {key} credential {key}"
-    assert all(k != "novel" for k, *_ in secrets.spans(again))  # the text around foresees it
+def code_files():
+    root = sysconfig.get_paths()["stdlib"]
+    names = sorted(glob.glob(f"{root}/*.py") + glob.glob(f"{root}/*/*.py"))
+    random.Random(0).shuffle(names)
+    return [open(f, encoding="utf-8", errors="replace").read() for f in names[:500]]
 
 
-def test_long_and_dashed_secrets_are_novel():
+@pytest.fixture(scope="module")
+def code():
+    """(dictionary trained on one half of some source files, the other half)."""
+    files = code_files()
+    return secrets.primer([f[k : k + 1000] for f in files[:300] for k in range(0, min(len(f), 8000), 1000)]), files[300:]
+
+
+def test_novelty_on_held_out_code(code):
+    dictionary, files = code
+    rng, share = random.Random(1), lambda c, around: secrets.marginal_bytes(c, around, dictionary) / len(c)
+    named = [(m[0].rstrip(".-"), f[max(0, m.start() - 400) : m.start()] + f[m.end() : m.end() + 400]) for f in files[:60] for m in secrets._CANDIDATE.finditer(f)]
+    named = [x for x in named if len(x[0]) >= 16]
+    assert sum(share(*x) >= secrets.NOVEL for x in named) <= 0.03 * len(named) and len(named) > 2000
+    letters, hexes = string.ascii_letters, "0123456789ABCDEF"
+    for alphabet, n in ((letters + string.digits, 20), (letters, 32), (letters + string.digits + "+/", 44), (hexes, 32), (string.ascii_lowercase + string.digits, 40), (string.digits, 24)):
+        hit = 0
+        for _ in range(200):
+            f = rng.choice([f for f in files if len(f) > 2000])
+            p = rng.randrange(400, len(f) - 400)
+            hit += share("".join(rng.choices(alphabet, k=n)), f[p - 400 : p + 400]) >= secrets.NOVEL
+        assert hit >= 180, (alphabet, hit)
+
+
+def test_novelty_takes_random_strings_and_leaves_names(code):
+    rng = random.Random(1)
+    key = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", k=40))
+    for dictionary in (None, code[0]):
+        text = f"Authorization bearer {key} was sent by mistake."
+        assert ("novel", text.index(key), text.index(key) + 40) in secrets.spans(text, dictionary)
+        assert secrets.redacted(text, dictionary=dictionary) == "Authorization bearer [SECRET] was sent by mistake."
+        assert secrets.spans("The credential store is example.com/configuration/settings.json and nothing more.", dictionary) == []
+        assert secrets.spans(f"no such word near {key}", dictionary) == []
+        again = f"id {key} {key} {key} credential {key}"
+        assert all(k != "novel" for k, *_ in secrets.spans(again, dictionary))  # the text around foresees it
+
+
+def test_context_counts_on_both_sides_and_nothing_but_bytes_decides(code):
+    letters_only = "QWErtyUIOpasDFGhjkLZxcVBnmQWeRTyuiOPasdfGHjk"
+    for text, key in ((f"Authorization: Bearer {letters_only}", letters_only), ("x7Kq9LmZp2Rt5Vw8Yb3Nc6Hd1Fg4JsQ is my credential", "x7Kq9LmZp2Rt5Vw8Yb3Nc6Hd1Fg4JsQ"), ("see 9316402875519384 (the bearer)", "9316402875519384")):
+        at = text.index(key)
+        assert secrets.spans(text, code[0]) == [("novel", at, at + len(key))], text
+    far = "x7Kq9LmZp2Rt5Vw8Yb3Nc6Hd1Fg4JsQ " + "is one of the many things here that say nothing " + "of a credential"
+    assert secrets.spans(far, code[0]) == []
+
+
+def test_long_and_dashed_secrets_are_novel(code):
     rng = random.Random(3)
     part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
     jwt = ".".join([part(b'{"alg":"RS256","typ":"JWT"}'), part(b'{"sub":"7312","name":"J. Doe","iat":1516239022,"scope":"read"}'), part(rng.randbytes(256))])
@@ -456,18 +499,28 @@ def test_long_and_dashed_secrets_are_novel():
     assert len(jwt) >= 300 and min(len(re.findall("[./-]", x)) for x in (jwt, slashed, groups)) > 4
     for key in (jwt, slashed, groups):
         text = f"Authorization: Bearer {key} was sent by mistake."
-        assert secrets.spans(text) == [("novel", text.index(key), text.index(key) + len(key))]
-    for name in ("docs/v1/api/users/123/keys/456/list", "usr/lib/python3.11/site-packages/foo-1.2.3.dist-info", "2024-01-02T03-04-05-06-07"):
-        assert secrets.spans(f"Authorization: Bearer {name} was sent by mistake.") == []
+        assert secrets.spans(text, code[0]) == [("novel", text.index(key), text.index(key) + len(key))]
+    for name in ("usr/lib/python3.11/site-packages/setuptools", "error_message_from_the_server"):
+        assert secrets.spans(f"Authorization: Bearer {name} was sent by mistake.", code[0]) == []
 
 
 @pytest.mark.parametrize("name", ["export client_key", "aws_secret_access_key", "auth_key", "access_key", "signing_key", "private_key", "the private key", "url?a=b&config.access_key"])
-def test_values_after_a_sensitive_name_are_novel(name):
+def test_values_after_a_sensitive_name_are_novel(name, code):
     for value in ("Zk39qLpW2mVx7RtB8sYh4Nc6", "wJa1rXUtnFEM9/K7MDENG3bPxRfi+CYzQ2Hd5Lw=="):
         text = f"set {name}={value} here"
-        assert secrets.spans(text) == [("novel", text.index(value), text.index(value) + len(value))]
-        assert secrets.redacted(text) == f"set {name}=[SECRET] here"
-    assert secrets.spans(f"set {name}=configuration_settings_2024 here") == []
+        assert secrets.spans(text, code[0]) == [("novel", text.index(value), text.index(value) + len(value))]
+        assert secrets.redacted(text, dictionary=code[0]) == f"set {name}=[SECRET] here"
+    assert secrets.spans(f"set {name}=configuration_settings_2024 here", code[0]) == []
+
+
+def test_primer_is_bounded_and_leaves_repeated_secrets_out(spark, odd, empty):
+    key = "x7Kq9LmZp2Rt5Vw8Yb3Nc6Hd1Fg4JsQ"
+    docs = spark.createDataFrame([(k, f"The {k}th note of many says that the bearer {key} is in use here and there. " * 9) for k in range(300)], "doc_id long, text string")
+    dictionary = secrets.train_primer(docs)
+    assert len(dictionary) <= secrets.DICTIONARY_BYTES and key.encode() not in dictionary and dictionary == secrets.train_primer(docs.repartition(5))
+    assert secrets.find_secrets(docs.limit(3)).collect()[0]["spans"] == []  # the text itself repeats it
+    assert ("novel", 11, 11 + len(key)) in secrets.spans(f"the bearer {key} is in use", dictionary)
+    assert secrets.train_primer(empty) and secrets.find_secrets(odd).count() == len(ODD)
 
 
 def test_padding_inside_a_candidate_does_not_cut_it():
