@@ -134,12 +134,12 @@ class Encoder:
             names.setdefault(x, chr(256 + len(names) - len(marks)))
         self.names = names
         self.kind = np.uint16 if max(self.tok.get_vocab().values(), default=0) < 1 << 16 else np.uint32
-        self.memo = textbuf.WordMemo(self._one, limit)
+        self.memo = textbuf.WordMemo(self._ids_of, limit)
         self._seen, self._first, self._count, self._pool, self._used = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind), 0
         self._generation = 0
 
-    def _one(self, word: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.names))]
+    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
+        return [[t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.names))] for w in words]
 
     def _sync(self) -> None:
         if self._generation != self.memo.generation:

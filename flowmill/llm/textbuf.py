@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,12 +114,12 @@ def hashes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 class WordMemo:
     """Byte slice -> dense index, exact, for millions of slices a second.
 
-    ``make(bytes)`` is called once for each slice not seen since the last reset and its result is kept in ``values``.
+    ``make(list of bytes)`` gives the results of slices not seen since the last reset, each kept once in ``values``.
     Slices of up to KEY_BYTES bytes are compared by all their bytes and length in an open-addressing table; longer ones
     go through a dict.  ``limit`` bounds the memory: past it the memo starts afresh.
     """
 
-    def __init__(self, make: Callable[[bytes], object], limit: int = 600_000):
+    def __init__(self, make: Callable[[list[bytes]], Iterable], limit: int = 600_000):
         self.make, self.limit = make, limit
         self.bits = (2 * limit - 1).bit_length()
         self.reset()
@@ -138,10 +138,6 @@ class WordMemo:
         if len(self.values) > self.limit:
             self.reset()
 
-    def _add(self, word: bytes) -> int:
-        self.values.append(self.make(word))
-        return len(self.values) - 1
-
     def _find(self, a, b, c, lens, h):
         mask = (1 << self.bits) - 1
         slot = (h & _U(mask)).astype(np.int64)
@@ -175,15 +171,21 @@ class WordMemo:
             todo = todo[found < 0]
             if len(todo):
                 _, first = np.unique(h[todo], return_index=True)
-                for j in todo[first].tolist():
-                    s = int(starts[short[j]])
-                    self._put(int(h[j]), a[j], b[j], c[j], int(ln[j]), self._add(buf[s : s + int(ln[j])].tobytes()))
+                new = todo[first].tolist()
+                for k, j in enumerate(new, len(self.values)):
+                    self._put(int(h[j]), a[j], b[j], c[j], int(ln[j]), k)
+                at = starts[short[new]]
+                self.values.extend(self.make([buf[s : s + n].tobytes() for s, n in zip(at.tolist(), ln[new].tolist(), strict=True)]))
+        fresh: list[bytes] = []
         for j in np.flatnonzero(lens > KEY_BYTES).tolist():
             word = buf[int(starts[j]) : int(starts[j] + lens[j])].tobytes()
             k = self.long.get(word)
             if k is None:
-                k = self.long[word] = self._add(word)
+                k = self.long[word] = len(self.values) + len(fresh)
+                fresh.append(word)
             out[j] = k
+        if fresh:
+            self.values.extend(self.make(fresh))
         return out
 
     def _put(self, h: int, a, b, c, ln: int, k: int) -> None:

@@ -392,18 +392,64 @@ def test_language_on_held_out_rows_and_mixed_text(spark, odd, empty):
     assert {r["lang"] for r in langid.predict(odd, langid.train(empty)).collect()} == {"und"}
 
 
-def test_forward_backward_equals_enumeration():
-    rng = np.random.default_rng(1)
-    crf = langid.Crf(["x", "y"], np.zeros((1 << langid.BITS, 2), np.float32), rng.normal(0, 1, (2, 2)))
-    e = rng.normal(0, 1, (5, 2))
-    want, total = np.zeros((5, 2)), 0.0
-    for path in np.ndindex(2, 2, 2, 2, 2):
-        p = np.exp(sum(e[t, s] for t, s in enumerate(path)) + sum(crf.transitions[a, b] for a, b in zip(path[:-1], path[1:], strict=True)))
+def enumerated(e, move):
+    n, k = e.shape
+    want, total = np.zeros((n, k)), 0.0
+    for path in np.ndindex(*[k] * n):
+        p = np.exp(sum(e[t, s] for t, s in enumerate(path)) + sum(move[a, b] for a, b in zip(path[:-1], path[1:], strict=True)))
         total += p
         for t, s in enumerate(path):
             want[t, s] += p
-    both = crf.marginals(np.concatenate([e, e[:2]]), np.array([0] * 5 + [1] * 2))
-    assert np.allclose(both[:5], want / total)
+    return want / total
+
+
+def step_by_step(e, move):
+    """Forward-backward of one whole text, word by word, in logarithms."""
+    add = lambda x: np.log(np.exp(x - x.max(0)).sum(0)) + x.max(0)
+    a, b = [e[0]], [np.zeros(e.shape[1])]
+    for t in range(1, len(e)):
+        a.append(add(a[-1][:, None] + move) + e[t])
+    for t in range(len(e) - 1, 0, -1):
+        b.append(add((move + (e[t] + b[-1])[None, :]).T))
+    z = np.array(a) + np.array(b[::-1])
+    return np.exp(z - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 256])
+def test_forward_backward_equals_enumeration(block, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    crf = langid.Crf(["x", "y"], np.zeros((1 << langid.BITS, 2), np.float32), rng.normal(0, 1, (2, 2)))
+    sizes = [5, 2, 1, 8, 3]
+    es = [rng.normal(0, 1, (n, 2)) for n in sizes]
+    both = crf.marginals(np.concatenate(es), np.repeat(np.arange(5), sizes))
+    for got, e in zip(np.split(both, np.cumsum(sizes)[:-1]), es, strict=True):
+        assert np.allclose(got, enumerated(e, crf.transitions)) and np.allclose(got, step_by_step(e, crf.transitions))
+
+
+def test_chains_are_whole_texts():
+    rng = np.random.default_rng(2)
+    crf = langid.Crf(["x", "y", "z"], np.zeros((1 << langid.BITS, 3), np.float32), rng.normal(0, 2, (3, 3)))
+    sizes = [1000, 40, 256, 257, 5000, 1, 700]
+    es = [rng.normal(0, 2, (n, 3)) for n in sizes]
+    got = np.split(crf.marginals(np.concatenate(es), np.repeat(np.arange(7), sizes)), np.cumsum(sizes)[:-1])
+    for a, e in zip(got, es, strict=True):
+        assert np.allclose(a, step_by_step(e, crf.transitions))
+    # a word without any evidence takes its label from the words past the old bound of 64 as well
+    near = np.zeros((65, 2))
+    near[64] = [9, 0]
+    two = langid.Crf(["x", "y"], np.zeros((1 << langid.BITS, 2), np.float32), np.array([[6.0, 0.0], [0.0, 6.0]]))
+    assert two.marginals(near, np.zeros(65, int))[0, 0] > 0.8
+
+
+def test_training_takes_spread_words_and_all_pieces():
+    assert langid.spread(10, 600) == [(0, 10)] and langid.spread(600, 600) == [(0, 600)]
+    for n in (601, 1999, 20_000):
+        runs = langid.spread(n, 600)
+        assert sum(b - a for a, b in runs) <= 600 and runs[0][0] == 0 and runs[-1][1] == n and all(a >= y for (_, y), (a, _) in zip(runs[:-1], runs[1:], strict=True))
+    crf = langid.Crf.fit([["eins", "zwei", "drei"]] * 4 + [["one", "two", "three"]] * 4 + [["rest"] * 13 + ["only"]], ["de"] * 4 + ["en"] * 5, ["de", "en"])
+    assert crf.lexicon == {"eins": (0,), "zwei": (0,), "drei": (0,), "one": (1,), "two": (1,), "three": (1,)}
+    assert crf.weights[langid.features(["only"], {})[1]].any()  # a last piece of two words
 
 
 def test_language_of_long_words_is_read_to_the_end(spark):
@@ -414,7 +460,16 @@ def test_language_of_long_words_is_read_to_the_end(spark):
     out = langid.held_out(F.col("doc_id"))
     got = langid.predict(docs, langid.train(docs, ~out)).filter(out).collect()
     assert sum(r["lang"] == "xy"[r["doc_id"] % 2] for r in got) >= 0.9 * len(got) > 0
-    assert set(langid.features("a" * 40 + "bcd" + "e" * 9)) >= {zlib.crc32(x) & ((1 << langid.BITS) - 1) for x in (b"tbcd", b"bbc")}
+
+
+def test_features_of_words():
+    of = lambda w, lexicon={}: sorted(langid.features([w], lexicon)[1].tolist())
+    both = langid.features(["one", "é漢", "", "a" * 300], {"one": (0, 2)})
+    assert [sorted(both[1][both[0] == k].tolist()) for k in range(4)] == [of("one", {"one": (0, 2)}), of("é漢"), of(""), of("a" * 300)]
+    assert len(of("one")) == 1 + 6 + 4 + 3 and len(of("one", {"one": (0, 2)})) == len(of("one")) + 2 and len(of("a" * 300)) == 7 + 301 + 300
+    shared = lambda a, b: set(of(a)) & set(of(b))
+    assert len(shared("q" * 100 + "bcd" + "w" * 9, "xbcdz")) >= 3  # bc, cd and bcd, wherever they stand
+    assert len(shared("abcxyz", "abcdef")) >= 6 and not shared("abc", "def") and of("ab") != of("ba")
 
 
 # --- secrets
@@ -557,7 +612,7 @@ def test_secret_query_digests(spark):
 
 def test_word_memo_is_exact():
     calls = []
-    memo = textbuf.WordMemo(lambda w: calls.append(w) or w, limit=50)
+    memo = textbuf.WordMemo(lambda w: calls.extend(w) or w, limit=50)
     rng = random.Random(2)
     for _ in range(30):
         some = [bytes(rng.choices(b"ab\x00c", k=rng.randint(0, 40))) for _ in range(60)]
