@@ -346,16 +346,29 @@ def test_policies_and_ablation(spark):
 def test_machine_learns_a_pair_that_weights_miss():
     rng = np.random.default_rng(4)
     a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
-    y = (a == b).astype(float)
     texts = [np.array([x for x, on in ((11, p), (22, q), (33, True)) if on]) for p, q in zip(a, b, strict=True)]
-    z, toxicity.Z_LEAST = toxicity.Z_LEAST, 0.0
-    try:
-        m = toxicity.FactorizationMachine.fit(texts, y, np.ones(4000), steps=400, decay=0.0)
-    finally:
-        toxicity.Z_LEAST = z
-    row = np.repeat(np.arange(4000), [len(t) for t in texts])
-    term = m.slot[np.concatenate(texts)]
-    assert ((m.raw(row, term, 4000) > 0) == y).mean() > 0.99
+    for y in ((a == b).astype(float), (a != b).astype(float), (a & b).astype(float)):
+        m = toxicity.FactorizationMachine.fit(texts, y, np.ones(4000))  # with the values of production
+        row = np.repeat(np.arange(4000), [len(t) for t in texts])
+        term = m.slot[np.concatenate(texts)]
+        assert m.kept.tolist() == [11, 22]
+        assert ((m.raw(row[term >= 0], term[term >= 0], 4000) > 0) == y).mean() > 0.99
+
+
+def test_pairs_of_innocent_words_are_found_among_many(spark):
+    rng = random.Random(17)
+    say = lambda n: [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.choice('aeiou')}" for _ in range(n)]
+    rows = []
+    for i in range(1600):
+        insult, group = [(True, True), (True, False), (False, True), (True, False), (False, True), (False, False), (False, False), (False, False)][i % 8]
+        words = say(30) + ["filthy"] * insult + ["strangers"] * group
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(insult == group)))  # by themselves both words are as common in either class
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    got = toxicity.score(docs, model).join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id")))
+    assert got.filter("(score >= 0.5) <> (toxic = 1)").count() <= 0.02 * got.count()
 
 
 def test_toxicity_on_held_out_rows(spark, odd, empty):
