@@ -192,6 +192,20 @@ class Encoder:
                     ids = np.array(self.tok.encode(raw[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids, self.kind)
                     yield first + k, ids, np.array([len(ids)])
 
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """Number of ids of every text."""
+        out = np.zeros(len(column), np.int64)
+        for first, last, raw, offsets in textbuf.groups(column):
+            self.memo.room()
+            ok = self.vectorised(raw, offsets)
+            buf = textbuf.padded(raw) if self.joined else lowered(textbuf.padded(raw))
+            begin, lens = cuts(buf, offsets, self.joined)
+            total = np.concatenate([[0], np.cumsum(self.counts(buf, begin, lens)[1])])
+            out[first:last] = np.diff(total[np.searchsorted(begin, offsets)])
+            for k in np.flatnonzero(~ok).tolist():
+                out[first + k] = len(self.tok.encode(raw[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids)
+        return out
+
     def _ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         buf = textbuf.padded(raw)
         if not self.joined:
