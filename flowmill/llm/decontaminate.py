@@ -23,6 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of terms with at most so many rows is broadcast.
 SMALL_ROWS = 200_000
 LENGTH_TERM = ""
+#: Tasks that a frequent term is dealt over where words are shuffled.
+SALTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -47,19 +49,34 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame, around: int) -> DataFrame:
     """(doc_id, text_key, term, pos, first, near): every occurrence of ``terms``, and under LENGTH_TERM one row a document
-    with its number of words as pos.  near: the words from position ``first`` to ``around`` words past pos."""
-    probe = _sized(terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("term"))).distinct())
+    with its number of words as pos.  near: the words from position ``first`` to ``around`` words past pos.
+
+    Beyond SMALL_ROWS terms the words meet them by a shuffle of (document, position, term), dealt by term and position so
+    that a frequent term has many tasks; only what is found goes back to its document, where the words around are taken."""
+    probe = terms.select("term").distinct()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), words_of(F.col("text")).alias("words"))
-    each = d.select("doc_id", "text_key", "words", F.posexplode(F.concat("words", F.array(F.lit(LENGTH_TERM)))).alias("pos", "term"))
     first = F.greatest(F.col("pos") - around, F.lit(0))
     near = F.when(F.col("term") != LENGTH_TERM, F.slice("words", F.col("first") + 1, F.col("pos") - F.col("first") + 1 + around))
-    return each.join(probe, "term").withColumn("first", first).withColumn("near", near).drop("words")
+    if probe.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        probe = F.broadcast(probe.unionByName(terms.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("term"))))
+        found = d.select("*", F.posexplode(F.concat("words", F.array(F.lit(LENGTH_TERM)))).alias("pos", "term")).join(probe, "term")
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        each = d.select("doc_id", "text_key", F.posexplode("words").alias("pos", "term")).withColumn("salt", F.col("pos") % SALTS)
+        hits = each.join(probe.select("term", salt), ["term", "salt"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "term")).alias("hits"))
+        hits = hits.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+        back = d.join(hits, d["doc_id"].eqNullSafe(hits["_id"]) & (d["text_key"] == hits["_key"]), "left")
+        end = F.array(F.struct(F.size("words").alias("pos"), F.lit(LENGTH_TERM).alias("term")))
+        found = back.select("doc_id", "text_key", "words", F.explode(F.concat(F.coalesce("hits", F.array().cast("array<struct<pos: int, term: string>>")), end)).alias("h"))
+        found = found.select("doc_id", "text_key", "words", "h.term", "h.pos")
+    return found.withColumn("first", first).withColumn("near", near).select("doc_id", "text_key", "term", "pos", "first", "near")
 
 
 def passages(benchmark: DataFrame, window: int) -> DataFrame:
-    """(passage, items, words): distinct word sequences of the items."""
+    """(passage, items, words): distinct word sequences of the items, named by 128 bits of the words themselves (a word
+    holds no space)."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    return rows.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("passage", F.xxhash64("words"))
+    return rows.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("passage", F.unhex(F.md5(F.array_join("words", " "))))
 
 
 def _windows(p: DataFrame, counts: DataFrame, window: int) -> DataFrame:

@@ -246,9 +246,10 @@ def test_passages_equal_brute_force(spark, odd, empty):
 
 def test_passages_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SMALL_ROWS", 0)
-    docs, items = [(1, "a b c d e f g"), (2, "c d e"), (3, "b c d e x")], [(1, "b c d e"), (2, "q r s")]
+    long = " ".join(f"w{k % 900}" for k in range(30_000))
+    docs, items = [(1, "a b c d e f g"), (2, "c d e"), (3, "b c d e x"), (4, long), (None, "b c d"), (3, "b c d e x"), (5, None), (6, "")], [(1, "b c d e"), (2, "q r s"), (3, "w5 w6 w7 w8"), (4, "w899 w0")]
     d, b = (spark.createDataFrame(x, s) for x, s in ((docs, "doc_id long, text string"), (items, "item_id long, text string")))
-    got = sorted((False, r["doc_id"], r["n_words"], r["hits"], r["items"]) for r in decontaminate.passage_hits(d, b, 3).collect())
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["hits"], r["items"]) for r in decontaminate.passage_hits(d, b, 3).collect())
     assert got == brute_hits(docs, items, 3)
 
 
