@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = storage.materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc")
     mark = _mark(e)
     while mark[0]:
-        e = storage.materialize(_small(_large(e)), "cc")
+        before, e = e, storage.materialize(_small(_large(e)), "cc")
+        storage.release(before)
         now = _mark(e)
         if now == mark:
             break

@@ -99,7 +99,9 @@ def passage_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
     """One row a document: doc_id, text_key, n_words, hits (positions of hit words), items (ids of items hit)."""
     p = passages(benchmark, window)
     terms = p.select(F.explode("words").alias("term")).distinct()
-    listed = storage.materialize(_windows(p, storage.materialize(term_counts(docs, terms), "terms"), window), "passages")
+    with storage.scratch(docs.sparkSession) as tables:
+        listed = storage.materialize(_windows(p, storage.materialize(term_counts(docs, terms), "terms"), window), "passages")
+        tables.keep(listed)
     offsets = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.array(w["p1"], w["p2"]))))
     places = listed.select("passage", F.explode(offsets).alias("offset"), "words").select("passage", "offset", F.get("words", F.col("offset")).alias("term"))
     index = storage.materialize(postings(docs, places.select("term").distinct(), window - 1), "postings")

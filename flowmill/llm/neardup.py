@@ -4,8 +4,9 @@ Texts of one shingle set are one class.  A class meets, in each bucket of a band
 confirmed on the full sets and joined into components.  Members that still stand in different components of a bucket
 are then compared with each other, block by block and in memory: first by likelihood, then, for members that may still
 have a partner, on full sets; only links that join two components are emitted.  So a group of copies makes a number of
-rows in proportion to its size, and no two texts of one bucket that are linked and pass the floor end in different components.  A pair at the threshold shares no bucket with a probability below 4e-6 at 0.8
-and about 2e-8 at 0.85; its estimate falls below the floor of the full check (MARGIN) with about 1e-6 and 2e-6.
+rows in proportion to its size, and no two texts of one bucket that are linked and pass the floor end in different
+components.  A pair at the threshold shares no bucket with a probability below 4e-6 at 0.8 and about 2e-8 at 0.85; its
+estimate falls below the floor of the full check (MARGIN) with about 1e-6 and 2e-6.
 
 Rows: null, empty and blank texts have no shingles, are linked with nothing and kept; texts of fewer words than a
 shingle are one shingle; a null doc_id never names a component (its row is kept only if no row of its component has
@@ -252,10 +253,9 @@ def _joined(members: DataFrame, percent: float) -> DataFrame:
     return members.groupBy("band", "key", "i", "j").applyInPandas(link, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80) -> DataFrame:
-    """One row a document: doc_id, text_key, n_shingles, group (of the component; null without words), component_id (the
-    smallest doc_id reachable over links), n_links (with other classes, as found), kept.  Linked: ``100 * shared >= percent * union`` of the sets of distinct shingles."""
-    each = storage.materialize(sketches(docs, words), "sketches")
+def _linked(each: DataFrame, docs: DataFrame, words: int, percent: float) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Classes of equal sets, tables of links (a, b) between them, and their components (node, component)."""
+    spark = each.sparkSession
     place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("place")
     classes = each.filter("class IS NOT NULL").groupBy("class").agg(place, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = storage.materialize(classes.select("class", F.col("place.doc_id").alias("rep"), F.col("place.text_key").alias("text_key"), "n_shingles", "sketch"), "classes")
@@ -266,10 +266,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80) -> Dat
     def side(x: str) -> DataFrame:
         return classes.select(F.col("class").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
 
+    def joined(tables: list[DataFrame]) -> DataFrame:
+        with storage.scratch(spark) as s:
+            out = storage.materialize(components(tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])), "components")
+            s.keep(out)
+        return out
+
     star = members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    likely = _likely(star.join(side("a"), "a").join(side("b"), "b"), percent)
-    links = storage.materialize(_verified(likely, classes, docs, words, percent), "links")
-    found = storage.materialize(components(links), "components")
+    with storage.scratch(spark) as s:
+        likely = _likely(star.join(side("a"), "a").join(side("b"), "b"), percent)
+        links = [storage.materialize(_verified(likely, classes, docs, words, percent), "links")]
+        s.keep(*links)
+    found = joined(links)
 
     several = members.filter("n > 2")
     placed = several.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -277,11 +285,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80) -> Dat
     open_ = placed.join(split, ["band", "key"]).join(classes.select("class", "sketch", "n_shingles"), "class")
     marked = storage.materialize(_open_members(open_, percent), "marked")
     if not marked.isEmpty():
-        sets = _full_sets(marked.select("class").distinct(), classes, docs, words)
-        extra = storage.materialize(_joined(marked.join(sets, "class"), percent).distinct(), "links")
+        with storage.scratch(spark) as s:
+            sets = _full_sets(marked.select("class").distinct(), classes, docs, words)
+            extra = storage.materialize(_joined(marked.join(sets, "class"), percent).distinct(), "links")
+            s.keep(extra)
         if not extra.isEmpty():
-            links = links.unionByName(extra)
-            found = storage.materialize(components(links), "components")
+            links.append(extra)
+            found = joined(links)
+    return classes, links, found
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80) -> DataFrame:
+    """One row a document: doc_id, text_key, n_shingles, group (of the component; null without words), component_id (the
+    smallest doc_id reachable over links), n_links (with other classes, as found), kept.  Linked: ``100 * shared >=
+    percent * union`` of the sets of distinct shingles."""
+    spark = docs.sparkSession
+    each = storage.materialize(sketches(docs, words), "sketches")
+    with storage.scratch(spark) as tables:
+        classes, links, found = _linked(each, docs, words, percent)
+        tables.keep(classes, *links, found)
+    links = links[0] if len(links) == 1 else links[0].unionByName(links[1])
 
     ends = links.select(F.col("a").alias("class")).unionAll(links.select("b")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     named = found.join(classes.select(F.col("class").alias("node"), "rep"), "node")

@@ -162,6 +162,11 @@ def _fold(doc_id: Column, folds: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = 4000) -> FactorizationMachine:
     """Fit on about ``sample`` rows at most of each class of ``labels`` (doc_id, toxic) whose doc_id passes ``learn``."""
+    with storage.scratch(docs.sparkSession):
+        return _fitted(docs, labels, learn, sample)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, learn: Column | None, sample: int) -> FactorizationMachine:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     known = (known.filter(learn) if learn is not None else known).groupBy("doc_id").agg(F.max("label").alias("label"))
     size = {bool(r["y"]): r["n"] for r in known.groupBy((F.col("label") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}

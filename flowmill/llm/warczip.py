@@ -7,6 +7,10 @@ directory (ZIP64 where the counts or sizes ask for it), finds the stored members
 Of records with equal payloads of at least ``min_bytes``, the one of the smallest page_id is a response and the others
 are revisits that name it; shorter payloads are all responses.
 
+A record has an identifier of its own; page numbers stand in fields of their own, and a revisit names its response by
+number, target and date.  A payload of over one row in HOT_SHARE meets its head by a broadcast (there are fewer than
+HOT_SHARE such payloads), others by a shuffle.
+
 Rows: null html is an empty payload; a null page_id is never referred to (alone among nulls it is a response); rows of
 one page_id and one payload are all of one type; urls may be null or hold any characters; an empty table gives no
 package; other columns are ignored.
@@ -31,7 +35,8 @@ from pyspark.sql import functions as F
 from flowmill.llm import storage
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-RECORD_URN = "urn:flowmill:page:"
+PAGE, REFERS_TO = "X-Page-Id", "X-Refers-To-Page-Id"
+HOT_SHARE = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PACKAGE_SCHEMA = "path string, n_records long"
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -41,18 +46,25 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, digest: str | None = None) -> bytes:
+def _target(url: str) -> str:
+    return "".join(f"%{ord(x):02X}" if ord(x) < 33 or ord(x) == 127 else x for x in url)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, digest: str | None = None, refers_url: str | None = None) -> bytes:
     """One WARC/1.1 record: a response, or a revisit of page ``refers_to``."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
     block = http + payload if refers_to is None else http
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{RECORD_URN}{'none' if page_id is None else page_id}>"), ("WARC-Date", date)]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", uuid.uuid4().urn.join("<>")), ("WARC-Date", date)]
+    if page_id is not None:
+        head.append((PAGE, str(page_id)))
     if url is not None:
-        safe = "".join(f"%{ord(x):02X}" if ord(x) < 33 or ord(x) == 127 else x for x in url)
-        head.append(("WARC-Target-URI", safe))
+        head.append(("WARC-Target-URI", _target(url)))
     head.append(("WARC-Payload-Digest", f"sha1:{digest or digest32(payload)}"))
     if refers_to is not None:
-        head += [("WARC-Refers-To", f"<{RECORD_URN}{refers_to}>"), ("WARC-Profile", PROFILE)]
+        head += [(REFERS_TO, str(refers_to)), ("WARC-Refers-To-Date", date), ("WARC-Profile", PROFILE)]
+        if refers_url is not None:
+            head.append(("WARC-Refers-To-Target-URI", _target(refers_url)))
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -74,8 +86,8 @@ def parse_record(raw: bytes) -> dict:
     kind = fields["warc-type"]
     if kind == "response" and (len(payload) != size or digest32(payload) != digest):
         raise ValueError("a payload differs from its digest")
-    page = lambda k: int(x) if (x := fields.get(k, "").strip("<>").removeprefix(RECORD_URN)) not in ("", "none") else None
-    return {"page_id": page("warc-record-id"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page("warc-refers-to"), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None}
+    page = lambda k: int(fields[k.lower()]) if k.lower() in fields else None
+    return {"page_id": page(PAGE), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page(REFERS_TO), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None}
 
 
 class ZipDirectory:
@@ -164,21 +176,21 @@ def read_package(f, size: int, chunk: int = 4 << 20) -> Iterator[dict]:
         k = last
 
 
-def write_package(out, records: Iterator[tuple[int | None, str | None, bytes, int | None]], date: str, level: int = 1) -> int:
-    """records: (page_id, url, payload, refers_to).  Streams the archive, then the index.  Number of records."""
+def write_package(out, records: Iterator[tuple[int | None, str | None, bytes, int | None, str | None]], date: str, level: int = 1) -> int:
+    """records: (page_id, url, payload, refers_to, its url).  Streams the archive, then the sorted index.  Number of records."""
     index, at = [], 0
     stamp = re.sub(r"\D", "", date)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         with z.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True) as f:
-            for page_id, url, payload, refers_to in records:
+            for page_id, url, payload, refers_to, refers_url in records:
                 digest = digest32(payload)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                raw = packer.compress(record(page_id, url, payload, refers_to, date, digest)) + packer.flush()
+                raw = packer.compress(record(page_id, url, payload, refers_to, date, digest, refers_url)) + packer.flush()
                 f.write(raw)
                 index.append(f"{page_id if page_id is not None else 'none'} {stamp} " + json.dumps({"url": url, "digest": f"sha1:{digest}", "offset": str(at), "length": str(len(raw))}))
                 at += len(raw)
         with z.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as f:
-            for line in index:
+            for line in sorted(index):
                 f.write(line.encode() + b"\n")
     return len(index)
 
@@ -188,11 +200,18 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     a package of its own, and only the one named in the table counts."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("sha"))
-    small = rows.filter(F.octet_length("html") >= min_bytes).select("page_id", "sha")
-    heads = small.groupBy("sha").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = small.join(heads, "sha").filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("head"))).distinct()
-    again = again.filter("head IS NOT NULL").withColumnsRenamed({"page_id": "_id", "sha": "_sha"})
-    dealt = rows.join(again, rows["page_id"].eqNullSafe(F.col("_id")) & (rows["sha"] == F.col("_sha")), "left").select("page_id", "url", "html", "head")
+    large = F.octet_length("html") >= min_bytes
+    heads = rows.filter(large).groupBy("sha").agg(F.min("page_id").alias("head"), F.min_by("url", "page_id").alias("head_url"), F.count(F.lit(1)).alias("n"))
+    heads = storage.materialize(heads.filter("n > 1 AND head IS NOT NULL"), "heads")
+    many = F.col("n") * HOT_SHARE > rows.count()
+    hot = F.broadcast(heads.filter(many).select("sha", F.struct("head", "head_url").alias("_hot")))
+    cold = heads.filter(~many).select(F.col("sha").alias("_key"), F.struct("head", "head_url").alias("_cold"))
+    # rows that need no cold head are dealt evenly
+    key = F.when(large & F.col("_hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("~"), F.xxhash64("page_id", "url").cast("string")))
+    met = rows.join(hot, "sha", "left").withColumn("_key", key).join(cold, "_key", "left")
+    found = F.when(large, F.coalesce("_hot", "_cold"))
+    found = F.when(~F.col("page_id").eqNullSafe(found["head"]), found)
+    dealt = met.select("page_id", "url", "html", found["head"].alias("head"), found["head_url"].alias("head_url"))
 
     def write(batches):
         first = next(batches, None)
@@ -207,8 +226,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
         def records():
             batch = first
             while batch is not None:
-                for page_id, url, payload, head in zip(*(batch.column(k) for k in range(4)), strict=True):
-                    yield page_id.as_py(), url.as_py(), (payload.as_py() or "").encode(), head.as_py()
+                for page_id, url, payload, head, head_url in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                    yield page_id, url, (payload or "").encode(), head, head_url
                 batch = next(batches, None)
 
         with fs.open_output_stream(path) as out:
