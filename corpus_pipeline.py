@@ -55,9 +55,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = storage.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with storage.scratch(spark) as tables:  # a stage's own tables end with it
+            docs = storage.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            tables.keep(docs)
+        if before is not None:
+            storage.release(before)
+        before = docs
     return docs
 
 
