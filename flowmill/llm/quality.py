@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = "[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -72,7 +72,7 @@ def _repeated(words: Column) -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    words = F.filter(F.split(text, SPACE), lambda x: x != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def of_words(w: Column) -> Column:
