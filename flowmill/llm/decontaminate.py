@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from flowmill.llm import storage
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of terms with at most so many rows is broadcast.
 SMALL_ROWS = 200_000
@@ -31,7 +31,7 @@ def words_of(text: Column) -> Column:
     """Words of a text, A-Z in lower case; other letters as they are."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(1))
+    return F.filter(F.split(low, BETWEEN_WORDS), lambda x: x != "")
 
 
 def _sized(df: DataFrame) -> DataFrame:
