@@ -121,7 +121,7 @@ def cuts(buf: np.ndarray, offsets: np.ndarray, joined: bool) -> tuple[np.ndarray
 class Encoder:
     """ids of whole texts.  joined: as in ``cuts``; a vocabulary without it lower-cases."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -134,19 +134,15 @@ class Encoder:
             names.setdefault(x, chr(256 + len(names) - len(marks)))
         self.names = names
         self.kind = np.uint16 if max(self.tok.get_vocab().values(), default=0) < 1 << 16 else np.uint32
-        self.memo = textbuf.WordMemo(self._ids_of, limit)
-        self._seen, self._first, self._count, self._pool, self._used = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind), 0
-        self._generation = 0
+        self.memo = textbuf.WordMemo(self._remember, limit)
+        self._generation, self._seen, self._used = 0, 0, 0
+        self._first, self._count, self._pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind)
 
-    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
-        return [[t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.names))] for w in words]
-
-    def _sync(self) -> None:
+    def _remember(self, words: list[bytes]) -> None:
+        """The ids of pre-tokens, behind those of the words before them."""
         if self._generation != self.memo.generation:
             self._generation, self._seen, self._used = self.memo.generation, 0, 0
-        new = self.memo.values[self._seen :]
-        if not new:
-            return
+        new = [[t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.names))] for w in words]
         count = np.fromiter(map(len, new), np.int32, len(new))
         flat = np.fromiter((x for v in new for x in v), self.kind, int(count.sum()))
         k = self._seen + len(new)
@@ -157,7 +153,6 @@ class Encoder:
         self._count[self._seen : k] = count
         self._first[self._seen : k] = self._used + np.cumsum(count) - count
         self._pool[self._used : self._used + len(flat)] = flat
-        self.memo.values[self._seen : k] = [None] * len(new)
         self._seen, self._used = k, self._used + len(flat)
 
     def vectorised(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -174,7 +169,6 @@ class Encoder:
     def counts(self, buf: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Memo index and number of ids of each pre-token of padded ``buf``."""
         index = self.memo.index(buf, begin, lens)
-        self._sync()
         return index, self._count[index].astype(np.int64)
 
     def batches(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

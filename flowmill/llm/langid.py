@@ -78,26 +78,24 @@ class Crf:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _emissions_of(self, words: list[bytes]) -> np.ndarray:
+    def _remember(self, words: list[bytes]) -> None:
+        """The emission scores of words, behind those of the words before them."""
+        if self._memo.generation != self._generation:
+            self._generation, self._seen = self._memo.generation, 0
         owner, found = features([w.decode("utf-8", "replace") for w in words], self.lexicon)
-        return np.stack([np.bincount(owner, self.weights[found, c], len(words)) for c in range(len(self.labels))], 1)
+        k = self._seen + len(words)
+        while len(self._table) < k:
+            self._table = np.resize(self._table, (2 * len(self._table), len(self.labels)))
+        for c in range(len(self.labels)):
+            self._table[self._seen : k, c] = np.bincount(owner, self.weights[found, c], len(words))
+        self._seen = k
 
     def emissions(self, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Emission scores of slices of padded ``buf``; each distinct word is worked out once."""
         if self._memo is None:
-            self._memo = textbuf.WordMemo(self._emissions_of)
-        memo = self._memo
-        memo.room()
-        index = memo.index(buf, starts, lens)
-        if memo.generation != self._generation:
-            self._generation, self._seen = memo.generation, 0
-        new = memo.values[self._seen :]
-        if new:
-            while len(self._table) < len(memo.values):
-                self._table = np.resize(self._table, (2 * len(self._table), len(self.labels)))
-            self._table[self._seen : len(memo.values)] = new
-            memo.values[self._seen :] = [None] * len(new)
-            self._seen = len(memo.values)
+            self._memo = textbuf.WordMemo(self._remember)
+        self._memo.room()
+        index = self._memo.index(buf, starts, lens)  # may grow the table
         return self._table[index]
 
     def marginals(self, emissions: np.ndarray, doc: np.ndarray) -> np.ndarray:

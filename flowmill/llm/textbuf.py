@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PAD = 32
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Words up to this many bytes have an exact key of three 64-bit numbers and a length.
 KEY_BYTES = 24
+MAKE = 8192  # new slices at a time
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 _U = np.uint64
 
@@ -114,12 +115,13 @@ def hashes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 class WordMemo:
     """Byte slice -> dense index, exact, for millions of slices a second.
 
-    ``make(list of bytes)`` gives the results of slices not seen since the last reset, each kept once in ``values``.
+    ``make(list of bytes)`` is told the slices not seen since the last reset, in the order of their indexes and some at a
+    time; what it makes of them it keeps itself, and drops when ``generation`` has changed.
     Slices of up to KEY_BYTES bytes are compared by all their bytes and length in an open-addressing table; longer ones
     go through a dict.  ``limit`` bounds the memory: past it the memo starts afresh.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], Iterable], limit: int = 600_000):
+    def __init__(self, make: Callable[[list[bytes]], None], limit: int = 500_000):
         self.make, self.limit = make, limit
         self.bits = (2 * limit - 1).bit_length()
         self.reset()
@@ -129,15 +131,20 @@ class WordMemo:
         self.k = [np.zeros(n, _U) for _ in range(3)]
         self.len = np.zeros(n, np.int16)
         self.at = np.full(n, -1, np.int32)
-        self.values: list = []
+        self.n = 0
         self.long: dict[bytes, int] = {}
         self.generation = getattr(self, "generation", -1) + 1
 
     def room(self) -> None:
         """Call between batches: indexes of earlier batches end here if the memo is full."""
-        if len(self.values) > self.limit:
+        if self.n > self.limit:
             self.reset()
 
+    def _add(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), MAKE):
+            self.make(words[k : k + MAKE])
+        self.n += len(words)
+
     def _find(self, a, b, c, lens, h):
         mask = (1 << self.bits) - 1
         slot = (h & _U(mask)).astype(np.int64)
@@ -164,7 +171,7 @@ class WordMemo:
         h = key_hash(a, b, c, ln)
         todo = np.arange(len(short))
         while len(todo):
-            if len(self.values) >= (1 << self.bits) * 3 // 4:
+            if self.n >= (1 << self.bits) * 3 // 4:
                 self._grow()
             found, _ = self._find(a[todo], b[todo], c[todo], ln[todo], h[todo])
             out[short[todo]] = found
@@ -172,20 +179,20 @@ class WordMemo:
             if len(todo):
                 _, first = np.unique(h[todo], return_index=True)
                 new = todo[first].tolist()
-                for k, j in enumerate(new, len(self.values)):
+                for k, j in enumerate(new, self.n):
                     self._put(int(h[j]), a[j], b[j], c[j], int(ln[j]), k)
                 at = starts[short[new]]
-                self.values.extend(self.make([buf[s : s + n].tobytes() for s, n in zip(at.tolist(), ln[new].tolist(), strict=True)]))
+                self._add([buf[s : s + n].tobytes() for s, n in zip(at.tolist(), ln[new].tolist(), strict=True)])
         fresh: list[bytes] = []
         for j in np.flatnonzero(lens > KEY_BYTES).tolist():
             word = buf[int(starts[j]) : int(starts[j] + lens[j])].tobytes()
             k = self.long.get(word)
             if k is None:
-                k = self.long[word] = len(self.values) + len(fresh)
+                k = self.long[word] = self.n + len(fresh)
                 fresh.append(word)
             out[j] = k
         if fresh:
-            self.values.extend(self.make(fresh))
+            self._add(fresh)
         return out
 
     def _put(self, h: int, a, b, c, ln: int, k: int) -> None:

@@ -43,11 +43,12 @@ class EliasFano:
         values = np.asarray(values).astype(_U)
         n, top = len(values), int(values[-1]) if len(values) else 0
         low = max(0, (top // max(n, 1)).bit_length() - 1)
-        lows = ((values[:, None] >> np.arange(low, dtype=_U)) & _U(1)).astype(np.uint8).ravel()
+        shifts, step = np.arange(low, dtype=_U), 1 << 13  # a step's bits fill whole bytes
+        lows = [np.packbits(((values[k : k + step, None] >> shifts) & _U(1)).astype(np.uint8), bitorder="little") for k in range(0, n, step)]
         places = (values >> _U(low)).astype(np.int64) + np.arange(n)
         high = np.zeros((top >> low) + n + 1, np.uint8)
         high[places] = 1
-        return cls(n, low, np.packbits(lows, bitorder="little"), np.packbits(high, bitorder="little"), places[::SELECT_STEP].astype("<i8"))
+        return cls(n, low, np.concatenate(lows) if lows else np.zeros(0, np.uint8), np.packbits(high, bitorder="little"), places[::SELECT_STEP].astype("<i8"))
 
     def _low(self, first: int, last: int) -> np.ndarray:
         if not self.low or first >= last:

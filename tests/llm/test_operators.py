@@ -624,9 +624,19 @@ def test_secret_query_digests(spark):
         assert r["n_hex"] == sum(k == "hex" for k, *_ in base)
 
 
-def test_word_memo_is_exact():
-    calls = []
-    memo = textbuf.WordMemo(lambda w: calls.extend(w) or w, limit=50)
+def test_word_memo_is_exact(monkeypatch):
+    monkeypatch.setattr(textbuf, "MAKE", 7)
+    made, at = [], 0
+
+    def make(words):
+        nonlocal at
+        if at != memo.generation:
+            at = memo.generation
+            made.clear()
+        assert 0 < len(words) <= 7
+        made.extend(words)
+
+    memo = textbuf.WordMemo(make, limit=50)
     rng = random.Random(2)
     for _ in range(30):
         some = [bytes(rng.choices(b"ab\x00c", k=rng.randint(0, 40))) for _ in range(60)]
@@ -634,5 +644,5 @@ def test_word_memo_is_exact():
         lens = np.array([len(w) for w in some])
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         memo.room()
-        got = [memo.values[i] for i in memo.index(textbuf.padded(np.frombuffer(raw, np.uint8)), starts, lens)]
-        assert got == some
+        got = memo.index(textbuf.padded(np.frombuffer(raw, np.uint8)), starts, lens)
+        assert [made[i] for i in got] == some and memo.n == len(made) == len(set(made))
