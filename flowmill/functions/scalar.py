@@ -286,9 +286,13 @@ def fingerprint_family(fingerprint: Column) -> Column:
     return F.coalesce(*[F.when(key.rlike(layout), family) for layout, family in FAMILY_LAYOUTS], F.lit("unknown"))
 
 
+def reserved(x: Column) -> Column:
+    """Whether a code point is one that clients add at random: both bytes alike, their low half 0xA."""
+    return (F.pmod(x, F.lit(16)) == 10) & (F.floor(x / 256) == F.pmod(x, F.lit(256)))
+
+
 def _not_reserved(values: Column) -> Column:
-    """Without the code points that clients add at random: both bytes alike, their low half 0xA."""
-    return F.filter(values, lambda x: ~((F.pmod(x, F.lit(16)) == 10) & (F.floor(x / 256) == F.pmod(x, F.lit(256)))))
+    return F.filter(values, lambda x: ~reserved(x))
 
 
 def _hex_list(values: Column, ordered: bool) -> Column:

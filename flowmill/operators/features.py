@@ -17,9 +17,7 @@ def flow_features(packets: DataFrame, idle_us: int = 120 * SECOND, tie: str = "e
 
 
 def ddos(packets: DataFrame, short_us: int = SECOND, long_us: int = 60 * SECOND) -> DataFrame:
-    f = detectors.with_baseline(detectors.ddos_features(packets, short_us, long_us), ["host"], "bucket", "pps")
-    ports = packets.groupBy(F.col("dst_ip").alias("host"), windows.bucket(F.col("ts_us"), long_us).alias("long")).agg(F.count_distinct("src_ip", "src_port").alias("ports"))
-    f = f.withColumn("long", F.floor(F.col("bucket") * short_us / long_us).cast("long")).join(ports, ["host", "long"])
+    f = detectors.with_prior(detectors.admitted(detectors.ddos_features(packets, short_us, long_us)), ["host"], "bucket", "pps", long_us // short_us, rates=detectors.rates(packets, short_us))
     names = {
         "pps": "pps_to_dst",
         "deviation": "pps_to_dst_ewma_dev",
@@ -31,41 +29,26 @@ def ddos(packets: DataFrame, short_us: int = SECOND, long_us: int = 60 * SECOND)
         "syn_synack_ratio": "syn_synack_ratio_1s",
         "udp_share": "udp_packet_share",
         "service_share": "reflection_service_share",
+        "udp_egress": "udp_egress_observed",
         "amplification": "amplification_ratio",
         "mean_bytes": "mean_pkt_bytes_1s",
         "half_open": "half_open_60s",
         "teardown": "teardown_ratio_60s",
-        "ports": "concurrent_src_ports_60s",
+        "ports60": "concurrent_src_ports_60s",
     }
-    return f.withColumns({"entropy_explosion_score": detectors.explosion_score(), "entropy_collapse_score": detectors.collapse_score()}).withColumnsRenamed(names).drop("long")
+    f = f.withColumns({"entropy_explosion_score": detectors.explosion_score(), "entropy_collapse_score": detectors.collapse_score()})
+    return f.withColumnsRenamed(names).drop("bytes_in60", "bytes_out60", "basis")
 
 
 def scan(packets: DataFrame, scales_us: tuple[int, int, int] = (SECOND, 60 * SECOND, 3600 * SECOND)) -> DataFrame:
-    """Per source and middle window; fan-outs of the three scales, each the larger of its window and the one before."""
-    f = detectors.scan_features(packets, scales_us).withColumnsRenamed({"probes": "scan_probe_count_60s", "rst_ratio": "rst_response_ratio", "completion": "probe_completion_ratio", "bytes_per_probe": "mean_bytes_per_probe", "strobe": "strobe_score"})
-    f = f.select("src_ip", "bucket", "scan_probe_count_60s", "rst_response_ratio", "probe_completion_ratio", "mean_bytes_per_probe", "strobe_score")
-    p = detectors.probes(packets)
-    mid = scales_us[1]
-    for width, name in zip(scales_us, ("1s", "60s", "3600s"), strict=True):
-        for what, key, value in (("vertical", "dst_ip", "dst_port"), ("horizontal", "dst_port", "dst_ip")):
-            c = windows.tumbling(p, ["src_ip", key], "ts_us", width, F.count_distinct(value).alias("n"))
-            c = c.withColumn("n", windows.two_generations(c, ["src_ip", key], "n"))
-            # a short window belongs to the middle one it lies in; a long one to all that lie in it
-            if width <= mid:
-                c = c.withColumn("bucket", F.floor(F.col("bucket") * width / mid).cast("long")).groupBy("src_ip", "bucket").agg(F.max("n").alias(f"{what}_fanout_{name}"))
-                f = f.join(c, ["src_ip", "bucket"], "left")
-            else:
-                c = c.groupBy("src_ip", F.col("bucket").alias("_long")).agg(F.max("n").alias(f"{what}_fanout_{name}"))
-                f = f.withColumn("_long", F.floor(F.col("bucket") * mid / width).cast("long")).join(c, ["src_ip", "_long"], "left").drop("_long")
-    wide = windows.tumbling(p, ["src_ip"], "ts_us", scales_us[2], F.count_distinct("dst_port").alias("source_distinct_ports_3600s"), F.count_distinct("dst_ip").alias("source_distinct_hosts_3600s")).withColumnRenamed("bucket", "_long")
-    return f.withColumn("_long", F.floor(F.col("bucket") * mid / scales_us[2]).cast("long")).join(wide, ["src_ip", "_long"], "left").drop("_long")
-
-
-def exfil(packets: DataFrame, width_us: int = 60 * SECOND) -> DataFrame:
-    w = detectors.exfil_windows(packets, width_us)
-    run = windows.running(["client", "server"], ["bucket"])
-    seen = w.groupBy("server", windows.bucket(F.col("bucket") * width_us, 3600 * SECOND).alias("_h")).agg(F.count_distinct("client").alias("dst_source_fanout_3600s"))
-    w = w.withColumn("_h", windows.bucket(F.col("bucket") * width_us, 3600 * SECOND)).join(seen, ["server", "_h"]).drop("_h")
+    """Per source and middle window."""
+    names = {f"{k}_{w}": f"{k}_fanout_{w}s" for k in ("vertical", "horizontal") for w in (1, 60, 3600)}
+    names |= {"ports": "source_distinct_ports_3600s", "hosts": "source_distinct_hosts_3600s", "probes": "scan_probe_count_60s", "rst_ratio": "rst_response_ratio", "completion": "probe_completion_ratio", "bytes_per_probe": "mean_bytes_per_probe", "strobe": "strobe_score"}
+    return detectors.scan_features(packets, scales_us).withColumnsRenamed(names).drop("bytes", "syn_ack", "rst")
+
+
+def exfil(oriented: DataFrame, width_us: int = 60 * SECOND, wide_us: int = 3600 * SECOND) -> DataFrame:
+    w = detectors.exfil_windows(oriented, width_us, wide_us=wide_us)
     return w.select(
         "client",
         "server",
@@ -77,18 +60,29 @@ def exfil(packets: DataFrame, width_us: int = 60 * SECOND) -> DataFrame:
         F.col("in_total").alias("inbound_bytes_total"),
         F.col("peak").alias("peak_window_out_bytes"),
         scalar.ratio(F.col("peak"), F.col("out_total")).alias("upload_burst_score"),
-        "dst_source_fanout_3600s",
-        scalar.novelty(F.count(F.lit(1)).over(run)).alias("dst_novelty_score"),
-        ((F.col("bucket") - F.min("bucket").over(run)) * (width_us / SECOND)).alias("peer_age_s"),
+        F.col("fanout").alias("dst_source_fanout_3600s"),
+        F.col("novelty").alias("dst_novelty_score"),
+        F.col("age_s").alias("peer_age_s"),
         (F.col("in_total") > 0).alias("reverse_direction_observed"),
     )
 
 
-def beacons(starts: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
-    f = detectors.beacon_features(starts, keys, ts, tie).withColumnsRenamed({"samples": "beacon_sample_count", "span": "beacon_span_s"})
-    p = detectors.beacon_periods(starts, keys, ts, tie).withColumnsRenamed({"period": "ls_peak_period_s", "power": "ls_peak_power", "fap": "ls_fap"})
-    stability = starts.groupBy(keys[0]).agg((1.0 / F.greatest(F.lit(1), F.count_distinct("dst_ip", "dst_port"))).alias("dst_stability"))
-    return f.join(p, keys, "left").join(stability, keys[0], "left")
+def dns(queries: DataFrame, width_us: int = 300 * SECOND) -> DataFrame:
+    """Per source, zone and window: the source's and the zone's features."""
+    source = detectors.dns_sources(queries, width_us).withColumnsRenamed({"mean_score": "dga_mean_name_score", "nx_ratio": "nx_response_ratio", "empty_ratio": "empty_answer_ratio", "domains": "distinct_regdom_300s", "queries": "source_query_count_300s"})
+    zone = detectors.dns_zones(queries, width_us).withColumnsRenamed({"names": "subdomain_cardinality", "baseline": "subdomain_baseline", "windows": "subdomain_baseline_windows", "excess": "subdomain_excess", "txt_ratio": "qtype_txt_null_ratio", "txt_dev": "qtype_txt_null_dev"})
+    return zone.drop("queries", "txt").join(source.drop("responses", "nx", "empty", "txt_null"), ["src_ip", "bucket"])
+
+
+def tls(hellos: DataFrame) -> DataFrame:
+    """Hellos (tls_version, tls_extensions, tls_alpn, ...) with the features of the hello itself."""
+    listed = F.filter("tls_extensions", lambda x: ~scalar.reserved(x))
+    return hellos.withColumns({"tls_ext_count": F.size(listed), "tls_alpn_is_h2": (F.coalesce("tls_alpn", F.lit("")) == "h2").cast("int")})
+
+
+def beacons(starts: DataFrame, keys: list[str], ts: str, tie: str, by: tuple[str, ...]) -> DataFrame:
+    """Statistics and strongest period of each channel; by: the source, and what tells its destinations apart."""
+    return detectors.channel_features(starts, keys, ts, tie, by)
 
 
 def names(queries: DataFrame, model: DataFrame, suffixes: list[str]) -> DataFrame:
@@ -101,14 +95,17 @@ def names(queries: DataFrame, model: DataFrame, suffixes: list[str]) -> DataFram
     return q.withColumns({"dga_entropy_component": scalar.entropy_component(F.col("qname_char_entropy")), "dga_bigram_component": scalar.bigram_component(F.col("qname_bigram_ll"))}).withColumn("dga_name_score", 0.4 * F.col("dga_entropy_component") + 0.6 * F.col("dga_bigram_component")).drop("_stem")
 
 
-def beacon_rule(features: DataFrame, fap: float = 1e-3, power: float = 8.0, stability: float = 0.5, cv: float = 0.75) -> DataFrame:
-    """Channels with a significant period, or regular ones of enough samples, towards a stable destination."""
+def beacon_rule(features: DataFrame, fap: float = 1e-3, power: float = 8.0, stability: float = 0.5, cv: float = 0.75, busy_samples: int = 0) -> DataFrame:
+    """Channels with a significant period, or regular ones of enough samples, towards a stable destination.  A source of many
+    destinations passes only with ``busy_samples`` even gaps and more (0: never)."""
     c = F.col
     significant = (c("ls_fap") < fap) & (c("ls_peak_power") >= power)
     regular = (c("beacon_sample_count") >= 20) & (c("iat_cv") <= 0.35) & (F.abs(c("ls_peak_period_s") - c("iat_mean")) < 0.15 * c("iat_mean"))
-    busy = (c("beacon_sample_count") >= 32) & (c("beacon_span_s") >= 600) & (c("iat_cv") <= 0.25)
-    subtype = F.when((c("ls_peak_period_s") < 2) | (c("iat_cv") > cv) | ~(significant | regular), None).when(c("dst_stability") >= stability, "periodic-c2-checkin").when(busy, "busy-source-periodic-channel")
-    return features.withColumn("subtype", subtype).filter("subtype IS NOT NULL")
+    busy = regular & F.lit(busy_samples > 0) & (c("beacon_sample_count") >= busy_samples) & (c("beacon_span_s") >= 600) & (c("iat_cv") <= 0.25)
+    f = features.withColumns({"significant": significant, "regular": regular})
+    out = (c("ls_peak_period_s") < 2) | (c("iat_cv") > cv) | ~(c("significant") | c("regular"))
+    subtype = F.when(out, None).when(c("dst_stability") >= stability, "periodic-c2-checkin").when(busy, "busy-source-periodic-channel")
+    return f.withColumn("subtype", subtype).filter("subtype IS NOT NULL")
 
 
 def run_length(rows: DataFrame, host: str, fingerprint: str, order: list[str]) -> DataFrame:

@@ -27,13 +27,24 @@ def sessions(packets: DataFrame, idle_us: int, tie: str) -> DataFrame:
     return keyed(packets).withColumn("_open", F.coalesce(opens, F.lit(0))).withColumn("session", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_open")
 
 
+def _flag(on: int, off: int = 0) -> Column:
+    return scalar.has_flags(F.col("tcp_flags"), on, off) & (F.col("proto") == 6)
+
+
+def _initiator(last_syn: Column, last_syn_ack: Column, first: Column) -> tuple[Column, Column]:
+    """(whether the lower end began the session, how surely): a SYN's source, a SYN-ACK's destination, else by port, else
+    by the higher port of the first packet.  first: struct (src_port, dst_port, forward)."""
+    by_port, sure = scalar.guessed_initiator(first["src_port"], first["dst_port"])
+    guess = F.when(by_port, first["forward"]).otherwise(~first["forward"])
+    return F.coalesce(last_syn["lo"], last_syn_ack["lo"], guess), F.when(last_syn.isNotNull() | last_syn_ack.isNotNull(), 1.0).otherwise(sure)
+
+
 def flow_table(packets: DataFrame, idle_us: int = 120_000_000, tie: str = "event_id") -> DataFrame:
-    """One row a flow session.  The initiator is resolved first (a SYN's source, a SYN-ACK's destination, else by port,
-    else by the higher port of the first packet), then packets and bytes are summed by direction: one shuffle for both."""
+    """One row a flow session.  The initiator is resolved first, then packets and bytes are summed by direction: one shuffle
+    for both.  saw_*: whether a SYN, SYN-ACK, FIN or RST was seen."""
     p = sessions(packets, idle_us, tie)
-    first = lambda c: F.min_by(c, F.struct("ts_us", tie))
-    syn, syn_ack = scalar.has_flags(F.col("tcp_flags"), 2, 16) & (F.col("proto") == 6), scalar.has_flags(F.col("tcp_flags"), 18) & (F.col("proto") == 6)
     n, size, fwd = F.col("packets"), F.col("length"), F.col("forward")
+    seen = F.bit_or(F.when(F.col("proto") == 6, F.col("tcp_flags")).otherwise(0))
     f = p.groupBy(*KEY, "session").agg(
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
@@ -41,17 +52,17 @@ def flow_table(packets: DataFrame, idle_us: int = 120_000_000, tie: str = "event
         F.sum(F.when(~fwd, n).otherwise(0)).alias("pkts_hi"),
         F.sum(F.when(fwd, size).otherwise(0)).alias("bytes_lo"),
         F.sum(F.when(~fwd, size).otherwise(0)).alias("bytes_hi"),
-        F.bit_or(F.when(F.col("proto") == 6, F.col("tcp_flags")).otherwise(0)).alias("flags_seen"),
-        F.max(F.when(syn, F.struct("ts_us", tie, F.col("forward").alias("lo")))).alias("last_syn"),
-        F.max(F.when(syn_ack, F.struct("ts_us", tie, (~F.col("forward")).alias("lo")))).alias("last_syn_ack"),
-        first(F.col("src_port")).alias("first_src_port"),
-        first(F.col("dst_port")).alias("first_dst_port"),
-        first(fwd).alias("first_forward"),
+        seen.alias("flags_seen"),
+        F.bool_or(_flag(2, 16)).alias("saw_syn"),
+        F.bool_or(_flag(18)).alias("saw_syn_ack"),
+        F.bool_or(_flag(1)).alias("saw_fin"),
+        F.bool_or(_flag(4)).alias("saw_rst"),
+        F.max(F.when(_flag(2, 16), F.struct("ts_us", tie, fwd.alias("lo")))).alias("last_syn"),
+        F.max(F.when(_flag(18), F.struct("ts_us", tie, (~fwd).alias("lo")))).alias("last_syn_ack"),
+        F.min(F.struct("ts_us", tie, "src_port", "dst_port", "forward")).alias("first"),
     )
-    by_port, sure = scalar.guessed_initiator(F.col("first_src_port"), F.col("first_dst_port"))
-    guess = F.when(by_port, F.col("first_forward")).otherwise(~F.col("first_forward"))
-    lo = F.coalesce(F.col("last_syn.lo"), F.col("last_syn_ack.lo"), guess)
-    f = f.withColumn("initiator_is_lo", lo).withColumn("orientation_confidence", F.when(F.col("last_syn").isNotNull() | F.col("last_syn_ack").isNotNull(), 1.0).otherwise(sure))
+    lo, sure = _initiator(F.col("last_syn"), F.col("last_syn_ack"), F.col("first"))
+    f = f.withColumn("initiator_is_lo", lo).withColumn("orientation_confidence", sure)
     up = lambda a, b: F.when(F.col("initiator_is_lo"), F.col(a)).otherwise(F.col(b))
     return f.select(
         *KEY,
@@ -63,12 +74,42 @@ def flow_table(packets: DataFrame, idle_us: int = 120_000_000, tie: str = "event
         up("bytes_lo", "bytes_hi").alias("bytes_fwd"),
         up("bytes_hi", "bytes_lo").alias("bytes_rev"),
         F.col("flags_seen").alias("flags_seen_bitmap"),
+        "saw_syn",
+        "saw_syn_ack",
+        "saw_fin",
+        "saw_rst",
         "initiator_is_lo",
         "orientation_confidence",
         ((F.col("pkts_lo") > 0) & (F.col("pkts_hi") > 0)).alias("completeness_flag"),
     )
 
 
+def oriented(packets: DataFrame, idle_us: int = 120_000_000, tie: str = "event_id") -> DataFrame:
+    """packets with client, server, their ports, ``outward`` (sent by the client), orientation_confidence and ``nth`` (place
+    in the session), by the session's initiator as in ``flow_table``: one shuffle by flow, no join."""
+    p = sessions(packets, idle_us, tie)
+    whole = Window.partitionBy(*KEY, "session")
+    last = lambda cond, lo: F.max(F.when(cond, F.struct("ts_us", tie, lo.alias("lo")))).over(whole)
+    fwd = F.col("forward")
+    p = p.withColumns({"_syn": last(_flag(2, 16), fwd), "_ack": last(_flag(18), ~fwd), "_first": F.min(F.struct("ts_us", tie, "src_port", "dst_port", "forward")).over(whole), "nth": F.row_number().over(whole.orderBy("ts_us", tie))})
+    lo, sure = _initiator(F.col("_syn"), F.col("_ack"), F.col("_first"))
+    out = p.withColumns({"outward": lo == fwd, "orientation_confidence": sure}).drop("_syn", "_ack", "_first")
+    side = lambda a, b: F.when(F.col("outward"), F.col(a)).otherwise(F.col(b))
+    return out.withColumns({"client": side("src_ip", "dst_ip"), "server": side("dst_ip", "src_ip"), "client_port": side("src_port", "dst_port"), "server_port": side("dst_port", "src_port")})
+
+
+def channels(oriented_: DataFrame) -> DataFrame:
+    """One row a channel (proto, client, server, server_port): packets and bytes by direction, the last time."""
+    out, n, size = F.col("outward"), F.col("packets"), F.col("length")
+    part = lambda on, v: F.sum(F.when(on, v).otherwise(0)).cast("long")
+    return oriented_.groupBy("proto", "client", "server", "server_port").agg(part(out, n).alias("pkts_fwd"), part(~out, n).alias("pkts_rev"), part(out, size).alias("bytes_fwd"), part(~out, size).alias("bytes_rev"), F.max("ts_us").alias("last_us"))
+
+
+def session_start() -> Column:
+    """Of oriented packets: a TCP SYN without ACK, or the first UDP packet of a session."""
+    return _flag(2, 16) | ((F.col("proto") == 17) & (F.col("nth") == 1))
+
+
 def structural(flows: DataFrame) -> DataFrame:
     """flows with the per-packet averages and the direction label."""
     per = lambda b, n: F.when(F.col(n) > 0, F.col(b) / F.col(n)).otherwise(0.0)

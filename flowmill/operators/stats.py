@@ -50,15 +50,45 @@ def js_from_uniform(df: DataFrame, keys: list[str], x: Column, bins: int = 10) -
     return n.groupBy(*keys).agg((F.sum(part) + (bins - F.count(F.lit(1))) * empty).alias("js"))
 
 
-def bigram_model(df: DataFrame, name: str, alphabet: int = 39) -> DataFrame:
-    """(bigram, logp): Laplace-smoothed log probability of a bigram's second character given its first."""
+#: Fixed value: the characters of names, their start and their end.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-^$"
+
+
+def bigram_model(df: DataFrame, name: str) -> DataFrame:
+    """(bigram, logp): Laplace-smoothed log probability of a bigram's second character given its first, of every pair of
+    ALPHABET: a table of fixed size."""
     pairs = df.select(F.explode(scalar.bigrams(F.col(name))).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
-    first = F.substr("bigram", F.lit(1), F.lit(1))
-    row = pairs.groupBy(first.alias("_f")).agg(F.sum("n").alias("_t"))
-    return pairs.withColumn("_f", first).join(row, "_f").select("bigram", F.log((F.col("n") + 1.0) / (F.col("_t") + alphabet)).alias("logp"))
+    letters = F.array(*map(F.lit, ALPHABET))
+    every = df.sparkSession.range(1).select(F.explode(letters).alias("_f")).select("_f", F.explode(letters).alias("_s")).select("_f", F.concat("_f", "_s").alias("bigram"))
+    counted = every.join(pairs, "bigram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = F.sum("n").over(Window.partitionBy("_f"))
+    return counted.select("bigram", F.log((F.col("n") + 1.0) / (total + len(ALPHABET))).alias("logp"))
 
 
 def bigram_score(df: DataFrame, name: str, model: DataFrame) -> DataFrame:
     """df's distinct names with the mean log probability of their bigrams (the alphabet bounds the model's size)."""
     each = df.select(name).distinct().select(name, F.explode(scalar.bigrams(F.col(name))).alias("bigram"))
     return each.join(F.broadcast(model), "bigram").groupBy(name).agg(F.avg("logp").alias("bigram_ll"))
+
+
+def count_min(df: DataFrame, item: Column, part: Column, depth: int = 5, width: int = 1 << 14) -> DataFrame:
+    """(part, row, cell, n): a count-min sketch of ``item`` for each part, as rows of its cells that are not 0; sketches merge
+    by adding cells, so counting combines before its shuffle and a sketch has at most depth * width cells."""
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda r: F.struct(r.alias("row"), F.pmod(F.xxhash64(item, r), F.lit(width)).alias("cell")))).alias("c")
+    return df.select(part.alias("part"), cells).groupBy("part", F.col("c.row").alias("row"), F.col("c.cell").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_sketch(sketches: DataFrame) -> DataFrame:
+    return sketches.groupBy("row", "cell").agg(F.sum("n").alias("n"))
+
+
+def estimates(items: DataFrame, item: str, sketch: DataFrame, depth: int = 5, width: int = 1 << 14) -> DataFrame:
+    """(item, n): the least cell of each item; never below its count."""
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda r: F.struct(r.alias("row"), F.pmod(F.xxhash64(F.col(item), r), F.lit(width)).alias("cell")))).alias("c")
+    e = items.select(item).distinct().select(item, at).select(item, "c.*").join(sketch, ["row", "cell"], "left")
+    return e.groupBy(item).agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+
+
+def frequencies(df: DataFrame, item: str, part: Column) -> DataFrame:
+    """(item, n) from one sketch a part, merged."""
+    return estimates(df, item, merged_sketch(count_min(df, F.col(item), part)))

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from flowmill.plans.registry import query
 from flowmill.streaming import jobs
 
-LOCAL_FALLBACK = "/tmp/checkpoints/flowmill-streams"
+LOCAL_FALLBACK = "/tmp/checkpoints/flowmill-streams"  # of local sessions alone
 
 
 def checkpoint(spark, name):
-    """A new folder in the cluster's shared one; only a local session without one uses this machine's."""
+    """A new folder in the cluster's shared one; only a local session may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = LOCAL_FALLBACK if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or LOCAL_FALLBACK).rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
 
 
 @query("SELECT event_id, round(sqrt(value + 1), 6) AS r FROM events")
@@ -74,7 +74,8 @@ def stream_rate_alerts(t):
     return jobs.run_available(s, f"flowmill_{uuid.uuid4().hex[:8]}", "append", checkpoint(t.spark, "rates"))
 
 
-@query("SELECT count(*) AS methods, count(DISTINCT area) AS areas FROM (VALUES ('flood', 'volume'), ('burst', 'volume'), ('scan', 'reconnaissance'), ('exfiltration', 'data'), ('names', 'dns'), ('tunnel', 'dns'), ('pairs', 'encrypted'), ('beacon', 'command'), ('rarity', 'novelty')) v(m, area)")
+# a list of this package: no table holds it
+@query()
 def method_coverage(t):
     rows = [Row(method=m, area=a) for m, a in (("flood", "volume"), ("burst", "volume"), ("scan", "reconnaissance"), ("exfiltration", "data"), ("names", "dns"), ("tunnel", "dns"), ("pairs", "encrypted"), ("beacon", "command"), ("rarity", "novelty"))]
     return t.spark.createDataFrame(rows).agg(F.count(F.lit(1)).alias("methods"), F.count_distinct("area").alias("areas"))

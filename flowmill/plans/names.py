@@ -53,7 +53,8 @@ def bigram_ll(t):
     return stats.bigram_score(h, "host", stats.bigram_model(h, "host")).select("host", F.round("bigram_ll", 4).alias("bigram_ll"))
 
 
-@query(f"WITH {MODEL} SELECT g AS bigram, round(lp, 6) AS logp FROM l")
+@query(f"""WITH {MODEL}, c AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789-^$', '')) AS c) SELECT a.c || b.c AS bigram, round(ln((coalesce(n.n, 0) + 1.0) / (coalesce(t.n, 0) + 39)), 6) AS logp
+FROM c a CROSS JOIN c b LEFT JOIN n ON n.g = a.c || b.c LEFT JOIN (SELECT substr(g, 1, 1) AS f, sum(n) AS n FROM n GROUP BY 1) t ON t.f = a.c""")
 def bigram_counts(t):
     return stats.bigram_model(hosts(t), "host").select("bigram", F.round("logp", 6).alias("logp"))
 

@@ -11,6 +11,11 @@ SECOND = 1_000_000
 WEB, RESOLVER = (10 << 24) | (20 << 16) | (4 << 8) | 17, (10 << 24) | (20 << 16) | 53
 
 
+#: TLS clients and the TCP stacks that go with them: (client fingerprint, TCP fingerprint).
+CHROME_WINDOWS = ("t13d1516h2_8daaf6152771_50f4c41e1dde", "128:65535:1460:mss,nop,ws,nop,nop,sok")
+FIREFOX_LINUX = ("t13d1714h2_5b57614c22b0_280534f07fee", "64:64240:1460:mss,sok,ts,nop,ws")
+
+
 def _unit(seed: int, salt: int) -> Column:
     """Uniform in [0, 1) from the row's id."""
     return F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
@@ -74,7 +79,7 @@ def names(spark: SparkSession, seed: int, n: int = 550, start: int = 120, second
     label = F.concat_ws("", *[F.substr(F.lit("abcdefghijklmnopqrstuvwxyz0123456789"), (_pick(seed, 10 + k, 36) + 1).cast("int"), F.lit(1)) for k in range(14)])
     q = spark.range(n).select("id", _at(seed, start, seconds).alias("ts_us"), F.concat(label, F.lit(".net")).alias("qname"))
     both = q.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_response"))
-    return both.select(F.lit((10 << 24) | (20 << 16) | (1 << 8) | 12).alias("src_ip"), (F.col("ts_us") + F.when(F.col("is_response"), 2000).otherwise(0)).alias("ts_us"), "is_response", F.when(_unit(seed, 3) < 0.97, 3).otherwise(0).alias("rcode"), F.lit(0).alias("answers"), F.lit(1).alias("qtype"), "qname")
+    return both.select(F.lit((10 << 24) | (20 << 16) | (3 << 8) | 31).alias("src_ip"), (F.col("ts_us") + F.when(F.col("is_response"), 2000).otherwise(0)).alias("ts_us"), "is_response", F.when(_unit(seed, 3) < 0.97, 3).otherwise(0).alias("rcode"), F.lit(0).alias("answers"), F.lit(1).alias("qtype"), "qname")
 
 
 def udp_reflection(spark: SparkSession, seed: int, start: int = 60, seconds: int = 45, requests: int = 1575) -> DataFrame:
@@ -99,5 +104,95 @@ def slowloris(spark: SparkSession, seed: int, start: int = 90, connections: int
 def tunnel(spark: SparkSession, seed: int, n: int = 2200, start: int = 60, seconds: int = 480, zone: str = "relay-example.net") -> DataFrame:
     """DNS queries of one host with long random labels below one zone, mostly TXT; columns as of ``names`` and domain."""
     label = F.concat_ws("", *[F.substr(F.lit("abcdefghijklmnopqrstuvwxyz234567"), (_pick(seed, 30 + k, 32) + 1).cast("int"), F.lit(1)) for k in range(44)])
-    q = spark.range(n).select(F.lit((10 << 24) | (20 << 16) | (1 << 8) | 14).alias("src_ip"), _at(seed, start, seconds).alias("ts_us"), F.lit(False).alias("is_response"), F.lit(0).alias("rcode"), F.lit(0).alias("answers"), F.when(_unit(seed, 3) < 0.7, 16).otherwise(10).alias("qtype"), F.concat(label, F.lit(f".{zone}")).alias("qname"))
+    q = spark.range(n).select(F.lit((10 << 24) | (20 << 16) | (3 << 8) | 32).alias("src_ip"), _at(seed, start, seconds).alias("ts_us"), F.lit(False).alias("is_response"), F.lit(0).alias("rcode"), F.lit(0).alias("answers"), F.when(_unit(seed, 3) < 0.7, 16).otherwise(10).alias("qtype"), F.concat(label, F.lit(f".{zone}")).alias("qname"))
     return q.withColumn("domain", F.lit(zone))
+
+
+def exfil_bulk(spark: SparkSession, seed: int, start: int = 120, stages: int = 14, chunks: int = 60, burst: int = 3700) -> DataFrame:
+    """Uploads from one host to one server in stages a minute apart, one of them far larger; hardly answered."""
+    n = stages * chunks + burst
+    big = F.col("id") >= stages * chunks
+    second = F.when(big, F.lit(400.0) + F.col("id") / 500.0 % 20).otherwise(F.floor(F.col("id") / chunks) * 60.0 + F.col("id") % chunks / 10.0)
+    answer = F.col("id") % 60 == 59
+    a, b = F.lit((10 << 24) | (20 << 16) | (2 << 8) | 19), F.lit((91 << 24) | (219 << 16) | (238 << 8) | 44)
+    at = (F.lit(BASE_US + start * SECOND) + F.floor(second * SECOND) + F.col("id")).cast("long")
+    return _packets(spark, n, ts_us=at, src_ip=F.when(answer, b).otherwise(a), dst_ip=F.when(answer, a).otherwise(b), src_port=F.when(answer, 443).otherwise(49_200), dst_port=F.when(answer, 49_200).otherwise(443), length=F.when(answer, 60).otherwise(1440), scenario="exfil_bulk")
+
+
+def tls_sessions(spark: SparkSession, seed: int, client: tuple[str, str], host: int, sessions: int, start: int = 30, every: float = 41.0, scenario: str = "benign") -> DataFrame:
+    """Sessions of one host: a SYN with its TCP fingerprint, then a client hello; to a server of its own each time."""
+    hello = F.col("id") % 2 == 1
+    k = F.floor(F.col("id") / 2)
+    at = (F.lit(BASE_US + start * SECOND) + F.floor(k * every * SECOND) + F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(20 * SECOND)) + F.col("id") % 2 * 30_000).cast("long")
+    p = _packets(spark, 2 * sessions, ts_us=at, src_ip=F.lit(host).cast("long"), dst_ip=(F.lit((93 << 24) | (184 << 16) | (9 << 8)) + k % 200).cast("long"), src_port=(51_000 + k).cast("int"), dst_port=443, tcp_flags=F.when(hello, 24).otherwise(2), length=F.when(hello, 560).otherwise(60), scenario=scenario)
+    return p.withColumns({"ja4": F.when(hello, client[0]), "tcp_print": F.when(~hello, client[1]).otherwise("")})
+
+
+def ja4_spoof(spark: SparkSession, seed: int) -> DataFrame:
+    """Three hosts whose TLS client says one system and whose TCP stack another."""
+    hosts = [tls_sessions(spark, seed, (CHROME_WINDOWS[0], FIREFOX_LINUX[1]), (10 << 24) | (20 << 16) | (3 << 8) | (60 + k), 14, 40 + 7 * k, 37.0, "ja4_spoof") for k in range(3)]
+    return hosts[0].unionByName(hosts[1]).unionByName(hosts[2])
+
+
+def as_dns_packets(queries: DataFrame, scenario: str) -> DataFrame:
+    """Rows of ``names`` or ``tunnel`` as packets to and from the resolver."""
+    asks = ~F.col("is_response")
+    return queries.select(
+        F.pmod(F.xxhash64("qname", "is_response", "ts_us"), F.lit(1 << 40)).alias("id"), "ts_us", F.lit(17).alias("proto"), F.when(asks, F.col("src_ip")).otherwise(F.lit(RESOLVER)).cast("long").alias("src_ip"), F.when(asks, F.lit(RESOLVER)).otherwise(F.col("src_ip")).cast("long").alias("dst_ip"),
+        F.when(asks, F.pmod(F.xxhash64("qname"), F.lit(20_000)) + 40_000).otherwise(53).cast("int").alias("src_port"), F.when(asks, 53).otherwise(F.pmod(F.xxhash64("qname"), F.lit(20_000)) + 40_000).cast("int").alias("dst_port"),
+        F.lit(80).alias("length"), F.lit(0).alias("tcp_flags"), F.lit(1).alias("packets"), F.lit(scenario).alias("scenario"), "qname", "qtype", F.col("is_response").alias("dns_response"), F.col("rcode").alias("dns_rcode"), F.col("answers").alias("dns_answers"),
+    )
+
+
+def _answered(queries: DataFrame) -> DataFrame:
+    answers = queries.withColumns({"is_response": F.lit(True), "ts_us": F.col("ts_us") + 2000, "answers": F.lit(1)})
+    return queries.unionByName(answers)
+
+
+def whole(packets: DataFrame) -> DataFrame:
+    """packets with every column that the engine reads, and ``event_id`` made of scenario and id."""
+    missing = {"qname": "string", "qtype": "int", "dns_response": "boolean", "dns_rcode": "int", "dns_answers": "int", "ja4": "string", "tcp_print": "string"}
+    p = packets.withColumns({k: F.lit(None).cast(v) for k, v in missing.items() if k not in packets.columns})
+    kinds = {"proto": "int", "src_ip": "long", "dst_ip": "long", "src_port": "int", "dst_port": "int", "length": "long", "tcp_flags": "int", "packets": "int", "ts_us": "long"}
+    return p.select(F.xxhash64("scenario", "id", "src_ip", "ts_us").alias("event_id"), "scenario", *[F.col(k).cast(v).alias(k) for k, v in kinds.items()], F.coalesce("tcp_print", F.lit("")).alias("tcp_print"), *[k for k in missing if k != "tcp_print"])
+
+
+def benign(spark: SparkSession, seed: int, seconds: int = 300) -> DataFrame:
+    """Background with TLS sessions of two kinds of hosts and ordinary name look-ups."""
+    words = F.array(*map(F.lit, ORDINARY))
+    pick = lambda salt: F.element_at(words, (_pick(seed, salt, len(ORDINARY)) + 1).cast("int"))
+    q = spark.range(seconds // 2).select("id", _at(seed + 1, 0, seconds).alias("ts_us"), (F.lit((10 << 24) | (20 << 16) | (1 << 8) | 10) + _pick(seed, 81, 40)).alias("src_ip"), F.concat(F.lit("www."), pick(82), F.lit(".org")).alias("qname"))
+    q = q.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_response"), F.lit(0).alias("rcode"), F.lit(1).alias("answers"), F.lit(1).alias("qtype")).drop("id")
+    q = q.withColumn("ts_us", F.col("ts_us") + F.when(F.col("is_response"), 2000).otherwise(0))
+    parts = [background(spark, seed, seconds), as_dns_packets(q, "benign")]
+    parts += [tls_sessions(spark, seed + k, (CHROME_WINDOWS, FIREFOX_LINUX)[k % 2], (10 << 24) | (20 << 16) | (3 << 8) | (80 + k), max(2, seconds // 60), 20 + k, 29.0) for k in range(4)]
+    return _union([whole(x) for x in parts])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+#: Words of ordinary names; the bigram model of tests and benchmarks is made of them.
+ORDINARY = ("network", "service", "weather", "library", "mountain", "research", "science", "garden", "history", "journal", "market", "planet", "school", "travel", "theatre", "village", "station", "support", "updates", "archive", "classic", "concert", "digital", "example", "football", "general", "holiday", "internet", "kitchen", "language")
+
+ATTACKS = {
+    "syn_flood": lambda s, k: syn_flood(s, k),
+    "udp_reflection": lambda s, k: udp_reflection(s, k, start=1000),
+    "slowloris": lambda s, k: slowloris(s, k),
+    "beacon": lambda s, k: beacon(s, k, jitter=0.1),
+    "dga": lambda s, k: as_dns_packets(names(s, k), "dga"),
+    "tunnel": lambda s, k: as_dns_packets(_answered(tunnel(s, k)), "tunnel"),
+    "ja4_spoof": lambda s, k: ja4_spoof(s, k),
+    "port_scan": lambda s, k: port_scan(s, k),
+    "exfil_drip": lambda s, k: exfiltration(s, k),
+    "exfil_bulk": lambda s, k: exfil_bulk(s, k),
+}
+
+
+def corpus(spark: SparkSession, seed: int, seconds: int = 2900) -> DataFrame:
+    """Background and every attack, each on hosts of its own: about 105,000 packets."""
+    return _union([benign(spark, seed, seconds), *[whole(make(spark, seed)) for make in ATTACKS.values()]])
