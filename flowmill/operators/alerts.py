@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions import scalar
+from flowmill.operators import explain
 
 # Fixed values.
 GENESIS = "sha256:" + "0" * 64
@@ -22,6 +25,13 @@ HEADLINES = {
     "data-exfiltration": "Suspected data exfiltration",
 }
 MOST_EVIDENCE = 5
+LINEAGE = ("model_id", "model_hash", "dataset_version")
+FLOW_FIELDS = ("flow_id", "proto", "src_ip", "dst_ip", "src_port", "dst_port", "directionality", "completeness_flag", "window_start", "window_end")
+REQUIRED = (
+    "type", "spec_version", "id", "created", "modified", "name", "description", "indicator_types", "pattern", "pattern_type", "valid_from", "confidence", "labels",
+    "x_flow_identifier", "x_threat_class", "x_subtype", "x_severity", "x_confidence_calibrated", "x_detector", "x_latency_ms", "x_model_lineage", "x_supporting_evidence",
+    "x_detection_context", "x_prev_hash", "external_references",
+)
 
 
 def alert_id(cls: Column, subtype: Column, ts_ns: Column, flow_id: Column, source: Column) -> Column:
@@ -49,23 +59,52 @@ def top_evidence(evidence: Column, n: int = MOST_EVIDENCE) -> Column:
 
 def build(detections: DataFrame) -> DataFrame:
     """Alert documents of detections (ts_ns, threat_class, subtype, confidence, severity, source, flow_id, proto, src_ip,
-    dst_ip, dst_port, evidence).  Times are cut to milliseconds."""
+    dst_ip, dst_port, evidence; where known also src_port, directionality, completeness_flag, window_start, window_end,
+    latency_ns, calibrated, model_id, model_hash, dataset_version, sampling_active, sampling_ratio, shedding_tier).  Times
+    are cut to milliseconds.  ``x_prev_hash`` is that of an empty chain until the ledger takes the alert."""
     c = F.col
     score = scalar.confidence_score(c("confidence"))
     created = scalar.iso_ms(F.timestamp_micros(scalar.whole(c("ts_ns"), 1000)))
+    known = lambda name, otherwise: F.coalesce(c(name), F.lit(otherwise)) if name in detections.columns else F.lit(otherwise)
+    at = lambda name: F.coalesce(c(name), created) if name in detections.columns else created
+    evidence = top_evidence(c("evidence"))
+    flow = F.struct(
+        c("flow_id").alias("flow_id"),
+        c("proto").alias("proto"),
+        c("src_ip").alias("src_ip"),
+        c("dst_ip").alias("dst_ip"),
+        known("src_port", 0).alias("src_port"),
+        c("dst_port").alias("dst_port"),
+        known("directionality", "UNKNOWN").alias("directionality"),
+        known("completeness_flag", False).alias("completeness_flag"),
+        at("window_start").alias("window_start"),
+        at("window_end").alias("window_end"),
+    )
     return detections.select(
         F.lit("indicator").alias("type"),
         F.lit("2.1").alias("spec_version"),
         alert_id(c("threat_class"), c("subtype"), c("ts_ns"), c("flow_id"), c("source")).alias("id"),
         created.alias("created"),
+        created.alias("modified"),
         headline(c("threat_class")).alias("name"),
+        explain.summary(F.slice(evidence, 1, 3), headline(c("threat_class"))).alias("description"),
+        F.array(F.lit("anomalous-activity")).alias("indicator_types"),
         scalar.stix_pattern(c("proto"), c("dst_ip"), c("dst_port")).alias("pattern"),
+        F.lit("stix").alias("pattern_type"),
+        created.alias("valid_from"),
         score.alias("confidence"),
+        F.array(F.lit("cii-relevant")).alias("labels"),
+        flow.alias("x_flow_identifier"),
         c("threat_class").alias("x_threat_class"),
         F.coalesce("subtype", F.lit("")).alias("x_subtype"),
         scalar.alert_severity(c("severity"), score).alias("x_severity"),
+        known("calibrated", False).alias("x_confidence_calibrated"),
         F.coalesce("source", F.lit("unknown")).alias("x_detector"),
-        top_evidence(c("evidence")).alias("x_supporting_evidence"),
+        F.round(known("latency_ns", 0) / 1e6, 3).alias("x_latency_ms"),
+        F.struct(*[known(x, "none").alias(x) for x in LINEAGE]).alias("x_model_lineage"),
+        evidence.alias("x_supporting_evidence"),
+        F.struct(known("sampling_active", False).alias("sampling_active"), known("sampling_ratio", 1.0).alias("sampling_ratio"), known("shedding_tier", "none").alias("shedding_tier")).alias("x_detection_context"),
+        F.lit(GENESIS).alias("x_prev_hash"),
         technique(c("threat_class")).alias("external_references"),
     )
 
@@ -73,14 +112,26 @@ def build(detections: DataFrame) -> DataFrame:
 def problems(alerts: DataFrame) -> DataFrame:
     """alerts with ``problem``: the first contract that a row breaks, else null."""
     c = F.col
+    flow, evidence = "x_flow_identifier", c("x_supporting_evidence")
+    number = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
+    sound = F.forall(evidence, lambda e: F.coalesce((F.length(e["feature"]) > 0) & number(e["value"]) & number(e["contribution"]), F.lit(False)))
+    expected = F.create_map(*[F.lit(x) for k, (i, _) in scalar.TECHNIQUES.items() for x in (k, i)])
+    mitre = F.get(F.filter("external_references", lambda r: r["source_name"] == "mitre-attack"), F.lit(0))["external_id"]
     checks = {
+        "missing": reduce(Column.__or__, [c(x).isNull() for x in alerts.columns if x in REQUIRED]),
         "type": (c("type") != "indicator") | (c("spec_version") != "2.1"),
         "id": ~c("id").startswith("indicator--"),
         "confidence": ~c("confidence").between(0, 100),
         "class": ~c("x_threat_class").isin(*CLASSES),
         "severity": ~c("x_severity").isin(*SEVERITIES),
-        "evidence": (F.size("x_supporting_evidence") < 1) | (F.size("x_supporting_evidence") > MOST_EVIDENCE),
-        "technique": c("x_threat_class").isin(*scalar.TECHNIQUES) & (F.size("external_references") == 0),
+        "latency": ~(number(c("x_latency_ms")) & (c("x_latency_ms") >= 0)),
+        "flow": reduce(Column.__or__, [c(f"{flow}.{x}").isNull() for x in FLOW_FIELDS]),
+        "direction": ~c(f"{flow}.directionality").isin(*DIRECTIONS),
+        "lineage": reduce(Column.__or__, [F.length(c(f"x_model_lineage.{x}")) == 0 for x in LINEAGE]),
+        "context": c("x_detection_context.sampling_active").isNull() | c("x_detection_context.sampling_ratio").isNull() | c("x_detection_context.shedding_tier").isNull(),
+        "evidence": (F.size(evidence) < 1) | (F.size(evidence) > MOST_EVIDENCE) | ~sound,
+        "chain": ~c("x_prev_hash").rlike("^sha256:[0-9a-f]{64}$"),
+        "technique": F.element_at(expected, c("x_threat_class")).isNotNull() & ~mitre.eqNullSafe(F.element_at(expected, c("x_threat_class"))),
     }
     out = F.lit(None).cast("string")
     for name, bad in reversed(checks.items()):

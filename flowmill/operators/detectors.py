@@ -611,20 +611,25 @@ def flow_export(packets: DataFrame, keys: list[str], idle_us: int = 60 * SECOND,
     return r.groupBy(*keys, "session", "start").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.sum("packets").alias("packets"), F.sum("length").alias("bytes"), F.bit_or("tcp_flags").alias("tcp_flags")).drop("session", "start")
 
 
-def supported(cls: Column, features: dict[str, Column]) -> Column:
-    """Whether an observation carries the evidence that its class needs."""
-    f = {k: F.coalesce(v, F.lit(0.0)) for k, v in features.items()}
-    z = F.lit(0.0)
-    get = lambda k: f.get(k, z)
-    return (
-        F.when(cls == "volumetric-ddos", (get("pps_to_dst") >= 25) | (get("half_open_60s") >= 120))
-        .when(cls == "c2-beaconing", get("beacon_sample_count") >= 12)
-        .when(cls == "dga-dns-tunnelling", (get("distinct_regdom_300s") >= 20) | (get("subdomain_cardinality") >= 50))
-        .when(cls == "encrypted-malware", get("ja4_observation_count") >= 1)
-        .when(cls == "recon-scanning", get("scan_probe_count_60s") >= 20)
-        .when(cls == "data-exfiltration", get("outbound_bytes_total") >= 100_000)
-        .otherwise(False)
-    )
+def supported(cls: Column, features: dict[str, Column], least_bytes: float = 100_000) -> Column:
+    """Whether an observation carries the least that its class can be told by."""
+    f = {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in features.items()}
+    more = lambda k, than=0.0: f.get(k, F.lit(0.0)) > than
+    at_least = lambda k, n: f.get(k, F.lit(0.0)) >= n
+    compared = features["fingerprint_consistency_score"].isNotNull() if "fingerprint_consistency_score" in features else F.lit(False)
+    mostly_udp = at_least("udp_packet_share", 0.8)
+    needs = {
+        "volumetric-ddos": more("pps_to_dst_ewma_dev") & (more("syn_synack_ratio_1s", 1) | (mostly_udp & (at_least("reflection_service_share", 0.8) | at_least("entropy_explosion_score", 0.5)))),
+        "c2-beaconing": at_least("beacon_sample_count", 3) & more("ls_peak_period_s"),
+        "dga-dns-tunnelling": more("source_query_count_300s", 1) & (more("distinct_regdom_300s", 1) | (more("subdomain_cardinality", 1) & more("qtype_txt_null_ratio"))),
+        "encrypted-malware": more("tls_version") & more("ja4_observation_count") & compared,
+        "recon-scanning": more("scan_probe_count_60s", 1),
+        "data-exfiltration": at_least("outbound_bytes_total", least_bytes) & more("out_in_ratio_ewma", 1),
+    }
+    out = F.lit(False)
+    for name, need in needs.items():
+        out = F.when(cls == name, need).otherwise(out)
+    return out
 
 
 def model_alerts(scored: DataFrame, subject: str, ts: str, least: float = 0.99, rarity: float = 0.5, gap: int = 600 * SECOND, window: int = 600 * SECOND, most: int = 3) -> DataFrame:

@@ -15,145 +15,141 @@ from pyspark.sql import functions as F
 from flowmill.functions import scalar
 from flowmill.operators import alerts, detectors, features, flows
 
-SECOND = 1_000_000
+SECOND, MINUTE = 1_000_000, 60_000_000
 #: What stands for a source that may be forged.
 SPOOFED = "spoofed - low attribution confidence"
-FLOW = "struct<flow_id: string, proto: string, src_ip: string, dst_ip: string, src_port: int, dst_port: int, directionality: string, completeness_flag: boolean, window_start: string, window_end: string>"
 
+# What follows is written as SQL text: a rule's margins, evidence and flow are dozens of small expressions, and as text they
+# reach the planner in one step.
 
-def proto_name(proto: Column) -> Column:
-    return F.when(proto == 6, "TCP").when(proto == 17, "UDP").when(proto == 1, "ICMP").otherwise(F.concat(F.lit("IP-"), proto.cast("string")))
 
+def past(value: str, threshold: float, span: float) -> str:
+    """How far ``value`` is past a threshold, 0 to 1 over ``span``."""
+    return f"greatest(0D, least(1D, ({value} - {threshold}) / {float(span)}D))"
 
-def flow_identifier(proto: Column, src: Column, dst: Column, dst_port: Column, start_us: Column, end_us: Column, direction: Column | str = "FWD_ONLY", src_port: Column | None = None) -> Column:
+
+def ip(n: str) -> str:
+    return f"concat_ws('.', {', '.join(f'cast(shiftright(cast({n} AS BIGINT), {k}) & 255 AS STRING)' for k in (24, 16, 8, 0))})"
+
+
+def iso(us: str) -> str:
+    return f"date_format(timestamp_micros(cast({us} AS BIGINT)), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+
+
+def proto_name(proto: str) -> str:
+    return f"CASE {proto} WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP' ELSE concat('IP-', {proto}) END"
+
+
+def flow_identifier(proto: str, src: str, dst: str, dst_port: str, start_us: str, end_us: str, direction: str = "'FWD_ONLY'", src_port: str = "0") -> str:
     """The flow that an alert names; src and dst are text, times microseconds."""
-    src_port = F.lit(0) if src_port is None else src_port
-    direction = F.lit(direction) if isinstance(direction, str) else direction
-    first = F.when(src == SPOOFED, "spoofed").otherwise(src)
-    name = F.format_string("%s %s:%d>%s:%d", proto, first, src_port.cast("int"), dst, dst_port.cast("int"))
-    at = lambda us: scalar.iso_ms(F.timestamp_micros(us.cast("long")))
-    return F.struct(
-        name.alias("flow_id"),
-        proto.alias("proto"),
-        src.alias("src_ip"),
-        dst.alias("dst_ip"),
-        src_port.cast("int").alias("src_port"),
-        dst_port.cast("int").alias("dst_port"),
-        direction.alias("directionality"),
-        (direction == "BIDIRECTIONAL").alias("completeness_flag"),
-        at(start_us).alias("window_start"),
-        at(end_us).alias("window_end"),
-    ).cast(FLOW)
-
-
-def emitted(rows: DataFrame, detector: str, threat: str, ts_us: Column, flow: Column, margins: list[Column], evidence: list[tuple[str, Column, Column | int]], reason: Column | None = None) -> DataFrame:
-    """Detections of ``rows`` (subtype): confidence from the margins by which the rule's clauses are passed, evidence as
-    (feature, value, contribution), features of no value left out."""
-    sure = scalar.confidence(margins)
-    items = [F.struct(F.lit(n).alias("feature"), v.cast("double").alias("value"), (c if isinstance(c, Column) else F.lit(c)).cast("double").alias("contribution")) for n, v, c in evidence]
-    finite = F.filter(F.array(*items), lambda e: e["value"].isNotNull() & ~F.isnan(e["value"]) & (F.abs(e["value"]) != float("inf")))
-    return rows.select(
-        (ts_us.cast("long") * 1000).alias("ts_ns"),
-        F.lit(detector).alias("detector"),
-        F.lit(threat).alias("threat_class"),
+    return f"""named_struct('flow_id', format_string('%s %s:%d>%s:%d', {proto}, if({src} = '{SPOOFED}', 'spoofed', {src}), cast({src_port} AS INT), {dst}, cast({dst_port} AS INT)), 'proto', {proto}, 'src_ip', {src}, 'dst_ip', {dst},
+ 'src_port', cast({src_port} AS INT), 'dst_port', cast({dst_port} AS INT), 'directionality', {direction}, 'completeness_flag', {direction} = 'BIDIRECTIONAL', 'window_start', {iso(start_us)}, 'window_end', {iso(end_us)})"""
+
+
+def emitted(rows: DataFrame, detector: str, threat: str, ts_us: str, flow: str, margins: list[str], evidence: list[tuple[str, str, str]], reason: str = "cast(NULL AS STRING)") -> DataFrame:
+    """Detections of ``rows`` (subtype): confidence from the margins by which the rule's clauses are passed (m0, m1, ... in
+    what follows), evidence as (feature, value, contribution), values that are none or not finite left out."""
+    n = len(margins)
+    sure = f"round(0.5D + 0.5D * ({' + '.join(f'm{k}' for k in range(n))}) / {n}, 4)"
+    items = ", ".join(f"named_struct('feature', '{f}', 'value', cast({v} AS DOUBLE), 'contribution', cast({c} AS DOUBLE))" for f, v, c in evidence)
+    measured = rows.selectExpr("*", *[f"coalesce({x}, 0D) AS m{k}" for k, x in enumerate(margins)])
+    scored = measured.selectExpr("*", f"{sure} AS _sure")
+    low, mid, high = (f"_sure < {limit} THEN '{name}'" for limit, name in scalar.SEVERITY_BANDS)
+    return scored.selectExpr(
+        f"cast({ts_us} AS BIGINT) * 1000 AS ts_ns",
+        f"'{detector}' AS detector",
+        f"'{threat}' AS threat_class",
         "subtype",
-        sure.alias("confidence"),
-        scalar.severity(sure).alias("severity"),
-        F.lit("rule").alias("source"),
-        flow.alias("flow"),
-        F.array(*[F.round(m, 4) for m in margins]).alias("rule_margins"),
-        finite.alias("evidence"),
-        (F.lit(None).cast("string") if reason is None else reason).alias("reason"),
+        "_sure AS confidence",
+        f"CASE WHEN {low} WHEN {mid} WHEN {high} ELSE 'CRITICAL' END AS severity",
+        "'rule' AS source",
+        f"{flow} AS flow",
+        f"array({', '.join(f'round(m{k}, 4)' for k in range(n))}) AS rule_margins",
+        f"filter(array({items}), e -> e.value IS NOT NULL AND NOT isnan(e.value) AND abs(e.value) < double('infinity')) AS evidence",
+        f"{reason} AS reason",
     )
 
 
-def _either(subtypes: dict[str, Column]) -> Column:
-    """The column of the row's subtype; the last stands for all others."""
-    *some, last = subtypes.items()
-    return reduce(lambda out, x: F.when(F.col("subtype").startswith(x[0]), x[1]).otherwise(out), reversed(some), last[1])
+def _of(**by: str) -> str:
+    """SQL of the value for the row's subtype, told by its beginning; the last stands for all others."""
+    *some, (_, last) = by.items()
+    return "CASE " + " ".join(f"WHEN subtype LIKE '{k.replace('_', '-')}%' THEN {v}" for k, v in some) + f" ELSE {last} END"
 
 
 def ddos(packets: DataFrame) -> DataFrame:
     f = detectors.with_prior(detectors.admitted(detectors.ddos_features(packets)), ["host"], "bucket", "pps", 60, rates=detectors.rates(packets))
     d = detectors.ddos_rule(f)
-    c, m = F.col, scalar.margin
-    rate, explosion, collapse = m(c("deviation"), 4, 4), m(c("explosion"), 0.5, 0.5), m(c("collapse"), 0.5, 0.5)
-    amplified, asked = m(c("amplification"), 5, 20), m(c("syn_synack_ratio"), 4, 16)
-    held, kept, small = m(c("half_open"), 120, 240), m(0.1 - c("teardown"), 0, 0.1), m(200 - c("mean_bytes"), 0, 120)
-    pick = lambda *x: _either(dict(zip(("syn", "udp-flood", "udp-reflection", "connection"), x, strict=True)))
-    held_on = F.col("subtype") == "connection-exhaustion"
-    margins = [pick(rate, rate, rate, held), pick(explosion, explosion, collapse, kept), pick(asked, amplified, amplified, small)]
-    use = lambda on, x: F.when(on, x)
-    syn, spoofed, reflected = c("subtype").startswith("syn"), c("subtype").startswith("udp-flood"), c("subtype").startswith("udp-refl")
+    pick = lambda syn, flood, reflection, held: _of(syn=syn, udp_flood=flood, udp_reflection=reflection, held=held)
+    rate, asked, amplified = past("deviation", 4, 4), past("syn_synack_ratio", 4, 16), past("amplification", 5, 20)
+    spread, fixed = past("explosion", 0.5, 0.5), past("collapse", 0.5, 0.5)
+    margins = [
+        pick(rate, rate, rate, past("half_open", 120, 240)),
+        pick(spread, spread, fixed, past("0.1 - teardown", 0, 0.1)),
+        pick(asked, amplified, amplified, past("200 - mean_bytes", 0, 120)),
+    ]
+    no = "NULL"
     evidence = [
-        ("pps_to_dst_ewma_dev", use(~held_on, c("deviation")), margins[0]),
-        ("entropy_explosion_score", use(syn | spoofed, c("explosion")), margins[1]),
-        ("entropy_collapse_score", use(reflected, c("collapse")), margins[1]),
-        ("syn_synack_ratio_1s", use(syn, c("syn_synack_ratio")), margins[2]),
-        ("amplification_ratio", use(spoofed | reflected, c("amplification")), margins[2]),
-        ("src_cardinality_growth", use(~held_on, c("growth")), 0),
-        ("half_open_60s", use(held_on, c("half_open")), margins[0]),
-        ("teardown_ratio_60s", use(held_on, c("teardown")), margins[1]),
-        ("mean_pkt_bytes_1s", use(held_on | reflected, c("mean_bytes")), F.when(held_on, margins[2]).otherwise(0)),
+        ("pps_to_dst_ewma_dev", pick(*["deviation"] * 3, no), "m0"),
+        ("entropy_explosion_score", pick("explosion", "explosion", no, no), "m1"),
+        ("entropy_collapse_score", pick(no, no, "collapse", no), "m1"),
+        ("syn_synack_ratio_1s", pick("syn_synack_ratio", no, no, no), "m2"),
+        ("amplification_ratio", pick(no, "amplification", "amplification", no), "m2"),
+        ("src_cardinality_growth", pick(*["growth"] * 3, no), "0"),
+        ("half_open_60s", pick(no, no, no, "half_open"), "m0"),
+        ("teardown_ratio_60s", pick(no, no, no, "teardown"), "m1"),
+        ("mean_pkt_bytes_1s", pick(no, no, "mean_bytes", "mean_bytes"), pick("0", "0", "0", "m2")),
     ]
-    end = (c("bucket") + 1) * SECOND
-    src = pick(F.lit(SPOOFED), F.lit(SPOOFED), F.format_string("<%d reflectors>", c("sources60")), F.format_string("<%d concurrent sources>", c("sources60")))
-    proto = F.when(spoofed | reflected, "UDP").otherwise("TCP")
-    flow = flow_identifier(proto, src, scalar.format_ip(c("host")), F.lit(0), end - F.when(held_on, 60 * SECOND).otherwise(SECOND), end, F.when(reflected, "REV_ONLY").otherwise("FWD_ONLY"))
+    end = f"(bucket + 1) * {SECOND}"
+    src = pick(f"'{SPOOFED}'", f"'{SPOOFED}'", "concat('<', sources60, ' reflectors>')", "concat('<', sources60, ' concurrent sources>')")
+    flow = flow_identifier(_of(udp="'UDP'", tcp="'TCP'"), src, ip("host"), "0", f"{end} - {pick(*[str(SECOND)] * 3, str(MINUTE))}", end, _of(udp_reflection="'REV_ONLY'", other="'FWD_ONLY'"))
     return emitted(d, "ddos", "volumetric-ddos", end, flow, margins, evidence)
 
 
 def protocol_flood(packets: DataFrame, absolute: float, floor: float, syn_absolute: float = 0, syn_floor: float = 0) -> DataFrame:
     """Off unless asked for: rates alone name no attack."""
     d = detectors.flood_rule(packets, SECOND, absolute, floor, syn_absolute=syn_absolute, syn_floor=syn_floor)
-    c, by_syn = F.col, F.col("subtype") == "tcp-syn-rate-anomaly"
-    rate, dev = F.when(by_syn, c("syns")).otherwise(c("n")), F.when(by_syn, c("syn_deviation")).otherwise(c("deviation"))
-    limit = F.when(by_syn, F.lit(float(syn_absolute))).otherwise(F.lit(float(absolute)))
-    least = F.when(by_syn, F.lit(float(syn_floor))).otherwise(F.lit(float(floor)))
-    base = F.when(c("why") == "absolute", limit).otherwise(least)
-    over = scalar.clamp01((rate - base) / F.greatest(base, F.lit(1.0)))
-    margins = [over, F.when(c("why") == "absolute", over).otherwise(scalar.margin(dev, 6, 6))]
-    evidence = [("pps_to_dst", F.when(~by_syn, rate), over), ("syn_attempts_per_second", F.when(by_syn, rate), over), ("pps_to_dst_ewma_dev", F.when(~by_syn, dev), margins[1]), ("syn_attempts_ewma_dev", F.when(by_syn, dev), margins[1]), ("mean_pkt_bytes_1s", c("bytes") / c("n"), 0)]
-    end = (c("bucket") + 1) * SECOND
-    flow = flow_identifier(proto_name(c("proto")), F.lit("multiple-or-unattributed"), scalar.format_ip(c("dst_ip")), F.lit(0), end - SECOND, end)
-    return emitted(d, "protocol_flood", "volumetric-ddos", end, flow, margins, evidence)
+    either = lambda syn, other: _of(tcp_syn=syn, other=other)
+    rate, dev = either("syns", "n"), either("syn_deviation", "deviation")
+    base = f"if(why = 'absolute', {either(f'{syn_absolute}D', f'{float(absolute)}D')}, {either(f'{syn_floor}D', f'{float(floor)}D')})"
+    over = f"greatest(0D, least(1D, ({rate} - {base}) / greatest({base}, 1D)))"
+    evidence = [("pps_to_dst", either("NULL", "n"), "m0"), ("syn_attempts_per_second", either("syns", "NULL"), "m0"), ("pps_to_dst_ewma_dev", either("NULL", "deviation"), "m1"), ("syn_attempts_ewma_dev", either("syn_deviation", "NULL"), "m1"), ("mean_pkt_bytes_1s", "bytes / n", "0")]
+    end = f"(bucket + 1) * {SECOND}"
+    flow = flow_identifier(proto_name("proto"), "'multiple-or-unattributed'", ip("dst_ip"), "0", f"{end} - {SECOND}", end)
+    return emitted(d, "protocol_flood", "volumetric-ddos", end, flow, [over, f"if(why = 'absolute', {over}, {past(dev, 6, 6)})"], evidence)
 
 
 def scan(oriented: DataFrame) -> DataFrame:
     d = detectors.scan_rule(detectors.scan_features(oriented))
-    c, m = F.col, scalar.margin
-    strobe, vertical = c("subtype") == "strobe-scan", c("subtype").startswith("vertical")
-    size, closed = m(120 - c("bytes_per_probe"), 0, 80), m(0.3 - c("completion"), 0, 0.3)
-    margins = [F.when(strobe, m(c("hosts"), 30, 200)).when(vertical, m(c("vertical"), 30, 300)).otherwise(m(c("horizontal"), 30, 200)), F.when(strobe, m(20 - c("ports"), 0, 10)).otherwise(size), closed]
+    pick = lambda vertical, strobe, sweep: _of(vertical=vertical, strobe=strobe, sweep=sweep)
+    size = past("120 - bytes_per_probe", 0, 80)
+    margins = [pick(past("vertical", 30, 300), past("hosts", 30, 200), past("horizontal", 30, 200)), pick(size, past("20 - ports", 0, 10), size), past("0.3 - completion", 0, 0.3)]
+    no = "NULL"
     evidence = [
-        ("vertical_fanout_60s", F.when(~strobe, c("vertical_60")), F.when(vertical, margins[0]).otherwise(0)),
-        ("vertical_fanout_1s", F.when(vertical, c("vertical_1")), 0),
-        ("vertical_fanout_3600s", F.when(vertical, c("vertical_3600")), 0),
-        ("horizontal_fanout_60s", F.when(~strobe, c("horizontal_60")), F.when(~vertical, margins[0]).otherwise(0)),
-        ("horizontal_fanout_3600s", F.when(~strobe & ~vertical, c("horizontal_3600")), 0),
-        ("source_distinct_hosts_3600s", F.when(strobe, c("hosts")), margins[0]),
-        ("source_distinct_ports_3600s", F.when(strobe, c("ports")), margins[1]),
-        ("strobe_score", F.when(strobe, c("strobe")), 0),
-        ("mean_bytes_per_probe", c("bytes_per_probe"), F.when(strobe, 0).otherwise(margins[1])),
-        ("probe_completion_ratio", c("completion"), margins[2]),
+        ("vertical_fanout_60s", pick("vertical_60", no, "vertical_60"), pick("m0", "0", "0")),
+        ("vertical_fanout_1s", pick("vertical_1", no, no), "0"),
+        ("vertical_fanout_3600s", pick("vertical_3600", no, no), "0"),
+        ("horizontal_fanout_60s", pick("horizontal_60", no, "horizontal_60"), pick("0", "0", "m0")),
+        ("horizontal_fanout_3600s", pick(no, no, "horizontal_3600"), "0"),
+        ("source_distinct_hosts_3600s", pick(no, "hosts", no), "m0"),
+        ("source_distinct_ports_3600s", pick(no, "ports", no), "m1"),
+        ("strobe_score", pick(no, "strobe", no), "0"),
+        ("mean_bytes_per_probe", "bytes_per_probe", pick("m1", "0", "m1")),
+        ("probe_completion_ratio", "completion", "m2"),
     ]
-    end = (c("bucket") + 1) * (60 * SECOND)
-    dst = F.when(strobe, F.format_string("<%d hosts>", c("hosts"))).when(vertical, "<one host>").otherwise(F.format_string("<%d hosts swept>", c("horizontal")))
-    flow = flow_identifier(F.lit("TCP"), scalar.format_ip(c("src_ip")), dst, F.lit(0), end - F.when(strobe, 3600 * SECOND).otherwise(60 * SECOND), end)
+    end = f"(bucket + 1) * {MINUTE}"
+    dst = pick("'<one host>'", "concat('<', hosts, ' hosts>')", "concat('<', horizontal, ' hosts swept>')")
+    flow = flow_identifier("'TCP'", ip("src_ip"), dst, "0", f"{end} - {pick(str(MINUTE), str(60 * MINUTE), str(MINUTE))}", end)
     return emitted(d, "scan", "recon-scanning", end, flow, margins, evidence)
 
 
 def exfil(oriented: DataFrame, allowlist: DataFrame | None = None) -> DataFrame:
+    """A peer that never answered is an alert, and is counted besides."""
     d = detectors.exfil_rule(detectors.exfil_windows(oriented), allowlist=allowlist)
-    c, m = F.col, scalar.margin
-    margins = [m(c("ratio_ewma"), 3, 20), m(c("sustained_s"), 300, 900), m(c("novelty"), 0, 1)]
-    evidence = [("out_in_ratio_ewma", c("ratio_ewma"), margins[0]), ("sustained_asymmetry_s", c("sustained_s"), margins[1]), ("dst_novelty_score", c("novelty"), margins[2]), ("peak_window_out_bytes", c("peak"), 0), ("upload_burst_score", scalar.ratio(c("peak"), c("out_total")), 0)]
-    end = (c("bucket") + 1) * (60 * SECOND)
-    flow = flow_identifier(proto_name(c("proto")), scalar.format_ip(c("client")), scalar.format_ip(c("server")), c("port"), end - (c("age_s") + 60) * SECOND, end, F.when(c("in_total") > 0, "BIDIRECTIONAL").otherwise("FWD_ONLY"))
-    out = emitted(d, "exfil", "data-exfiltration", end, flow, margins, evidence, c("reason"))
-    # a peer that never answered is an alert, and is counted besides
-    silent = emitted(d.filter("reason IS NULL AND in_total = 0"), "exfil", "data-exfiltration", end, flow, margins, evidence, F.lit("reverse-direction-never-observed"))
-    return out.unionByName(silent)
+    twice = d.selectExpr("*", "explode(if(reason IS NULL AND in_total = 0, array(NULL, 'reverse-direction-never-observed'), array(reason))) AS why")
+    evidence = [("out_in_ratio_ewma", "ratio_ewma", "m0"), ("sustained_asymmetry_s", "sustained_s", "m1"), ("dst_novelty_score", "novelty", "m2"), ("peak_window_out_bytes", "peak", "0"), ("upload_burst_score", "peak / greatest(out_total, 1)", "0")]
+    end = f"(bucket + 1) * {MINUTE}"
+    flow = flow_identifier(proto_name("proto"), ip("client"), ip("server"), "port", f"{end} - (age_s + 60) * {SECOND}", end, "if(in_total > 0, 'BIDIRECTIONAL', 'FWD_ONLY')")
+    return emitted(twice, "exfil", "data-exfiltration", end, flow, [past("ratio_ewma", 3, 20), past("sustained_s", 300, 900), past("novelty", 0, 1)], evidence, "why")
 
 
 def named_queries(packets: DataFrame, bigrams: DataFrame, suffixes: list[str]) -> DataFrame:
@@ -171,65 +167,55 @@ def named_queries(packets: DataFrame, bigrams: DataFrame, suffixes: list[str]) -
 
 def dns(queries: DataFrame, wildcards: DataFrame | None = None) -> DataFrame:
     """Tunnels and campaigns; of a source and window the tunnel comes first, and one cooldown holds for both."""
-    c, m = F.col, scalar.margin
     width = 300 * SECOND
     t = detectors.tunnel_rule(detectors.dns_zones(queries, width), wildcards=wildcards).withColumn("kind", F.lit(0))
     g = detectors.dga_rule(detectors.dns_sources(queries, width)).withColumns({"kind": F.lit(1), "reason": F.lit(None).cast("string")})
     both = t.unionByName(g, allowMissingColumns=True)
-    spaced = detectors.spaced_out(both.filter("reason IS NULL"), ["src_ip"], "bucket", 1, "kind", "domain").unionByName(both.filter("reason IS NOT NULL"))
-    tunnel, wild = c("kind") == 0, c("subtype") == "dga-high-entropy"
-    learned = c("windows") >= 2
-    many, missing = m(c("domains"), 20, 200), m(c("nx_ratio"), 0.5, 0.4)
-    margins = [
-        F.when(tunnel, m(c("names"), 50, 450)).when(wild, m(c("mean_score"), 0.55, 0.35)).otherwise(many),
-        F.when(tunnel, F.when(learned, m(c("excess"), 4, 16)).otherwise(0.0)).when(wild, many).otherwise(missing),
-        F.when(tunnel, m(c("txt_ratio"), 0.3, 0.5)).when(wild, missing).otherwise(m(0.55 - c("mean_score"), 0, 0.4)),
-    ]
+    # a suppressed row starts no cooldown: it is a subject of its own
+    spaced = detectors.spaced_out(both.withColumn("_own", F.when(F.col("reason").isNotNull(), F.struct("bucket", "domain"))), ["src_ip", "_own"], "bucket", 1, "kind", "domain")
+    pick = lambda tunnel, wild, words: _of(dns_tunnel=tunnel, dga_high=wild, words=words)
+    many, missing, odd, even = past("domains", 20, 200), past("nx_ratio", 0.5, 0.4), past("mean_score", 0.55, 0.35), past("0.55 - mean_score", 0, 0.4)
+    margins = [pick(past("names", 50, 450), odd, many), pick(f"if(windows >= 2, {past('excess', 4, 16)}, 0D)", many, missing), pick(past("txt_ratio", 0.3, 0.5), missing, even)]
+    no = "NULL"
     evidence = [
-        ("subdomain_cardinality", F.when(tunnel, c("names")), margins[0]),
-        ("subdomain_excess", F.when(tunnel, c("excess")), margins[1]),
-        ("qtype_txt_null_ratio", F.when(tunnel, c("txt_ratio")), margins[2]),
-        ("dga_mean_name_score", F.when(~tunnel, c("mean_score")), F.when(wild, margins[0]).otherwise(margins[2])),
-        ("distinct_regdom_300s", F.when(~tunnel, c("domains")), F.when(wild, margins[1]).otherwise(margins[0])),
-        ("nx_response_ratio", F.when(~tunnel, c("nx_ratio")), F.when(wild, margins[2]).otherwise(margins[1])),
+        ("subdomain_cardinality", pick("names", no, no), "m0"),
+        ("subdomain_excess", pick("excess", no, no), "m1"),
+        ("qtype_txt_null_ratio", pick("txt_ratio", no, no), "m2"),
+        ("dga_mean_name_score", pick(no, "mean_score", "mean_score"), pick("0", "m0", "m2")),
+        ("distinct_regdom_300s", pick(no, "domains", "domains"), pick("0", "m1", "m0")),
+        ("nx_response_ratio", pick(no, "nx_ratio", "nx_ratio"), pick("0", "m2", "m1")),
     ]
-    end = (c("bucket") + 1) * width
-    flow = flow_identifier(F.lit("UDP"), scalar.format_ip(c("src_ip")), F.coalesce("domain", F.lit("<resolver>")), F.lit(53), end - width, end)
-    return emitted(spaced, "dga", "dga-dns-tunnelling", end, flow, margins, evidence, c("reason"))
+    end = f"(bucket + 1) * {width}"
+    flow = flow_identifier("'UDP'", ip("src_ip"), "coalesce(domain, '<resolver>')", "53", f"{end} - {width}", end)
+    return emitted(spaced, "dga", "dga-dns-tunnelling", end, flow, margins, evidence, "reason")
 
 
 def encrypted(oriented: DataFrame, reference: DataFrame, tie: str = "event_id") -> DataFrame:
     """oriented: also tcp_print and ja4."""
-    flow_name = F.struct(*flows.KEY, "session")
-    p = oriented.filter("proto = 6").withColumn("flow", flow_name)
-    d = detectors.encrypted_rule(p, reference, ["ts_us", tie])
-    c, m = F.col, scalar.margin
-    differs = c("subtype") == "ja4-tcp-fingerprint-disagreement"
-    margins = [F.when(differs, m(c("confidence"), 0.5, 0.5)).otherwise(m(0.15 - c("pair_share"), 0, 0.15)), F.when(differs, m(c("support"), 3, 12)).otherwise(m(c("ja4_count"), 20, 200)), F.when(differs, m(c("repeats"), 2, 10)).otherwise(0.0)]
+    p = oriented.filter("proto = 6").withColumn("flow", F.struct(*flows.KEY, "session"))
+    d = detectors.encrypted_rule(p, reference, ["ts_us", tie]).withColumn("subtype", F.coalesce("subtype", F.lit("")))
+    pick = lambda differs, rare: _of(ja4_tcp_fingerprint=differs, rare=rare)
+    margins = [pick(past("confidence", 0.5, 0.5), past("0.15 - pair_share", 0, 0.15)), pick(past("support", 3, 12), past("ja4_count", 20, 200)), pick(past("repeats", 2, 10), "0D")]
+    no = "NULL"
     evidence = [
-        ("fingerprint_consistency_score", c("consistency"), F.when(differs, margins[0]).otherwise(0)),
-        ("ja4_reference_support_hosts", F.when(differs, c("support")), margins[1]),
-        ("host_fingerprint_repeats", F.when(differs, c("repeats")), margins[2]),
-        ("ja4_tcp_pair_share", F.when(~differs, c("pair_share")), margins[0]),
-        ("ja4_observation_count", F.when(~differs, c("ja4_count")), margins[1]),
+        ("fingerprint_consistency_score", "consistency", pick("m0", "0")),
+        ("ja4_reference_support_hosts", pick("support", no), "m1"),
+        ("host_fingerprint_repeats", pick("repeats", no), "m2"),
+        ("ja4_tcp_pair_share", pick(no, "pair_share"), "m0"),
+        ("ja4_observation_count", pick(no, "ja4_count"), "m1"),
     ]
-    flow = flow_identifier(F.lit("TCP"), scalar.format_ip(c("client")), scalar.format_ip(c("server")), c("server_port"), c("ts_us"), c("ts_us"), src_port=c("client_port"))
-    named = d.withColumn("subtype", F.coalesce("subtype", F.lit("")))
-    return emitted(named, "encrypted", "encrypted-malware", c("ts_us"), flow, [F.coalesce(x, F.lit(0.0)) for x in margins], evidence, c("reason"))
+    flow = flow_identifier("'TCP'", ip("client"), ip("server"), "server_port", "ts_us", "ts_us", src_port="client_port")
+    return emitted(d, "encrypted", "encrypted-malware", "ts_us", flow, margins, evidence, "reason")
 
 
 def beacons(oriented: DataFrame, tie: str = "event_id", busy_samples: int = 0) -> DataFrame:
     keys = ["proto", "client", "server", "server_port"]
-    starts = detectors.beacon_starts(oriented, tie)
-    f = features.beacons(detectors.latest_epoch(starts, keys), keys, "ts_us", tie, ("client", "server", "server_port"))
-    d = features.beacon_rule(f, busy_samples=busy_samples)
-    c, m = F.col, scalar.margin
-    stable = m(c("dst_stability"), 0.5, 0.5)
-    margins = [F.when(c("significant"), m(-F.log10(F.greatest("ls_fap", F.lit(1e-30))), 3, 3)).otherwise(m(0.35 - c("iat_cv"), 0, 0.35)), F.when(c("significant"), m(c("ls_peak_power"), 8, 20)).otherwise(m(c("beacon_sample_count"), 20, 60)), stable]
-    by = lambda k, on: F.when(c("significant") == on, margins[k]).otherwise(0)
-    evidence = [("ls_fap", c("ls_fap"), by(0, True)), ("ls_peak_power", c("ls_peak_power"), by(1, True)), ("dst_stability", c("dst_stability"), stable), ("ls_peak_period_s", c("ls_peak_period_s"), 0), ("iat_cv", c("iat_cv"), by(0, False)), ("beacon_sample_count", c("beacon_sample_count"), by(1, False))]
-    flow = flow_identifier(proto_name(c("proto")), scalar.format_ip(c("client")), scalar.format_ip(c("server")), c("server_port"), c("last_us") - c("beacon_span_s") * SECOND, c("last_us"))
-    return emitted(d, "beaconing", "c2-beaconing", c("last_us"), flow, margins, evidence)
+    starts = detectors.latest_epoch(detectors.beacon_starts(oriented, tie), keys)
+    d = features.beacon_rule(features.beacons(starts, keys, "ts_us", tie, ("client", "server", "server_port")), busy_samples=busy_samples)
+    margins = [f"if(significant, {past('-log10(greatest(ls_fap, 1e-30D))', 3, 3)}, {past('0.35 - iat_cv', 0, 0.35)})", f"if(significant, {past('ls_peak_power', 8, 20)}, {past('beacon_sample_count', 20, 60)})", past("dst_stability", 0.5, 0.5)]
+    evidence = [("ls_fap", "ls_fap", "if(significant, m0, 0)"), ("ls_peak_power", "ls_peak_power", "if(significant, m1, 0)"), ("dst_stability", "dst_stability", "m2"), ("ls_peak_period_s", "ls_peak_period_s", "0"), ("iat_cv", "iat_cv", "if(significant, 0, m0)"), ("beacon_sample_count", "beacon_sample_count", "if(significant, 0, m1)")]
+    flow = flow_identifier(proto_name("proto"), ip("client"), ip("server"), "server_port", f"last_us - beacon_span_s * {SECOND}", "last_us")
+    return emitted(d, "beaconing", "c2-beaconing", "last_us", flow, margins, evidence)
 
 
 def detect(packets: DataFrame, bigrams: DataFrame, ja4_reference: DataFrame, suffixes: list[str], wildcards: DataFrame | None = None, allowlist: DataFrame | None = None, idle_us: int = 120 * SECOND, tie: str = "event_id", floods: dict | None = None) -> DataFrame:

@@ -33,19 +33,19 @@ def first_label(points: DataFrame, ranges: DataFrame, id_: str, at: str, start:
 
 
 def cidr_join(rows: DataFrame, networks: DataFrame, ip: str, port: str) -> DataFrame:
-    """rows left-joined to the first network (cidr, ports, reason, rank) that holds address and port.
+    """rows with the ``reason`` of the first network (cidr, ports, reason, rank) that holds address and port, else null.
 
-    A network is split into cells of 16 leading bits, so the join has an equi key."""
+    A network is split into cells of 16 leading bits and a cell's networks make one row, so the join is by an equi key and
+    gives each row one partner at most: nothing is grouped behind it."""
     low, high = scalar.cidr_range(F.col("cidr"))
     n = networks.withColumn("_lo", low).withColumn("_hi", high)
-    n = n.select("_lo", "_hi", "ports", "reason", "rank", F.explode(F.sequence(F.shiftright("_lo", 16), F.shiftright("_hi", 16))).alias("_cell"))
-    key = F.shiftright(F.col(ip).cast("long"), 16)
+    n = n.select("rank", "_lo", "_hi", "ports", "reason", F.explode(F.sequence(F.shiftright("_lo", 16), F.shiftright("_hi", 16))).alias("_cell"))
+    n = n.groupBy("_cell").agg(F.array_sort(F.collect_list(F.struct("rank", "_lo", "_hi", "reason", "ports"))).alias("_here"))
     if is_small(networks):
         n = F.broadcast(n)
-    r = rows.withColumn("_cell", key).withColumn("_row", F.struct(*rows.columns))
-    hit = r.join(n, "_cell").filter(F.col(ip).between(F.col("_lo"), F.col("_hi")) & ((F.size("ports") == 0) | F.array_contains("ports", F.col(port).cast("int"))))
-    first = hit.groupBy("_row").agg(F.min_by("reason", "rank").alias("reason"))
-    return r.join(first, "_row", "left").drop("_row", "_cell")
+    at = F.col(ip).cast("long")
+    fits = F.filter("_here", lambda x: at.between(x["_lo"], x["_hi"]) & ((F.size(x["ports"]) == 0) | F.array_contains(x["ports"], F.col(port).cast("int"))))
+    return rows.withColumn("_cell", F.shiftright(at, 16)).join(n, "_cell", "left").withColumn("reason", F.get(fits, F.lit(0))["reason"]).drop("_cell", "_here")
 
 
 def suffix_join(rows: DataFrame, domains: DataFrame, name: str, domain: str) -> DataFrame:

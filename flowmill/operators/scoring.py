@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowmill.functions import scalar
+from flowmill.operators import windows
 
 def weighted_f1(rows: DataFrame, truth: str, predicted: str, weight: str) -> DataFrame:
     """Weighted precision, recall and F1 of each class: one pass, each row under its truth and its prediction."""
@@ -62,9 +64,9 @@ def percentile_rank(rows: DataFrame, score: str, reference: DataFrame, ref: str)
 def _ranked(rows: DataFrame, score: str, reference: DataFrame, ref: str, value, name: str) -> DataFrame:
     ours = rows.select(F.col(score).alias("_x")).distinct().select("_x", F.lit(0).cast("long").alias("_c"), F.lit(0).alias("_r"))
     theirs = reference.groupBy(F.col(ref).alias("_x")).agg(F.count(F.lit(1)).alias("_c")).select("_x", "_c", F.lit(1).alias("_r"))
-    both = ours.unionByName(theirs)
-    below = F.coalesce(F.sum("_c").over(Window.orderBy("_x", "_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = both.withColumn("_b", below).withColumn("_n", F.sum("_c").over(Window.partitionBy())).filter("_r = 0").select("_x", value(F.col("_n"), F.col("_b")).alias(name))
+    both = windows.prefix_sums(ours.unionByName(theirs), ["_x", "_r"], F.col("_c"), "_b")
+    n = theirs.agg(F.sum("_c").alias("_n"))
+    ranks = both.filter("_r = 0").crossJoin(F.broadcast(n)).select("_x", value(F.col("_n"), F.col("_b")).alias(name))
     return rows.join(ranks, F.col(score) == F.col("_x")).drop("_x")
 
 
@@ -223,11 +225,71 @@ def family_recall(rows: DataFrame, family: str, truth: str, hit: Column) -> Data
 
 
 def spaced(rows: DataFrame, order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows, evenly spaced in order; a sampling operator."""
-    w = Window.orderBy(*order)
-    r = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    step = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
-    return r.filter(F.col("_i") % step == 0).drop("_i", "_n")
+    """At most ``most`` rows, evenly spaced in order (its first column a number); a sampling operator."""
+    r = windows.prefix_sums(rows, order, F.lit(1), "_i").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n"))))
+    return r.filter(F.col("_i") % F.greatest(F.lit(1), F.ceil(F.col("_n") / most)) == 0).drop("_i", "_n")
+
+
+def calibrated(scores: Column, curves: list[dict | None]) -> Column:
+    """An array of class scores, each through its curve, made to add up to one (equal parts where all are zero).  A curve has
+    points x and y, or a and b of a sigmoid; None leaves the score."""
+
+    def one(k: int, curve: dict | None) -> Column:
+        p = F.get(scores, F.lit(k))
+        if curve is None:
+            return p.cast("double")
+        return 1 / (1 + F.exp(curve["a"] * p + curve["b"])) if "a" in curve else scalar.interpolate(p, curve["x"], curve["y"])
+
+    def norm(q: Column) -> Column:
+        total = F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
+        return F.transform(q, lambda x: F.when(total > 0, x / total).otherwise(1.0 / len(curves)))
+
+    return scalar.let(F.array(*[one(k, c) for k, c in enumerate(curves)]), norm)
+
+
+def temporal_split(rows: DataFrame, keys: list[str], ts: str, fit: float = 0.78, validate: float = 0.80) -> DataFrame:
+    """rows with ``part``: fit, embargo or validate, by the place of the row's time among the key's distinct times."""
+    w = Window.partitionBy(*keys)
+    place = (F.dense_rank().over(w.orderBy(ts)) - 1).cast("long")
+    r = rows.withColumn("_place", place)
+    n = F.max("_place").over(w) + 1
+    edge = lambda share, least: F.greatest(F.lit(least), F.floor(n * share))
+    return r.withColumn("part", F.when(F.col("_place") < edge(fit, 1), "fit").when(F.col("_place") >= edge(validate, 2), "validate").otherwise("embargo")).drop("_place")
+
+
+def purged(parted: DataFrame, flow: str) -> DataFrame:
+    """``temporal_split`` rows without validation rows of a flow that was fitted, and without the embargo."""
+    seen = parted.filter("part = 'fit'").select(flow).distinct()
+    kept = parted.filter("part = 'validate'").join(seen, flow, "left_anti")
+    return parted.filter("part = 'fit'").unionByName(kept)
+
+
+def invariants(rows: DataFrame, key: str, ts: str, split: str, order: tuple[str, ...] = ("train", "calibration", "test")) -> DataFrame:
+    """(key, problem): scenarios whose splits overlap in time or lack one."""
+    g = rows.groupBy(key).agg(*[F.min(F.when(F.col(split) == s, F.col(ts))).alias(f"lo_{s}") for s in order], *[F.max(F.when(F.col(split) == s, F.col(ts))).alias(f"hi_{s}") for s in order])
+    lacks = [F.when(F.col(f"lo_{s}").isNull(), f"no {s}") for s in order]
+    late = [F.when(F.col(f"hi_{a}") >= F.col(f"lo_{b}"), f"{a} reaches into {b}") for a, b in zip(order[:-1], order[1:], strict=True)]
+    return g.select(key, F.coalesce(*lacks, *late).alias("problem")).filter("problem IS NOT NULL")
+
+
+def qualification(rates: DataFrame, least_rate: float = 3000.0, most_p99_ms: float = 50.0, most_rss_mb: float = 512.0, least_s: float = 30.0) -> DataFrame:
+    """(run, failed): the limits that a run's buckets (run, rate, latency_ms, rss_mb, seconds) miss."""
+    g = rates.groupBy("run").agg(F.min("rate").alias("rate"), F.percentile("latency_ms", 0.99).alias("p99"), F.max("rss_mb").alias("rss"), F.sum("seconds").alias("s"))
+    tests = [F.when(F.col("rate") < least_rate, "sustained rate"), F.when(F.col("p99") > most_p99_ms, "p99 latency"), F.when(F.col("rss") > most_rss_mb, "memory"), F.when(F.col("s") < least_s, "duration")]
+    return g.select("run", F.filter(F.array(*tests), lambda x: x.isNotNull()).alias("failed"))
+
+
+def same_rows_compared(a: DataFrame, b: DataFrame, id_: str, truth: str, predicted: str) -> DataFrame:
+    """(model, cls, precision, recall, f1) of two models on the rows that both have scored."""
+    ids = a.select(id_).intersect(b.select(id_))
+    both = [m.join(ids, id_, "left_semi").select(F.lit(name).alias("model"), F.col(truth).alias("t"), F.col(predicted).alias("p")) for name, m in (("first", a), ("second", b))]
+    rows = both[0].unionByName(both[1])
+    side = F.explode(F.array(F.struct(F.col("t").alias("cls"), F.lit(1).alias("s"), F.lit(0).alias("c")), F.struct(F.col("p").alias("cls"), F.lit(0).alias("s"), F.lit(1).alias("c")))).alias("e")
+    hit = (F.col("t") == F.col("p")).cast("int")
+    g = rows.select("model", hit.alias("hit"), side).groupBy("model", F.col("e.cls").alias("cls")).agg(F.sum("e.s").alias("s"), F.sum("e.c").alias("c"), F.sum(F.col("hit") * F.col("e.s")).alias("h"))
+    part = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
+    g = g.withColumns({"precision": part(F.col("h"), F.col("c")), "recall": part(F.col("h"), F.col("s"))})
+    return g.withColumn("f1", part(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).drop("s", "c", "h")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -73,3 +73,24 @@ def timeline(df: DataFrame, keys: list[str], ts: str, bounds: tuple[float, float
     x, (a, b, c, d) = F.col("fraction"), bounds
     split = F.when(x < a, "train").when(x < b, "embargo").when(x < c, "calibration").when(x < d, "embargo").otherwise("test")
     return df.withColumn("fraction", F.when(hi > lo, (F.col(ts) - lo) / (hi - lo)).otherwise(0.0)).withColumn("split", split)
+
+
+def prefix_sums(df: DataFrame, order: list[str], value: Column, name: str, parts: int = 64) -> DataFrame:
+    """df with ``name``: the sum of ``value`` over the rows before each row in the order of all rows, without one task that
+    holds them all: ranges between quantiles of the first (numeric) column are summed apart and then put together."""
+    cuts = sorted(set(df.approxQuantile(order[0], [k / parts for k in range(1, parts)], 0.002)))
+    part = sum((F.when(F.col(order[0]) >= x, 1).otherwise(0) for x in cuts), F.lit(0))
+    d = df.withColumns({"_part": part, "_value": value})
+    sums = d.groupBy("_part").agg(F.sum("_value").alias("_sum"))
+    # at most ``parts`` rows on either side
+    base = sums.alias("a").join(sums.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_base"))
+    here = F.coalesce(F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("_here", here).join(F.broadcast(base), "_part").withColumn(name, F.col("_here") + F.col("_base")).drop("_part", "_value", "_here", "_base")
+
+
+def min_gap(df: DataFrame, keys: list[str], order: list[str], ts: str, gap: int) -> DataFrame:
+    """df with ``repaired``: the key's times in order, each moved to at least ``gap`` after the one before it."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    place = F.row_number().over(w) * gap
+    shifted = df.withColumn("_p", place).withColumn("_m", F.col(ts) - F.col("_p"))
+    return shifted.withColumn("repaired", F.max("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_p")).drop("_p", "_m")

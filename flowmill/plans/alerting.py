@@ -28,6 +28,7 @@ def detections(t):
         F.concat(F.lit("10.0.1."), (c("user_id") % 250).cast("string")).alias("dst_ip"),
         F.lit(443).alias("dst_port"),
         evidence.alias("evidence"),
+        (c("event_id") % 1000 * 12_345).alias("latency_ns"),
     )
 
 
@@ -35,15 +36,40 @@ def detections(t):
  CAST(greatest(0, least(100, round_even(CASE WHEN value / 100 <= 1 THEN value / 100 * 100.0 ELSE value / 100 END, 0))) AS INT) AS score FROM events)
 SELECT 'indicator--' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) & 3 AS INT) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
  strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created, score AS confidence, cls AS x_threat_class, CASE WHEN event_id % 3 = 0 THEN 'HIGH' WHEN score >= 90 THEN 'CRITICAL' WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS x_severity,
- '[network-traffic:protocols[*] = ''tcp'' AND network-traffic:dst_ref.value = ''10.0.1.' || (user_id % 250) || ''' AND network-traffic:dst_port = 443]' AS pattern FROM d""")
+ '[network-traffic:protocols[*] = ''tcp'' AND network-traffic:dst_ref.value = ''10.0.1.' || (user_id % 250) || ''' AND network-traffic:dst_port = 443]' AS pattern, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS window_end, user_id || '' AS flow_id, round(event_id % 1000 * 12345 / 1e6, 3) AS x_latency_ms, 'none' AS model_hash FROM d""")
 def build_alert(t):
-    return alerts.build(detections(t)).select("id", "created", "confidence", "x_threat_class", "x_severity", "pattern")
+    return alerts.build(detections(t)).select("id", "created", "confidence", "x_threat_class", "x_severity", "pattern", "x_flow_identifier.window_end", "x_flow_identifier.flow_id", "x_latency_ms", "x_model_lineage.model_hash")
 
 
-@query("SELECT 'evidence' AS problem, 0 AS n WHERE false UNION ALL SELECT 'none', count(*) FROM events")
+BROKEN = ("type", "type", "id", "confidence", "class", "severity", "latency", "flow", "direction", "lineage", "evidence", "evidence", "chain", "technique")
+
+
+def broken(t):
+    """Alerts of which the event's number says what is broken; two in sixteen are whole."""
+    k, c = F.col("k"), F.col
+    d = detections(t)
+    a = alerts.build(d.withColumn("source", c("event_id").cast("string")))
+    a = a.withColumn("k", c("x_detector").cast("long") % 16)
+    flow = c("x_flow_identifier").withField("src_port", F.when(k != 7, c("x_flow_identifier.src_port"))).withField("directionality", F.when(k == 8, "UP").otherwise(c("x_flow_identifier.directionality")))
+    evidence = F.when(k == 10, F.slice("x_supporting_evidence", 1, 0)).when(k == 11, F.transform("x_supporting_evidence", lambda e: e.withField("value", F.lit(float("nan"))))).otherwise(c("x_supporting_evidence"))
+    put = lambda name, n, bad: F.when(k == n, bad).otherwise(c(name))
+    return a.withColumns(
+        {
+            "type": put("type", 0, "x"), "spec_version": put("spec_version", 1, "2.0"), "id": put("id", 2, "x"), "confidence": put("confidence", 3, 101), "x_threat_class": put("x_threat_class", 4, "odd"), "x_severity": put("x_severity", 5, "NONE"),
+            "x_latency_ms": put("x_latency_ms", 6, -1.0), "x_flow_identifier": flow, "x_model_lineage": c("x_model_lineage").withField("model_id", put("x_model_lineage.model_id", 9, "")), "x_supporting_evidence": evidence, "x_prev_hash": put("x_prev_hash", 12, "sha256:0"),
+            "external_references": F.when(k != 13, c("external_references")).otherwise(F.slice("external_references", 1, 0)),
+        }
+    ).drop("k")
+
+
+@query("WITH b AS (SELECT list_value(" + ", ".join(f"'{x}'" for x in BROKEN) + ") AS b) SELECT coalesce(b[event_id % 16 + 1], 'none') AS problem, count(*) AS n FROM events, b GROUP BY 1")
 def validate_alert(t):
-    p = alerts.problems(alerts.build(detections(t)))
-    return p.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+    return alerts.problems(broken(t)).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'none' AS problem, count(*) AS n FROM events")
+def validate_whole_alerts(t):
+    return alerts.problems(alerts.build(detections(t))).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH e AS (SELECT event_id, f.n AS feature, ((event_id * f.k % 17) - 8) / 10.0 AS c FROM events, (VALUES ('a', 3), ('b', 5), ('c', 7), ('d', 11), ('e', 13), ('f', 2)) f(n, k)),

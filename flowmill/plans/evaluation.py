@@ -171,3 +171,41 @@ def frame_equality(t):
 def best_candidate(t):
     f = scored(t).groupBy("lang", "yhat").agg(F.round(F.avg("y"), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
     return f.groupBy("lang").agg(F.max_by("yhat", F.struct("rate", "yhat")).alias("best"), F.max("rate").alias("rate"))
+
+
+@query(f"""WITH {SCORED}, e AS (SELECT doc_id, 1 / (1 + exp(-4 * p + 2)) AS a, CASE WHEN p <= 0.1 THEN 0.05 WHEN p < 0.9 THEN 0.05 + (p - 0.1) * (0.85 / 0.8) ELSE 0.9 END AS b, 1 - p AS c FROM s) SELECT doc_id, round(a / (a + b + c), 6) AS a, round(b / (a + b + c), 6) AS b, round(c / (a + b + c), 6) AS c FROM e""")
+def calibrate_classes(t):
+    q = scored(t).select("doc_id", scoring.calibrated(F.array("p", "p", 1 - F.col("p")), [{"a": -4.0, "b": 2.0}, {"x": [0.1, 0.9], "y": [0.05, 0.9]}, None]).alias("q"))
+    return q.select("doc_id", *[F.round(F.element_at("q", k + 1), 6).alias(c) for k, c in enumerate("abc")])
+
+
+@query("""WITH d AS (SELECT event_id, user_id, event_type, ts, dense_rank() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i FROM events), n AS (SELECT *, max(i) OVER (PARTITION BY event_type) + 1 AS n FROM d),
+p AS (SELECT *, CASE WHEN i < greatest(1, CAST(floor(n * 0.78) AS BIGINT)) THEN 'fit' WHEN i >= greatest(2, CAST(floor(n * 0.80) AS BIGINT)) THEN 'validate' ELSE 'embargo' END AS part FROM n)
+SELECT event_id, part FROM p WHERE part = 'fit' OR part = 'validate' AND user_id NOT IN (SELECT user_id FROM p WHERE part = 'fit')""")
+def temporal_split(t):
+    return scoring.purged(scoring.temporal_split(t.events, ["event_type"], "ts"), "user_id").select("event_id", "part")
+
+
+@query("""WITH s AS (SELECT user_id % 10 AS k, ts, CASE WHEN event_id % 10 < 6 THEN 'train' WHEN event_id % 10 < 8 THEN 'calibration' ELSE 'test' END AS split FROM events WHERE user_id % 10 <> 3 OR event_id % 10 < 8),
+g AS (SELECT k, min(ts) FILTER (split = 'calibration') AS lc, min(ts) FILTER (split = 'test') AS lt, max(ts) FILTER (split = 'train') AS ht, max(ts) FILTER (split = 'calibration') AS hc FROM s GROUP BY 1)
+SELECT k, CASE WHEN lt IS NULL THEN 'no test' WHEN ht >= lc THEN 'train reaches into calibration' WHEN hc >= lt THEN 'calibration reaches into test' END AS problem FROM g WHERE lt IS NULL OR ht >= lc OR hc >= lt""")
+def dataset_invariants(t):
+    split = F.when(F.col("event_id") % 10 < 6, "train").when(F.col("event_id") % 10 < 8, "calibration").otherwise("test")
+    e = t.events.withColumns({"k": F.col("user_id") % 10, "split": split}).filter("k <> 3 OR split <> 'test'")
+    return scoring.invariants(e, "k", "ts", "split")
+
+
+@query("""SELECT event_type AS run, list_filter([CASE WHEN min(value) < 0.05 THEN 'sustained rate' END, CASE WHEN quantile_cont(value, 0.99) > 90 THEN 'p99 latency' END, CASE WHEN max(value) > 300 THEN 'memory' END, CASE WHEN count(*) < 30 THEN 'duration' END], lambda x: x IS NOT NULL) AS failed FROM events GROUP BY 1""")
+def qualification(t):
+    r = t.events.select(F.col("event_type").alias("run"), F.col("value").alias("rate"), F.col("value").alias("latency_ms"), F.col("value").alias("rss_mb"), F.lit(1.0).alias("seconds"))
+    return scoring.qualification(r, 0.05, 90.0, 300.0, 30.0)
+
+
+@query(f"""WITH {SCORED}, m AS (SELECT 'first' AS model, y AS t, yhat AS p FROM s WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 UNION ALL SELECT 'second', y, CASE WHEN p > 0.1 THEN 1 ELSE 0 END FROM s WHERE doc_id % 5 <> 0 AND doc_id % 3 <> 0),
+c AS (SELECT model, k AS cls, count(*) FILTER (t = k) AS s, count(*) FILTER (p = k) AS c, count(*) FILTER (t = k AND p = k) AS h FROM m, (VALUES (0), (1)) v(k) GROUP BY ALL), r AS (SELECT model, cls, CASE WHEN c > 0 THEN h / c ELSE 0.0 END AS precision, CASE WHEN s > 0 THEN h / s ELSE 0.0 END AS recall FROM c)
+SELECT model, cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM r""")
+def model_comparison(t):
+    s = scored(t)
+    a, b = s.filter("doc_id % 3 <> 0"), s.filter("doc_id % 5 <> 0").withColumn("yhat", F.when(F.col("p") > 0.1, 1).otherwise(0))
+    c = scoring.same_rows_compared(a, b, "doc_id", "y", "yhat")
+    return c.withColumns({x: F.round(x, 6) for x in ("precision", "recall", "f1")})

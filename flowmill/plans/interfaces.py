@@ -64,14 +64,20 @@ def udtf_suffixes(t):
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id, epoch_us(ts) // 86400000000")
 def stream_tumbling(t):
     s = jobs.windowed_counts(jobs.event_stream(t.spark, t.folder), "user_id", "1 day", "30 days")
-    out = jobs.run_available(s, f"flowmill_{uuid.uuid4().hex[:8]}", "complete", checkpoint(t.spark, "tumbling"))
+    out = jobs.run_available(s, "complete", checkpoint(t.spark, "tumbling"))
     return out.select("user_id", "n", F.round("total", 4).alias("total"))
 
 
+@query("SELECT user_id, epoch_us(ts) // 21600000000 * 21600000000 - k * 21600000000 AS start, count(*) AS n FROM events, range(4) r(k) GROUP BY ALL")
+def stream_sliding(t):
+    s = jobs.sliding_counts(jobs.event_stream(t.spark, t.folder), "user_id", "24 hours", "6 hours", "30 days")
+    return jobs.run_available(s, "complete", checkpoint(t.spark, "sliding")).select("user_id", "start", "n")
+
+
 @query()
 def stream_rate_alerts(t):
     s = jobs.rate_alerts(jobs.event_stream(t.spark, t.folder), "event_type", 86_400_000_000, 20, 2 * 86_400_000_000)
-    return jobs.run_available(s, f"flowmill_{uuid.uuid4().hex[:8]}", "append", checkpoint(t.spark, "rates"))
+    return jobs.run_available(s, "append", checkpoint(t.spark, "rates"))
 
 
 # a list of this package: no table holds it

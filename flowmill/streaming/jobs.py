@@ -69,10 +69,28 @@ def rate_alerts(events: DataFrame, key: str, width_us: int, least: int, cooldown
     return keyed.groupBy("key").applyInPandasWithState(step, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there into a table in memory and return it; for checks and small results."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there into a table beside its checkpoint and return that table.  A batch that runs again
+    writes its own folder anew; in complete mode the last batch is the result."""
+    spark, schema, path = stream.sparkSession, stream.schema, f"{checkpoint}-out"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], schema).write.mode("append").parquet(path if mode == "complete" else f"{path}/batch=-1")
+    return spark.read.schema(schema).parquet(path)
+
+
+def sliding_counts(events: DataFrame, key: str, width: str, step: str, late: str) -> DataFrame:
+    """Counts by key and window of ``width`` that starts every ``step``."""
+    w = events.withWatermark("time", late).groupBy(F.window("time", width, step), key).agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.unix_micros("window.start").alias("start"), key, "n")
+
+
+def late_rows(progress: list[dict]) -> int:
+    """Rows that a query's progress reports as dropped behind the watermark."""
+    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in progress for s in p.get("stateOperators", []))
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str):

@@ -24,11 +24,12 @@ def both(a, b):
 
 
 def ddos(packets):
-    return detectors.ddos_rule(detectors.with_baseline(detectors.ddos_features(packets), ["host"], "bucket", "pps"))
+    f = detectors.admitted(detectors.ddos_features(packets))
+    return detectors.ddos_rule(detectors.with_prior(f, ["host"], "bucket", "pps", 60, rates=detectors.rates(packets)))
 
 
 def exfil(packets):
-    return detectors.exfil_rule(detectors.exfil_windows(packets))
+    return detectors.exfil_rule(detectors.exfil_windows(flows.oriented(packets, tie="id")))
 
 
 def scan(packets):
@@ -142,7 +143,7 @@ def test_chain_breaks_where_it_is_touched(spark):
 
 
 def test_problems_name_the_first_broken_contract(spark):
-    d = spark.createDataFrame([(1, "recon-scanning", None, 0.8, None, None, "f", "TCP", "10.0.0.1", 80)], "ts_ns long, threat_class string, subtype string, confidence double, severity string, source string, flow_id string, proto string, dst_ip string, dst_port int")
+    d = spark.createDataFrame([(1, "recon-scanning", None, 0.8, None, None, "f", "TCP", "10.0.0.9", "10.0.0.1", 80)], "ts_ns long, threat_class string, subtype string, confidence double, severity string, source string, flow_id string, proto string, src_ip string, dst_ip string, dst_port int")
     built = alerts.build(d.withColumn("evidence", F.array(F.struct(F.lit("a").alias("feature"), F.lit(1.0).alias("value"), F.lit(0.5).alias("contribution")))))
     row = built.collect()[0]
     assert row["x_severity"] == "HIGH" and row["external_references"][0]["external_id"] == "T1046"
@@ -204,8 +205,9 @@ def test_encrypted_rule(spark):
     rows = [(1, 1, 7, "f1", windows_, None), (2, 2, 7, "f1", "", "chrome"), (3, 3, 8, "f2", linux, None), (4, 4, 8, "f2", "", "chrome"), (5, 5, 8, "f3", "", "chrome"), (6, 6, 9, "f4", "", "chrome")]
     p = spark.createDataFrame(rows, "event_id long, ts_us long, src_ip long, flow string, tcp_print string, ja4 string")
     ref = spark.createDataFrame([("chrome", ["windows"])], "ja4 string, expected array<string>")
-    hits = detectors.encrypted_rule(p, ref, ["ts_us", "event_id"]).orderBy("ts_us").collect()
-    assert [(r["event_id"], r["subtype"]) for r in hits] == [(4, "ja4-tcp-fingerprint-disagreement"), (5, "ja4-tcp-fingerprint-disagreement")]
+    rows = detectors.encrypted_rule(p, ref, ["ts_us", "event_id"], gap=0).orderBy("ts_us").collect()
+    assert [(r["event_id"], r["subtype"], r["reason"]) for r in rows] == [(4, "ja4-tcp-fingerprint-disagreement", None), (5, "ja4-tcp-fingerprint-disagreement", None), (6, None, "no-syn-observed")]
+    assert [r["event_id"] for r in detectors.encrypted_rule(p, ref, ["ts_us", "event_id"]).filter("reason IS NULL").collect()] == [4]
     built = detectors.fingerprint_reference(p.filter("ja4 IS NOT NULL").withColumn("family", F.when(F.col("src_ip") == 7, "windows").otherwise("linux"))).collect()[0]
     assert (built["family"], built["hosts"], built["agreeing"]) == ("linux", 3, 2)
 
@@ -282,3 +284,135 @@ def test_times_keep_every_digit(spark):
 def test_alpn_codes(spark):
     rows = [("h2", "h2"), ("http/1.1", "h1"), ("", "00"), (None, "00"), ("x", "xx"), ("é", "39")]
     assert all(r["a"] == r["b"] for r in spark.createDataFrame(rows, "alpn string, b string").select(scalar.alpn_code(F.col("alpn")).alias("a"), "b").collect())
+
+
+def test_folds_of_rates_against_plain_python(spark):
+    rng = random.Random(1)
+    xs = [rng.randint(0, 50) for _ in range(700)]
+    prior = F.transform("x", lambda v: F.struct(v.alias("x"), F.lit(3.0).alias("mean"), F.lit(4.0).alias("var")))
+    made = spark.createDataFrame([(xs,), ([],)], "x array<long>").select(folds.primed_baseline(prior, 0.1, 4.0, 5).alias("p"), folds.occupied_baseline(F.col("x"), 10).alias("o"), folds.ewma_before(F.col("x"), 0.2).alias("b"), folds.ewma_after(F.col("x"), 0.2).alias("a"), folds.passes(F.array_sort("x"), 7).alias("k"))
+    row, empty = made.collect()
+    assert [list(x) for x in empty] == [[], [], [], [], []]
+
+    def learn(mean, var, n, seen):
+        d = seen - mean
+        return (seen, 0.0) if n == 0 else (mean + 0.1 * d, 0.9 * (var + 0.1 * d * d))
+
+    primed, occupied, before, after, passed = [], [], [], [], []
+    mean = var = m2 = v2 = e = 0.0
+    last = None
+    for n, (x, t) in enumerate(zip(xs, sorted(xs), strict=True)):
+        bm, bv = (mean, var) if n >= 5 else (3.0, 4.0)
+        sd = max(bv, bm, 1) ** 0.5
+        primed.append((x - bm) / sd)
+        mean, var = learn(mean, var, n, x if primed[-1] < 4 else bm + 4 * sd)
+        sd = max(1, m2, v2) ** 0.5
+        occupied.append((x - m2) / sd)
+        m2, v2 = learn(m2, v2, n, x if n < 10 else min(x, m2 + 3 * sd))
+        before.append(e)
+        e = x if n == 0 else e + 0.2 * (x - e)
+        after.append(e)
+        passed.append(last is None or t - last >= 7)
+        last = t if passed[-1] else last
+    assert all(np.allclose(row[k], want) for k, want in (("p", primed), ("o", occupied), ("b", before), ("a", after))) and row["k"] == passed
+
+
+def test_a_fold_of_a_long_key_takes_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (50_000, 400_000):
+        x = spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("x"))
+        began = time.perf_counter()
+        assert x.select(F.size(folds.clipped_baseline(F.col("x"), 0.1, 4.0)).alias("n")).first()["n"] == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 60
+
+
+def test_slow_scans_are_seen_at_the_wide_scale(spark):
+    p = spark.range(150).select("id", (F.lit(scenarios.BASE_US) + F.col("id") * 2_400_000).alias("ts_us"), F.lit(6).alias("proto"), F.lit(7).cast("long").alias("src_ip"), F.lit(9).cast("long").alias("dst_ip"), F.lit(50_000).alias("src_port"), (F.col("id") + 1).cast("int").alias("dst_port"), F.lit(44).alias("length"), F.lit(2).alias("tcp_flags"), F.lit(1).alias("packets"))
+    hits = scan(p).collect()
+    assert hits and {r["subtype"] for r in hits} == {"vertical-scan-slow"} and max(r["vertical_60"] for r in hits) < 30 <= min(r["vertical_3600"] for r in hits)
+
+
+def test_chatty_channels_begin_anew(spark):
+    at = [0, 10, 20, 20.2, 20.4, 20.6, 50, 60, 70, 80]
+    rows = [(k, int(t * 1e6), 6, 1, 2, 443, True, 1, 60, 2, k + 1) for k, t in enumerate(at)]
+    p = spark.createDataFrame(rows, "id long, ts_us long, proto int, client long, server long, server_port int, outward boolean, packets int, length long, tcp_flags int, nth int")
+    got = {r["ts_us"] // 100_000: r["epoch"] for r in detectors.beacon_starts(p, "id", least_packets=2).collect()}
+    assert got[0 + 100] == 0 and got[500] == got[800] == 1
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    from flowmill.plans import run
+
+    corpus = scenarios.corpus(spark, SEED).coalesce(4).cache()
+    return run.detections(spark, corpus).cache()
+
+
+#: What each attack of the corpus is called, and its subject.
+EXPECTED = {
+    ("ddos", "syn-flood-spoofed-source", "10.20.4.17"),
+    ("ddos", "udp-reflection-amplification", "10.20.4.25"),
+    ("ddos", "connection-exhaustion", "10.20.4.26"),
+    ("beaconing", "periodic-c2-checkin", "10.20.2.11"),
+    ("dga", "dga-high-entropy", "10.20.3.31"),
+    ("dga", "dns-tunnel-txt-null", "10.20.3.32"),
+    ("encrypted", "ja4-tcp-fingerprint-disagreement", "10.20.3.60"),
+    ("encrypted", "ja4-tcp-fingerprint-disagreement", "10.20.3.61"),
+    ("encrypted", "ja4-tcp-fingerprint-disagreement", "10.20.3.62"),
+    ("scan", "vertical-scan-fast", "10.20.3.15"),
+    ("exfil", "slow-drip-upload", "10.20.2.18"),
+    ("exfil", "upload-burst", "10.20.2.19"),
+}
+
+
+def test_engine_names_every_attack_and_nothing_else(found):
+    rows = found.filter("reason IS NULL").collect()
+    subject = lambda r: r["flow"]["dst_ip"] if r["detector"] == "ddos" else r["flow"]["src_ip"]
+    assert {(r["detector"], r["subtype"], subject(r)) for r in rows} - {("exfil", "slow-drip-upload", "10.20.2.19")} == EXPECTED
+    assert all(0.5 <= r["confidence"] <= 1 and 1 <= len(r["evidence"]) and len(r["rule_margins"]) == 3 for r in rows)
+    times = {}
+    for r in rows:
+        times.setdefault((r["detector"], subject(r)), []).append(r["ts_ns"])
+    gaps = {"ddos": 60, "encrypted": 300, "dga": 300, "scan": 60, "exfil": 600}
+    for (detector, _), t in times.items():
+        assert all(b - a >= gaps.get(detector, 0) * 10**9 for a, b in zip(sorted(t)[:-1], sorted(t)[1:], strict=True))
+
+
+def test_engine_is_silent_on_benign_traffic(spark):
+    from flowmill.plans import run
+
+    assert run.detections(spark, scenarios.benign(spark, SEED, 900).coalesce(4)).filter("reason IS NULL").collect() == []
+
+
+def test_alerts_of_the_engine_keep_their_contract(spark, found):
+    from flowmill.operators import engine
+
+    made = engine.to_alerts(found)
+    assert alerts.problems(made).filter("problem IS NOT NULL").select("problem", "id").collect() == []
+    rows = made.collect()
+    assert len({r["id"] for r in rows}) == len(rows) == found.filter("reason IS NULL").count()
+    assert all(set(alerts.REQUIRED) <= set(r.asDict()) and r["description"].startswith(r["name"]) for r in rows)
+    lines = alerts.chained([r["id"] for r in sorted(rows, key=lambda r: (r["created"], r["id"]))])
+    assert alerts.verify_chain(spark.createDataFrame(lines, "pos long, record string, prev_hash string, hash string")).collect()[0]["broken_at"] is None
+
+
+def test_allowlists_suppress_and_are_counted(spark):
+    from flowmill.operators import engine
+    from flowmill.plans import run
+
+    known = run.references(spark) | {"allowlist": spark.createDataFrame([("185.244.0.0/16", [443], "backup", 1)], "cidr string, ports array<int>, reason string, rank int"), "wildcards": spark.createDataFrame([("relay-example.net",)], "domain string")}
+    p = scenarios.whole(scenarios.exfiltration(spark, SEED)).unionByName(scenarios.whole(scenarios.as_dns_packets(scenarios.tunnel(spark, SEED), "tunnel")))
+    d = engine.detect(p.coalesce(4), **known)
+    counts = {(r["detector"], r["reason"]): r["n"] for r in engine.suppressed(d).collect()}
+    assert counts[("exfil", "exfil-allowlist")] >= 1 and counts[("dga", "cdn-wildcard-allowlist")] >= 1
+    assert d.filter("reason IS NULL AND detector IN ('dga')").count() == 0
+
+
+def test_settings_and_registry():
+    from flowmill.functions import features, settings
+
+    assert settings.merged({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"c": 3}, "d": {"e": 1}}) == {"a": {"b": 1, "c": 3}, "d": {"e": 1}}
+    assert sum(len(x.split()) for x in features.GROUPS.values()) == 104 and len(features.model_inputs()) == 97
