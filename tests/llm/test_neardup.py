@@ -143,3 +143,49 @@ def test_stages_with_clashing_columns(spark, tmp_path):
         assert docs.columns == [x.split()[0] for x in names.split(", ")], name
     got = sorted(docs.collect(), key=lambda r: r["doc_id"] or 0)
     assert [(r["doc_id"], r["bits"], r["_id"], r["n_words"]) for r in got] == [(None, None, None, None), (1, "b", 7, "w")]
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage in plain Python over the smallest documents, by the same rules."""
+    import re
+
+    import public_tokenizers
+    from flowmill.llm import secrets
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    left = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+    def good(text):
+        w = split(text)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        often = {g for g in set(grams) if grams.count(g) > 1} if len(grams) < 5000 else {g for g, n in __import__("collections").Counter(grams).items() if n > 1}
+        repeated = len({i + k for i, g in enumerate(grams) if g in often for k in range(3)})
+        lines = [x for x in (text or "").split("\n") if split(x)]
+        chars = sum(map(len, w))
+        return not (len(w) < 50 or 100 * repeated > 50 * len(w) or 100 * len(re.findall(r"[#*$%&|<>]", text)) > 10 * len(w) or 100 * (len(lines) - len(set(lines))) > 50 * len(lines) or 10 * chars < 25 * len(w) or chars > 12 * len(w))
+
+    left = {d: t for d, t in left.items() if good(t)}
+    found = brute(list(left.items()), corpus_pipeline.WORDS, corpus_pipeline.PERCENT)
+    left = {d: left[d] for _, d, _, head in found if d == head}
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r["text"])
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    left = {d: t for d, t in left.items() if not any(tuple(w[i : i + n]) in windows for w in [words(t)] for n in sizes for i in range(len(w) - n + 1))}
+    docs = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+    dictionary = secrets.train_primer(docs)
+    left = {d: secrets.redacted(t, dictionary=dictionary) for d, t in left.items()}
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    got = {}
+    for r in corpus_pipeline.run(spark, sf).withColumn("n", F.col("doc_tokens")).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["n"]))
+    assert set(got) == set(left) and len(left) > 20
+    for d, pieces in got.items():
+        n = len(library.encode(left[d], add_special_tokens=False).ids) + 1
+        assert sum(x[1] for x in pieces) == n == pieces[0][2] and sorted(x[0] for x in pieces)[0] == 0

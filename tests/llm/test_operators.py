@@ -616,6 +616,66 @@ def test_queries_equal_their_sql(spark):
     assert oracles.OP7
 
 
+def table(spark, name="documents"):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+def test_token_query_equals_the_library(spark):
+    at, want = 0, []
+    for r in sorted(table(spark).collect(), key=lambda r: r["doc_id"]):
+        ids = expected_ids(BYTE, r["text"])
+        want.append((r["doc_id"], at, len(ids), crc(ids)))
+        at += len(ids)
+    got = queries.op1_token_ids(spark, SF).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
+def test_packing_query_covers_every_document(spark):
+    pieces = packing.pack_documents(table(spark), WORD).collect()
+    assert sorted(tuple(r) for r in queries.op5_packing(spark, SF).collect()) == sorted((r["doc_id"], r["start"], r["length"], zlib.crc32(r["ids"]), r["doc_tokens"], r["sequence_id"], r["offset"]) for r in pieces)
+    docs, seqs = {}, {}
+    for r in pieces:
+        docs.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for r in table(spark).collect():
+        assert crc(expected_ids(WORD, r["text"])) == zlib.crc32(b"".join(b for _, b in sorted(docs[r["doc_id"]])))
+    for s in seqs.values():
+        s.sort()
+        used = sum(n for _, n in s)
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and (used == 4096 or used & (used - 1) == 0)
+
+
+def test_toxicity_query_scores_by_the_formula(spark):
+    docs, out = table(spark), toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs, table(spark, "labels"), ~out)
+    place = {int(t): k for k, t in enumerate(model.kept)}
+    got = {r["doc_id"]: r for r in queries.op6_toxicity(spark, SF).collect()}
+    for r in docs.collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        _, terms = toxicity._counted(*toxicity._terms(raw, np.array([0, len(raw)])))
+        here = sorted(place[int(t)] for t in terms if int(t) in place)
+        z = model.bias + sum(model.w[k] for k in here) + sum(float(model.v[a] @ model.v[b]) for i, a in enumerate(here) for b in here[:i])
+        assert abs(got[r["doc_id"]]["score"] - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-6
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.5)
+
+
+def test_language_query_equals_a_walk_word_by_word(spark):
+    docs = table(spark)
+    model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
+    got = {r["doc_id"]: r for r in queries.op9_language(spark, SF).collect()}
+    for r in docs.collect():
+        words = re.findall(r"[A-Za-z\x80-\U0010ffff]+", r["text"] or "")
+        words = ["".join(c.lower() if len(c.lower()) == 1 and ord(c) < 0x180 else c for c in w) for w in words]
+        e = np.array([[model.weights[f, c].sum() for c in range(len(model.labels))] for f in (langid.features([w], model.lexicon)[1] for w in words)], np.float64)
+        row = got[r["doc_id"]]
+        assert row["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (row["lang_pred"], row["score"]) == ("und", 0)
+            continue
+        mean = step_by_step(np.clip(e - e.max(1, keepdims=True), -30, 0), model.transitions).mean(0)
+        assert row["lang_pred"] == model.labels[mean.argmax()] and abs(row["score"] - mean.max()) < 1e-3
+
+
 def test_secret_query_digests(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op8_secrets(spark, SF).collect():
