@@ -203,7 +203,7 @@ def build_trees(docs: DataFrame, vocabulary: str) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (chars, ids)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["doc_id", "text", "leaf_chars", "leaf_ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textbuf.frugal(run), TREE_SCHEMA)
 
 
 def apply_edits(trees: DataFrame, edits: Column, vocabulary: str, keep: bool = False) -> DataFrame:
@@ -232,7 +232,7 @@ def apply_edits(trees: DataFrame, edits: Column, vocabulary: str, keep: bool = F
 
     schema = [x.split()[0] for x in COUNT_SCHEMA.split(", ")] + (["text", "leaf_chars", "leaf_ids"] if keep else [])
     kinds = COUNT_SCHEMA + (", text string, leaf_chars array<int>, leaf_ids array<int>" if keep else "")
-    return trees.select("doc_id", "text", "leaf_chars", "leaf_ids", edits.cast(EDITS).alias("edits")).mapInArrow(run, kinds)
+    return trees.select("doc_id", "text", "leaf_chars", "leaf_ids", edits.cast(EDITS).alias("edits")).mapInArrow(textbuf.frugal(run), kinds)
 
 
 def count_edits(docs: DataFrame, edits: Column, vocabulary: str) -> DataFrame:

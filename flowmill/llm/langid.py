@@ -272,7 +272,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = 400, max_w
                     words = [buf[starts[j] : starts[j] + lens[j]].tobytes().decode("utf-8", "replace") for j in some]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([batch.column(0)[first + k].as_py()], pa.int64()), "lang": [batch.column(1)[first + k].as_py()], "words": pa.array([words], pa.list_(pa.string()))})
 
-    got = sorted(chosen.mapInArrow(run, "doc_id long, lang string, words array<string>").collect(), key=lambda r: (r["doc_id"], r["lang"], r["words"]))
+    got = sorted(chosen.mapInArrow(textbuf.frugal(run), "doc_id long, lang string, words array<string>").collect(), key=lambda r: (r["doc_id"], r["lang"], r["words"]))
     return Crf.fit([list(r["words"]) for r in got], [r["lang"] for r in got], names, epochs)
 
 
@@ -303,7 +303,7 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
                             split[x] = [{"lang": crf.labels[c], "n": int(own[x, c])} for c in range(k) if own[x, c]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(lang), pa.array(score), pa.array(split, kind)], ["doc_id", "lang", "score", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textbuf.frugal(run), SCHEMA)
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:

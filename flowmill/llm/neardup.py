@@ -108,7 +108,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 )
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(run, SKETCH_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(textbuf.frugal(run), SKETCH_SCHEMA)
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
                     cut = np.concatenate([[0], np.cumsum([len(x) for x in part])])
                     yield pa.RecordBatch.from_pydict({"class": pa.array([want[first + k] for k in mine], pa.binary()), "shingles": _lists(np.concatenate(part).view(np.int64), cut)})
 
-    return rows.mapInArrow(run, SET_SCHEMA)
+    return rows.mapInArrow(textbuf.frugal(run), SET_SCHEMA)
 
 
 def _floor(percent: float) -> float:
@@ -145,7 +145,7 @@ def _likely(pairs: DataFrame, percent: float) -> DataFrame:
             x, y = (setsketch.registers(np.asarray(batch.column(c).flatten()).reshape(n, -1)) for c in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(setsketch.may_reach(x, y, np.asarray(batch.column(4)), np.asarray(batch.column(5)), least)))
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(textbuf.frugal(run), "a binary, b binary")
 
 
 def _full_sets(need: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.llm import encoder as enc
+from flowmill.llm import textbuf
 
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -118,4 +119,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
             yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECE_SCHEMA)
+    return rows.mapInArrow(textbuf.frugal(run), PIECE_SCHEMA)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowmill.llm import encoder as enc
-from flowmill.llm import storage
+from flowmill.llm import storage, textbuf
 
 MAGIC = b"FMTOKEN2"
 #: One select sample every so many entries.
@@ -193,7 +193,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, wid
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    shards = ordered.mapInArrow(write, SHARD_SCHEMA)
+    shards = ordered.mapInArrow(textbuf.frugal(write), SHARD_SCHEMA)
     return storage.materialize(shards, "tokens-shards")
 
 
@@ -227,7 +227,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                         )
                         k, at = last, int(bounds[-1])
 
-    return listed.repartition(tasks).mapInArrow(read, ENTRY_SCHEMA)
+    return listed.repartition(tasks).mapInArrow(textbuf.frugal(read), ENTRY_SCHEMA)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:

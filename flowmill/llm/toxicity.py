@@ -198,7 +198,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, learn: Column | None, sample: in
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"term": pa.array(some, pa.int32()), "whole": word[some], "n": n[some], "seen": seen[some], "toxic": toxic[some]})
 
-    counted = rows.mapInArrow(count, COUNT_SCHEMA).groupBy("term").agg(F.bool_or("whole").alias("whole"), *[F.sum(c).alias(c) for c in ("n", "seen", "toxic")])
+    counted = rows.mapInArrow(textbuf.frugal(count), COUNT_SCHEMA).groupBy("term").agg(F.bool_or("whole").alias("whole"), *[F.sum(c).alias(c) for c in ("n", "seen", "toxic")])
     spread = F.sqrt(F.col("seen") * (rate * (1 - rate) * total["w"] / total["n"]))
     own = (F.abs(F.col("toxic") - F.col("seen") * rate) >= Z_LEAST * spread) & (F.col("n") >= LEAST)
     counted = storage.materialize(counted.withColumn("own", own), "toxicity-terms")
@@ -220,7 +220,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, learn: Column | None, sample: in
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["label", "weight", "terms"])
 
-    got = rows.mapInArrow(lists, TERM_SCHEMA).toArrow().combine_chunks()
+    got = rows.mapInArrow(textbuf.frugal(lists), TERM_SCHEMA).toArrow().combine_chunks()
     terms = got.column("terms").combine_chunks()
     texts = [np.asarray(x.values, np.int64) for x in terms]
     order = sorted(range(len(texts)), key=lambda k: (texts[k].tobytes(), got.column("label")[k].as_py()))  # rows arrive in any order
@@ -239,7 +239,7 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
                 terms, doc = _terms(raw, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(fm.score(terms, doc, last - first))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textbuf.frugal(run), SCORE_SCHEMA)
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import storage
+from flowmill.llm import storage, textbuf
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PAGE, REFERS_TO = "X-Page-Id", "X-Refers-To-Page-Id"
@@ -234,7 +234,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
             n = write_package(out, records(), date)
         yield pa.RecordBatch.from_pydict({"path": [folder[: len(folder) - len(root)] + path if folder.endswith(root) else path], "n_records": [n]})
 
-    return storage.materialize(dealt.mapInArrow(write, PACKAGE_SCHEMA), "packages")
+    return storage.materialize(dealt.mapInArrow(textbuf.frugal(write), PACKAGE_SCHEMA), "packages")
 
 
 def read_archives(packages: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def read_archives(packages: DataFrame) -> DataFrame:
                     if some:
                         yield pa.RecordBatch.from_pylist(some, schema)
 
-    return packages.select("path").repartition(tasks).mapInArrow(read, RECORD_SCHEMA)
+    return packages.select("path").repartition(tasks).mapInArrow(textbuf.frugal(read), RECORD_SCHEMA)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
