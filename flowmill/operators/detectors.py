@@ -342,21 +342,21 @@ def exfil_rule(rows: DataFrame, ratio: float = 3.0, least_bytes: float = 100_000
 
 def dns_sources(queries: DataFrame, width_us: int = 300 * SECOND) -> DataFrame:
     """Per source and window; domains are those of two generations.  queries: src_ip (the asker), ts_us, is_response, rcode,
-    answers, qtype, domain, score."""
+    answers, qtype, domain, score.  Scores are added in the order of time, so that a mean at a threshold falls on the same
+    side however the rows are dealt out."""
     ask, answer = ~F.col("is_response"), F.col("is_response")
     one = F.lit(1)
-    f = windows.tumbling(
-        queries,
-        ["src_ip"],
-        "ts_us",
-        width_us,
+    w = Window.partitionBy("src_ip", "bucket").orderBy("ts_us", "score")
+    added = F.sum(F.when(ask, F.col("score").cast("double"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    dated = queries.withColumn("bucket", windows.bucket(F.col("ts_us"), width_us))
+    f = dated.withColumns({"_added": added, "_at": F.row_number().over(w)}).groupBy("src_ip", "bucket").agg(
         _sum(ask, one).alias("queries"),
         _sum(answer, one).alias("responses"),
         _sum(answer & (F.col("rcode") == 3), one).alias("nx"),
         _sum(answer & (F.col("rcode") != 3) & (F.col("answers") == 0), one).alias("empty"),
         _sum(ask & F.col("qtype").isin(16, 10), one).alias("txt_null"),
         F.count_distinct(F.when(ask, F.col("domain"))).alias("domains"),
-        F.avg(F.when(ask, F.col("score"))).alias("mean_score"),
+        (F.max_by("_added", "_at") / F.nullif(F.count(F.when(ask, F.col("score"))), F.lit(0))).alias("mean_score"),
     )
     f = _two(f, ["src_ip"], "domains")
     return f.withColumns({"nx_ratio": scalar.ratio(F.col("nx"), F.col("responses")), "empty_ratio": scalar.ratio(F.col("empty"), F.col("responses"))})
