@@ -92,3 +92,21 @@ def estimates(items: DataFrame, item: str, sketch: DataFrame, depth: int = 5, wi
 def frequencies(df: DataFrame, item: str, part: Column) -> DataFrame:
     """(item, n) from one sketch a part, merged."""
     return estimates(df, item, merged_sketch(count_min(df, F.col(item), part)))
+
+
+def bitmaps(df: DataFrame, keys: list[str], ids: str) -> DataFrame:
+    """(keys, word, bits): the set of whole numbers ``ids`` of each key as words of 64 bits.  Sets are exact, combine before
+    their shuffle and merge by ``bit_or``; a word takes a row, so dense ids take a 64th of their number.  A key with nothing
+    but nulls keeps a row without a word."""
+    n = F.col(ids).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return df.groupBy(*keys, F.shiftright(n, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def merged_bitmaps(maps: DataFrame, keys: list[str]) -> DataFrame:
+    return maps.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def bitmap_counts(maps: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): the size of each key's set; maps has one row a word."""
+    return maps.groupBy(*keys).agg(F.sum(F.coalesce(F.bit_count("bits"), F.lit(0))).alias(name))
