@@ -6,9 +6,9 @@ NEAR characters before or behind it; one whose marginal bytes are at least NOVEL
 ``novel``, unless a pattern's span touches it.  Nothing else decides: no count of digits, marks or letters.  In
 ``name=value`` with the sensitive word in the name the value alone is the candidate.
 
-The dictionary is trained (``train_primer``) on identifiers of programs and on pieces of a bounded sample of the documents:
+The dictionary is trained (``train_primer``) on identifiers of programs and on the words of all documents, counted whole:
 their language, names and code are what the compressor foresees.  Runs of 16 and more with a digit are left out of it, so a
-secret that many documents repeat does not become foreseen.  ``PIECES`` and the parameter ``sample`` are its bounds.
+secret that many documents repeat does not become foreseen.  Its bound is its own size.
 
 Rows: null and empty texts have no span; repeated rows and null ids are scanned row by row; an empty table gives no
 row; ``find_secrets`` ignores other columns and ``redact`` keeps them.  Positions are in code points, end exclusive.
@@ -61,7 +61,9 @@ AROUND = 400  # characters of text on either side that prime the compressor
 #: characters reaches it, of random strings 95 in 100 and more (README).
 NOVEL = 0.75
 DICTIONARY_BYTES = 112_640
-PIECES, PIECE = 4, 1000  # pieces of a sampled document, and their characters
+LEAST = 4  # characters of a word: no shorter one can be met by zstandard
+WORD_BYTES = 81_920  # of the dictionary, for words of the documents
+WORDS = WORD_BYTES // LEAST  # more than they hold
 
 
 def _names() -> list[bytes]:
@@ -73,22 +75,36 @@ def _names() -> list[bytes]:
     return [IDENTIFIERS.encode(), *(" ".join(spelled[k : k + 20]).encode() for k in range(0, len(spelled), 20))]
 
 
-def primer(pieces: list[str]) -> bytes:
+def primer(pieces: list[str], size: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary of identifiers and of ``pieces`` of text, without their runs that hold a digit."""
     clean = [_CANDIDATE.sub(lambda m: " " if any(map(str.isdigit, m[0])) else m[0], x).encode("utf-8", "replace") for x in pieces]
-    return zstandard.train_dictionary(DICTIONARY_BYTES, _names() * 4 + clean).as_bytes()
+    return zstandard.train_dictionary(size, _names() * 4 + clean).as_bytes()
 
 
-def train_primer(docs: DataFrame, sample: int = 1000) -> bytes:
-    """The dictionary for ``docs`` from PIECES pieces of PIECE characters, evenly spread, of each of about ``sample`` texts
-    at most, drawn by their hash; equal texts count once."""
-    n = max(1, docs.count())
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of the runs of a candidate's characters, LEAST and more long, over all whole texts: n is the rows
+    that hold it.  A run as long as a candidate counts once for equal texts (told by a 64-bit hash), and one of them
+    with a digit does not count, so no secret becomes foreseen by repeating it."""
     text = F.col("text").cast("string")
-    unit = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / float(1 << 30)
-    step = F.greatest(F.lit(PIECE), F.floor(F.length("text") / PIECES).cast("int"))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substr("text", (k * step + 1).cast("int"), F.lit(PIECE)))
-    rows = docs.select(text.alias("text")).filter((F.length("text") > 0) & (unit < min(1.0, sample / n))).select(F.xxhash64("text").alias("k"), F.explode(spread).alias("piece")).distinct()
-    return primer([r["piece"] for r in sorted(rows.collect(), key=lambda r: (r["k"], r["piece"])) if r["piece"]])
+    long = F.length("word") >= 16
+    each = docs.select(F.xxhash64(text).alias("k"), F.explode(F.array_distinct(F.split(text, "[^A-Za-z0-9+/_=.-]+"))).alias("word"))
+    each = each.filter((F.length("word") >= LEAST) & ~(long & F.col("word").rlike("[0-9]")))
+    rows = each.groupBy("word", F.when(long, F.col("k")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("word").agg(F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(1)).alias("n"))
+
+
+def train_primer(docs: DataFrame) -> bytes:
+    """The dictionary for ``docs``: a trained one, whose tables of byte frequencies know the words, with those words of
+    ``word_counts`` behind it that are in two rows and more, by the bytes that they take, as many as WORD_BYTES hold."""
+    most = (F.col("n") * F.length("word")).desc()
+    rows = word_counts(docs).filter("n > 1").coalesce(32).orderBy(most, "word").limit(WORDS).collect()
+    kept, size = [], 0
+    for word in (r["word"] for r in rows):
+        if size + len(word) < WORD_BYTES:
+            kept.append(word)
+            size += len(word) + 1
+    head = primer([" ".join(kept[k : k + 100]) for k in range(0, len(kept), 100)], DICTIONARY_BYTES - WORD_BYTES)
+    return head + "".join(f" {word}" for word in reversed(kept)).encode()
 
 
 @lru_cache(1)
