@@ -63,7 +63,7 @@ NOVEL = 0.75
 DICTIONARY_BYTES = 112_640
 LEAST = 4  # characters of a word: no shorter one can be met by zstandard
 WORD_BYTES = 81_920  # of the dictionary, for words of the documents
-WORDS = WORD_BYTES // LEAST  # more than they hold
+WORDS = WORD_BYTES // LEAST  # words fetched at once
 
 
 def _names() -> list[bytes]:
@@ -93,16 +93,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(1)).alias("n"))
 
 
+def _held_words(counts: DataFrame) -> list[str]:
+    """The words of ``counts`` by the bytes that they take, each that the room left in WORD_BYTES holds.  All are gone
+    through: behind the first WORDS come, only if there is room still, those that fit it; no longer one is fetched."""
+    rows = counts.select("word", (F.col("n") * F.length("word")).alias("taken"))
+    kept, room, after = [], WORD_BYTES, F.lit(True)
+    while room > LEAST:
+        found = rows.filter(after & (F.length("word") < room)).coalesce(32).orderBy(F.desc("taken"), "word").limit(WORDS).collect()
+        for word in (r["word"] for r in found):
+            if len(word) < room:
+                kept.append(word)
+                room -= len(word) + 1
+        if len(found) < WORDS:
+            break
+        last = found[-1]
+        after = (F.col("taken") < last["taken"]) | ((F.col("taken") == last["taken"]) & (F.col("word") > last["word"]))
+    return kept
+
+
 def train_primer(docs: DataFrame) -> bytes:
     """The dictionary for ``docs``: a trained one, whose tables of byte frequencies know the words, with those words of
     ``word_counts`` behind it that are in two rows and more, by the bytes that they take, as many as WORD_BYTES hold."""
-    most = (F.col("n") * F.length("word")).desc()
-    rows = word_counts(docs).filter("n > 1").coalesce(32).orderBy(most, "word").limit(WORDS).collect()
-    kept, size = [], 0
-    for word in (r["word"] for r in rows):
-        if size + len(word) < WORD_BYTES:
-            kept.append(word)
-            size += len(word) + 1
+    kept = _held_words(word_counts(docs).filter("n > 1"))
     head = primer([" ".join(kept[k : k + 100]) for k in range(0, len(kept), 100)], DICTIONARY_BYTES - WORD_BYTES)
     return head + "".join(f" {word}" for word in reversed(kept)).encode()
 
